@@ -69,11 +69,14 @@ def explode_ngrams(df, keys, text: str, n: int, out: str = "gram"):
     return words.select(*keys, F.explode(word_ngrams(F.col("_words"), n)).alias(out))
 
 
-def explode_char_ngrams(df, keys, text: str, n: int = 3, out: str = "gram"):
+def explode_char_ngrams(df, keys, text: str, n: int = 3, out: str = "gram", outer: bool = False):
+    """Rows (keys..., gram) per character n-gram; with ``outer`` a row with a
+    NULL gram is kept for inputs that have none."""
     keys = list(keys)
     chars = df.select(*keys, F.split(letters_only(text), "").alias("_chars"))
-    grams = chars.select(*keys, F.explode(shifted_ngrams(F.col("_chars"), n, "")).alias(out))
-    return grams.filter(F.trim(F.col(out)) != F.lit(""))
+    grams = F.filter(shifted_ngrams(F.col("_chars"), n, ""), lambda g: F.trim(g) != F.lit(""))
+    gen = F.explode_outer if outer else F.explode
+    return chars.select(*keys, gen(grams).alias(out))
 
 
 def letters_only(col) -> Column:

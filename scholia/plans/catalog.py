@@ -58,7 +58,7 @@ def page_quotations_to_item(spark, d):
     return out.withColumn("probability", F.round("probability", 6))
 
 
-QUERIES = {
+QUOTATION_QUERIES = {
     "find_quotations": find_quotations,
     "potential_matches": potential_matches,
     "top_matches": top_matches,
@@ -66,3 +66,8 @@ QUERIES = {
     "verse_weights": verse_weights,
     "page_quotations_to_item": page_quotations_to_item,
 }
+
+
+from . import q_tables  # noqa: E402
+
+QUERIES = {**QUOTATION_QUERIES, **q_tables.QUERIES}

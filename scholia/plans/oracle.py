@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quotation_sql as QS
+from . import q_tables
 from .catalog import QUOTATION_PARAMS, TOP_K
 
 
@@ -15,4 +16,5 @@ def oracle() -> dict[str, str]:
         "match_statistics": QS.match_statistics_sql(p),
         "verse_weights": QS.verse_weights_sql(p),
         "page_quotations_to_item": QS.page_quotations_sql(p),
+        **q_tables.sql(),
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import quotation_sql as QS
-from . import q_tables
+from . import q_io, q_tables
 from .catalog import QUOTATION_PARAMS, TOP_K
 
 
@@ -17,4 +17,5 @@ def oracle() -> dict[str, str]:
         "verse_weights": QS.verse_weights_sql(p),
         "page_quotations_to_item": QS.page_quotations_sql(p),
         **q_tables.sql(),
+        **q_io.sql(),
     }

@@ -12,10 +12,13 @@ from ..functions.records import blank_to_null, first_or_blank, record_json
 from . import schemas as SC
 
 
-def read_collections(spark: SparkSession, path: str) -> DataFrame:
+def read_collections(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Collections listing files ``{"results": [collection, ...]}`` -> rows of
-    the ``collections`` table (first description, raw record as ``api``)."""
-    raw = spark.read.schema(SC.COLLECTIONS_LISTING).option("multiLine", True).json(path)
+    the ``collections`` table (first description, raw record as ``api``).
+
+    ``multiline=True`` reads one (pretty-printed) listing per file;
+    ``False`` reads one listing per line, which splits across tasks."""
+    raw = spark.read.schema(SC.COLLECTIONS_LISTING).option("multiLine", multiline).json(path)
     c = raw.select(F.explode("results").alias("c")).select("c.*")
     return c.select(
         "id", "title", first_or_blank(F.col("description")).alias("description"), "count", "url",
@@ -25,15 +28,16 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
                                           "subject", "subject_topic", "item"]]).alias("api"))
 
 
-def read_collection_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Result pages of one collection each -> (collection_id, title, page, item id, url).
+def read_collection_pages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Result pages of collections -> (collection_id, title, page, item_id, url).
 
-    The collection id is taken from the file name ``<collection_id>__<page>.json``.
+    Pages are landed under ``<path>/collection_id=<id>/``; the collection id
+    comes from that folder (partition discovery), as the request context
+    supplies it in a crawler.
     """
-    raw = spark.read.schema(SC.COLLECTION_PAGE).option("multiLine", True).json(path) \
-        .withColumn("_file", F.col("_metadata.file_name"))
-    coll = F.regexp_extract(F.col("_file"), r"^(.*)__[0-9]+\.json$", 1)
-    return raw.select(coll.alias("collection_id"), "title", F.col("pagination.current").alias("page"),
+    schema = SC.COLLECTION_PAGE.add("collection_id", "string")
+    raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    return raw.select("collection_id", "title", F.col("pagination.current").alias("page"),
                       F.explode("results").alias("r")) \
         .select("collection_id", "title", "page", F.col("r.id").alias("item_id"), F.col("r.url").alias("url"))
 

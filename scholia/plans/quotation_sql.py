@@ -12,8 +12,8 @@ from ..sources.standins import SQL as STANDIN
 WORDS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-def grams_sql(text: str, n: int) -> str:
-    w = WORDS.format(t=text)
+def grams_sql(w: str, n: int) -> str:
+    """n-grams of a word-list column ``w`` (compute the list in a subquery first)."""
     return (f"CASE WHEN len({w}) >= {n} THEN list_transform(generate_series(1, len({w}) - {n - 1}), "
             f"lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), ' ')) ELSE [] END")
 
@@ -33,7 +33,8 @@ def base_ctes(p: QuotationParams, pages_sql: str, keys: list[str]) -> str:
     return f"""
 verses AS ({STANDIN['verses']}),
 vg AS (SELECT verse_id, gram, count(*) AS n_v FROM (
-         SELECT verse_id, unnest({grams_sql('text', p.n)}) AS gram FROM verses) GROUP BY verse_id, gram),
+         SELECT verse_id, unnest({grams_sql('w', p.n)}) AS gram
+         FROM (SELECT verse_id, {WORDS.format(t='text')} AS w FROM verses)) GROUP BY verse_id, gram),
 nv AS (SELECT CAST(count(DISTINCT verse_id) AS DOUBLE) AS N FROM verses),
 vw0 AS (SELECT verse_id, gram, n_v,
                sum(n_v) OVER (PARTITION BY verse_id) AS verse_len,
@@ -42,7 +43,8 @@ vw0 AS (SELECT verse_id, gram, n_v,
 vw AS (SELECT verse_id, gram, n_v, verse_len, df, n_v / verse_len * {idf} AS w FROM vw0, nv {max_df}),
 pages_in AS ({pages_sql}),
 pg AS (SELECT {k}, gram, count(*) AS n_d FROM (
-         SELECT {k}, unnest({grams_sql('text', p.n)}) AS gram FROM pages_in)
+         SELECT {k}, unnest({grams_sql('w', p.n)}) AS gram
+         FROM (SELECT {k}, {WORDS.format(t='text')} AS w FROM pages_in))
        WHERE gram IN (SELECT gram FROM vw) GROUP BY {k}, gram),
 pm AS (SELECT {dk}, v.verse_id, CAST(sum(v.n_v * d.n_d) AS BIGINT) AS tokens,
               sum(v.w * d.n_d) AS tfidf, sum(v.n_v * d.n_d) / max(v.verse_len) AS proportion

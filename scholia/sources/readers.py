@@ -53,15 +53,17 @@ def read_item_records(spark: SparkSession, path: str) -> DataFrame:
     return rec.select("api", "record", F.col("record.item.id").alias("id"))
 
 
-def item_rows(records: DataFrame, now) -> DataFrame:
+def item_rows(records: DataFrame, now, keep: list[str] = ()) -> DataFrame:
     """Parsed item records -> rows of the ``items`` table (title/url/date kept
-    as given; ``year`` from the date; ``updated`` = now)."""
+    as given; ``year`` from the date; ``updated`` = now).  ``keep`` names
+    extra input columns carried along."""
     from ..functions.dates import year_of
-    d = records.select("api", "record.item.*")
+    d = records.select("api", "record.item.*", *keep)
     return d.select("id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"),
                     year_of(F.col("date")).alias("year"), F.coalesce("date", F.lit("")).alias("date"),
                     F.col("subject_headings").alias("subjects"), F.col("language").alias("languages"),
-                    "api", (F.lit(now).cast("timestamp") if isinstance(now, str) else now).alias("updated"))
+                    "api", (F.lit(now).cast("timestamp") if isinstance(now, str) else now).alias("updated"),
+                    *keep)
 
 
 def read_books(spark: SparkSession, path: str, concatenated: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -27,9 +27,12 @@ def _c(col) -> Column:
 
 
 def word_tokens(col) -> Column:
-    """Lower-cased word tokens: runs of letters and digits."""
-    parts = F.split(F.lower(_c(col)), WORD_SPLIT)
-    return F.filter(parts, lambda w: w != F.lit(""))
+    """Lower-cased word tokens: runs of letters and digits.
+
+    Separators at both ends are cut first, so the split yields no empty
+    tokens and no per-element filter is needed."""
+    t = F.regexp_replace(F.lower(_c(col)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.when(t == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(t, WORD_SPLIT))
 
 
 def shifted_ngrams(items, n: int, sep: str = " ") -> Column:
@@ -58,25 +61,41 @@ def text_ngrams(col, n: int) -> Column:
     return word_ngrams(word_tokens(col), n)
 
 
+def _explode_shifted(df, keys, arr: str, n: int, sep: str, out: str, outer: bool = False):
+    """Rows (keys..., gram): one per window of ``n`` consecutive elements of
+    the array column ``arr``.  The ``n`` shifted slices are zipped and
+    exploded, and the elements are joined after the explode, so no lambda
+    runs per element and no row carries the whole input along."""
+    gen = F.explode_outer if outer else F.explode
+    if n == 1:
+        return df.select(*keys, gen(arr).alias(out))
+    length = F.greatest(F.size(arr) - F.lit(n - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(F.col(arr), k + 1, length) for k in range(n)])
+    z = df.select(*keys, gen(zipped).alias("_z"))
+    return z.select(*keys, F.concat_ws(sep, *[F.col("_z")[str(k)] for k in range(n)]).alias(out))
+
+
 def explode_ngrams(df, keys, text: str, n: int, out: str = "gram"):
     """Rows (keys..., gram) with one row per word n-gram of ``text``.
 
     The word array is projected once before the grams are built, so the
-    tokeniser runs once per row rather than once per shifted slice.
+    tokeniser runs once per row.
     """
     keys = list(keys)
     words = df.select(*keys, word_tokens(text).alias("_words"))
-    return words.select(*keys, F.explode(word_ngrams(F.col("_words"), n)).alias(out))
+    return _explode_shifted(words, keys, "_words", n, " ", out)
 
 
 def explode_char_ngrams(df, keys, text: str, n: int = 3, out: str = "gram", outer: bool = False):
-    """Rows (keys..., gram) per character n-gram; with ``outer`` a row with a
-    NULL gram is kept for inputs that have none."""
+    """Rows (keys..., gram) per character n-gram of :func:`letters_only` text.
+
+    Texts are normalised so that no gram is all blanks.  With ``outer`` an
+    input without grams keeps one row with a NULL gram.
+    """
     keys = list(keys)
     chars = df.select(*keys, F.split(letters_only(text), "").alias("_chars"))
-    grams = F.filter(shifted_ngrams(F.col("_chars"), n, ""), lambda g: F.trim(g) != F.lit(""))
-    gen = F.explode_outer if outer else F.explode
-    return chars.select(*keys, gen(grams).alias(out))
+    g = _explode_shifted(chars, keys, "_chars", n, "", out, outer)
+    return g.withColumn(out, F.when(F.col(out) != F.lit(""), F.col(out)))
 
 
 def letters_only(col) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import LANGUAGE_NAMES, LANGUAGE_TAGS, map_lookup
 from ..functions.text import explode_char_ngrams, sentences
+from ..session import spread
 
 UNDETERMINED = "UND"
 
@@ -33,7 +34,7 @@ def train_profiles(labelled: DataFrame, label: str = "lang", text: str = "text",
     so its size is bounded by the gram vocabulary, not by the text volume."""
     src = labelled.select(
         (map_lookup(F.col(label), label_map) if label_map else F.col(label)).alias("lang"), text)
-    src = src.filter(F.col("lang").isNotNull())
+    src = spread(src.filter(F.col("lang").isNotNull()))
     counts = explode_char_ngrams(src, ["lang"], text, n).groupBy("lang", "gram") \
         .agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("lang").orderBy(F.desc("count"), F.asc("gram"))
@@ -87,7 +88,7 @@ def sentence_languages(pages: DataFrame, profiles: Profiles, keys=("item_id",),
     """
     keys = list(keys)
     sk = keys + ["sentence_seq"]
-    sents = sentence_table(pages, keys)
+    sents = sentence_table(spread(pages.select(*keys, "text")), keys)
     grams = explode_char_ngrams(sents, sk, "sentence", n, outer=True)
     g = grams.join(F.broadcast(profiles.gains()), "gram", "left")
     langs = profiles.languages

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import uuid_of
 from ..functions.text import drop_last_words, explode_ngrams, strip_version, version_bonus
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 FEATURES = ("tokens", "tfidf", "proportion")
 
@@ -129,7 +129,7 @@ class ReferenceCorpus:
 
 def page_gram_counts(pages: DataFrame, keys: list[str], n: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """(keys..., gram, n_d) -- grams of every page, counted per page."""
-    g = explode_ngrams(pages, keys, "text", n)
+    g = explode_ngrams(spread(pages.select(*keys, "text")), keys, "text", n)
     if vocabulary is not None:
         g = g.join(vocabulary, "gram", "left_semi")
     return g.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n_d"))

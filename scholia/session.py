@@ -71,6 +71,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows over ``factor x`` the default parallelism when the
+    input has fewer partitions than that (e.g. a file with one huge row
+    group).  Used in front of operators that expand each row many times
+    (n-gram explodes).  Inputs that are already well split are returned
+    unchanged, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(target)
+    return df
+
+
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 

@@ -143,7 +143,7 @@ def markup_to_text(col) -> Column:
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.regexp_replace(t, r"[ \t\f\r]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.trim(t)
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def drop_last_words(col, k: int = 2) -> Column:

@@ -238,7 +238,7 @@ def markup_sql(c: str) -> str:
         t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     t = f"regexp_replace({t}, '[ \\t\\f\\r]+', ' ', 'g')"
     t = f"regexp_replace({t}, ' ?\\n[ \\n]*', chr(10), 'g')"
-    return f"trim({t})"
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
 
 
 PAGE_TEXT_SQL = f"""

@@ -75,23 +75,21 @@ def read_books(spark: SparkSession, path: str, concatenated: bool = False) -> tu
     Records that do not parse go to ``rejects`` with their text; the rest
     of the file is still read.
     """
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     if not concatenated:
-        raw = (spark.read.schema(SC.BOOK).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt_record")
-               .option("pathGlobFilter", "*.json").json(path))
-        raw = raw.withColumn("_file", F.col("_metadata.file_path"))
+        objs = (spark.read.option("pathGlobFilter", "*.json").text(path)
+                .withColumn("_file", F.col("_metadata.file_path"))
+                .filter(F.trim("value") != "").withColumnRenamed("value", "json"))
     else:
-        whole = spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(path) \
+        whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True) \
             .withColumn("_file", F.col("_metadata.file_path"))
         objs = whole.mapInPandas(_split_objects, "_file string, _seq long, json string")
-        parsed = objs.withColumn("b", F.from_json("json", SC.BOOK, {"mode": "PERMISSIVE",
-                                                                   "columnNameOfCorruptRecord": "_corrupt_record"}))
-        raw = parsed.select("b.*", "_file", "_seq", F.col("json").alias("_json"))
-        raw = raw.withColumn("_corrupt_record", F.when(F.col("lccn").isNull() & F.col("title").isNull(),
-                                                       F.col("_json")).otherwise(F.col("_corrupt_record"))).drop("_json")
-    bad = raw.filter(F.col("_corrupt_record").isNotNull())
-    good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, bad.select("_file", F.col("_corrupt_record").alias("record"))
+    parsed = objs.withColumn("b", F.from_json("json", SC.BOOK, opts))
+    raw = parsed.select("b.*", "_file", "json")
+    bad_flag = F.col("_corrupt_record").isNotNull() | (F.col("lccn").isNull() & F.col("title").isNull())
+    good = raw.filter(~bad_flag).drop("_corrupt_record", "json")
+    bad = raw.filter(bad_flag).select("_file", "lccn", F.col("json").alias("record"))
+    return good, bad
 
 
 def _split_objects(batches):

@@ -129,3 +129,34 @@ def array_search(df: DataFrame, column: str, terms: list[str], mode: str = "any"
 def in_range(df: DataFrame, column: str, low, high) -> DataFrame:
     """Inclusive range filter (pushes down to Parquet min/max statistics)."""
     return df.filter(F.col(column).between(low, high))
+
+
+def backfill_languages(items: DataFrame) -> DataFrame:
+    """Set ``languages`` from the stored record (``$.item.language``) where
+    a record exists; other rows keep their value."""
+    from ..functions.records import json_path
+    langs = F.from_json(json_path(F.col("api"), "$.item.language"), "array<string>")
+    return items.withColumn("languages", F.when(F.col("api").isNotNull(), langs).otherwise(F.col("languages")))
+
+
+def backfill_updated(items: DataFrame, now) -> DataFrame:
+    """Set ``updated`` to ``now`` on every row."""
+    return items.withColumn("updated", now)
+
+
+def page_manifest(collections: DataFrame, per_page: int = 1000) -> DataFrame:
+    """(collection_id, page, url): one request URL per result page of every
+    collection whose items URL belongs to the API (``count`` bounds the
+    number of pages)."""
+    from ..functions.records import collection_page_url, has_api
+    c = collections.filter(has_api(F.col("items_url")))
+    n = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(per_page)).cast("int"))
+    pages = c.select("id", "items_url", F.explode(F.sequence(F.lit(1), n)).alias("page"))
+    return pages.select(F.col("id").alias("collection_id"), "page",
+                        collection_page_url(F.col("items_url"), F.col("page"), per_page).alias("url"))
+
+
+def item_manifest(items: DataFrame) -> DataFrame:
+    """(id, fetch_url) for every item worth fetching (pass a backlog)."""
+    from ..functions.records import item_fetch_url
+    return items.filter(~is_resource(F.col("url"))).select("id", item_fetch_url(F.col("url")).alias("fetch_url"))

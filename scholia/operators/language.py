@@ -147,3 +147,15 @@ def language_agreement(counts: DataFrame, declared: DataFrame, item: str = "item
                     F.array_join(F.array_sort(F.coalesce(F.col("_codes"), F.array().cast("array<string>"))), ",")
                     .alias("declared"),
                     F.coalesce(F.array_contains(F.col("_codes"), F.col("lang")), F.lit(False)).alias("agrees"))
+
+
+def save_language_counts(counts: DataFrame, path: str, item: str = "item_id",
+                         destination: str = "language") -> None:
+    """Append (job_id, item_id, lang, sentences) rows; a job id is derived
+    from the item when absent.  One write per call, so an item's counts are
+    committed together."""
+    from ..functions.records import uuid_of
+    if "job_id" not in counts.columns:
+        counts = counts.withColumn("job_id", uuid_of(F.col(item), F.lit(destination)))
+    counts.select("job_id", F.col(item).alias("item_id"), "lang", F.col("sentences").cast("int")) \
+        .write.mode("append").parquet(path)

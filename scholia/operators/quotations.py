@@ -95,11 +95,12 @@ def verse_weights(verses: DataFrame, n_verses: int, n: int = 2, idf: str = "smoo
     number of verses.  ``verse_len`` is the verse's gram total.
     """
     counts = verse_gram_counts(verses, n)
-    by_verse = Window.partitionBy("verse_id")
-    by_gram = Window.partitionBy("gram")
-    out = (counts
-           .withColumn("verse_len", F.sum("n_v").over(by_verse))
-           .withColumn("df", F.count(F.lit(1)).over(by_gram)))
+    # Grouped aggregates joined back (not windows): a gram found in a third
+    # of all verses is pre-aggregated map-side instead of landing whole in
+    # one window task.
+    lens = counts.groupBy("verse_id").agg(F.sum("n_v").alias("verse_len"))
+    dfs = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    out = counts.join(lens, "verse_id").join(dfs, "gram")
     N = F.lit(float(n_verses))
     idf_col = F.log(N / (F.col("df") + 1)) if idf == "smooth_denominator" else F.log1p(N / F.col("df"))
     out = out.withColumn("w", F.col("n_v") / F.col("verse_len") * idf_col)
@@ -221,8 +222,12 @@ def page_quotations_to_item(pages: DataFrame, corpus: ReferenceCorpus, item: str
     p = corpus.params
     pot = potential_matches(pages, corpus, [item, page], **join_opts)
     scored = score(keep_candidates(pot, p.min_tokens, p.min_tfidf), p.model)
-    w = Window.partitionBy(item, "verse_id").orderBy(F.desc("probability"), F.asc(page))
-    per_item = scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # Best page per (item, verse) as a grouped min over a struct: partial
+    # aggregation keeps an item with very many pages from pinning one task.
+    best = F.min(F.struct((-F.col("probability")).alias("neg"), F.col(page).alias("pg"),
+                          F.col("probability").alias("p"))).alias("b")
+    per_item = scored.groupBy(item, "verse_id").agg(best).select(
+        item, "verse_id", F.col("b.pg").alias(page), F.col("b.p").alias("probability"))
     accepted = per_item.filter(F.col("probability") >= p.min_probability)
     return best_version(accepted, [item], p).select(item, "reference_id", "verse_id", page, "probability")
 
@@ -257,3 +262,20 @@ def fit_match_model(pairs: DataFrame, label: str = "label", max_iter: int = 100,
     scales = tuple(float(s) if s > 0 else 1.0 for s in scaler.std.toArray())
     return MatchModel(intercept=float(lr.intercept), coefficients=tuple(float(c) for c in lr.coefficients),
                       means=tuple(float(m) for m in scaler.mean.toArray()), scales=scales)
+
+
+def quotation_count(found: DataFrame) -> DataFrame:
+    """One row: number of quotations found."""
+    return found.agg(F.count(F.lit(1)).alias("n_quotations"))
+
+
+def save_quotations(found: DataFrame, path: str) -> None:
+    """Append quotations with the stored column types (probability as float)."""
+    found.select("job_id", "item_id", "reference_id", "verse_id",
+                 F.col("probability").cast("float").alias("probability")) \
+        .write.mode("append").parquet(path)
+
+
+def export_potential(potential: DataFrame, path: str) -> None:
+    """CSV dump (with header) of the potential matches, before pruning."""
+    potential.write.mode("overwrite").option("header", True).csv(path)

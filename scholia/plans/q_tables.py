@@ -122,8 +122,8 @@ def page_text(spark, d):
 
 
 def item_manifest(spark, d):
-    p = S.table(spark, d, "pages").filter(~R.is_resource(F.col("url")))
-    return p.select("page_id", R.item_fetch_url(F.col("url")).alias("fetch_url"))
+    p = S.table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
+    return I.item_manifest(p).withColumnRenamed("id", "page_id")
 
 
 def _collection_urls(spark, d):
@@ -138,11 +138,7 @@ PER_PAGE = 10
 
 
 def page_manifest(spark, d):
-    c = _collection_urls(spark, d).filter(R.has_api(F.col("items_url")))
-    pages = c.select("id", "items_url", F.explode(F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(PER_PAGE)).cast("int")))).alias("page"))
-    return pages.select(F.col("id").alias("collection_id"), "page",
-                        R.collection_page_url(F.col("items_url"), F.col("page"), PER_PAGE).alias("url"))
+    return I.page_manifest(_collection_urls(spark, d), PER_PAGE)
 
 
 def year_variants(spark, d):
@@ -169,9 +165,8 @@ def year_range(spark, d):
 
 
 def backfill_languages(spark, d):
-    it = S.items(spark, d).drop("languages")
-    langs = F.from_json(R.json_path(F.col("api"), "$.item.language"), "array<string>")
-    filled = it.withColumn("languages", F.when(F.col("api").isNotNull(), langs))
+    it = S.items(spark, d).withColumn("languages", F.lit(None).cast("array<string>"))
+    filled = I.backfill_updated(I.backfill_languages(it), F.current_timestamp())
     return filled.select("id", F.array_join("languages", ",").alias("languages"))
 
 

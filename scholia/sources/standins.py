@@ -6,7 +6,7 @@ Each rule exists twice: as a Spark function here and as a SQL fragment
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_of
@@ -109,9 +109,9 @@ def verses(spark, d) -> DataFrame:
 
 
 def jobs(spark, d) -> DataFrame:
+    from ..operators.tables import first_per_key
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    first = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    ev = ev.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+    ev = first_per_key(ev, ["user_id", "event_type"], ["ts", "event_id"])
     status = F.element_at(F.array(*[F.lit(s) for s in JOB_STATUSES]), (F.col("event_id") % 5 + 1).cast("int"))
     item_id = F.concat(F.lit("doc/"), F.col("user_id").cast("string"))
     return ev.select(

@@ -346,7 +346,7 @@ def sql() -> dict[str, str]:
           SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?{R.ITEM_QUERY}' AS fetch_url
           FROM pages WHERE strpos(url, '/resource/') = 0""",
         "page_manifest": with_ctes(["collections"], f"""
-          SELECT id AS collection_id, page,
+          SELECT id AS collection_id, CAST(page AS INTEGER) AS page,
                  regexp_replace(items_url, '[?#].*$', '') || '?{R.PAGE_QUERY.split('{page}')[0].format(per_page=PER_PAGE)}'
                    || page || '{R.PAGE_QUERY.split('{page}')[1]}' AS url
           FROM (SELECT id, items_url,

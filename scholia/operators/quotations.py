@@ -137,7 +137,7 @@ def page_gram_counts(pages: DataFrame, keys: list[str], n: int, vocabulary: Data
 
 
 def potential_matches(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",),
-                      broadcast_rows: int = 2_000_000, salt_buckets: int = 16,
+                      broadcast_rows: int = 1_000_000, salt_buckets: int = 16,
                       hot_df: int = 64) -> DataFrame:
     """(keys..., verse_id, tokens, tfidf, proportion) for every pair sharing a gram.
 

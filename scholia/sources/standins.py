@@ -46,7 +46,9 @@ def items(spark, d) -> DataFrame:
         F.array(F.col("source"), F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))).alias("subjects"),
         F.array(_lang_name(F.col("lang"))).alias("languages"),
         api.alias("api"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("updated"),
+        # Zone-free timestamp so the rule reads the same in every session time zone.
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("updated"),
     )
 
 

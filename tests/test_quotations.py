@@ -101,3 +101,15 @@ def test_page_grain_one_row_per_reference(spark, corpus):
     out = Q.page_quotations_to_item(pages, corpus).collect()
     assert sorted(r.reference_id for r in out) == ["Gen 1:1", "Ps 23:1"]
     assert [r.page_seq for r in out if r.reference_id == "Gen 1:1"] == [0]
+
+
+def test_streaming_equals_batch(spark, corpus, tmp_path):
+    from scholia.streaming import runners as RN
+    pages = spark.createDataFrame(DOCS, "item_id string, text string")
+    for i, part in enumerate([DOCS[:2], DOCS[2:]]):
+        spark.createDataFrame(part, pages.schema).write.parquet(str(tmp_path / "land" / f"b={i}"))
+    out = str(tmp_path / "out")
+    RN.run(RN.detect_quotations(spark, str(tmp_path / "land"), pages.schema, corpus, out, str(tmp_path / "ck")))
+    batch = sorted((r.item_id, r.verse_id) for r in Q.find_quotations(pages, corpus).collect())
+    stream = sorted((r.item_id, r.verse_id) for r in spark.read.parquet(out).collect())
+    assert batch == stream and batch

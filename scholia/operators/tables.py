@@ -130,3 +130,53 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+class SnapshotSet:
+    """Several tables that change together (items, resources, files).
+
+    ``publish({'items': df1, 'resources': df2, ...})`` writes every table
+    under one new snapshot folder and then switches one pointer, so readers
+    see all old or all new tables, never a mix.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, name: str = "tables"):
+        self.spark = spark
+        self.root = (root or f"{ensure_checkpoint_dir(spark)}/tables/{name}").rstrip("/")
+        self._pointer = SnapshotTable(spark, self.root)
+
+    def current(self) -> str | None:
+        return self._pointer.current()
+
+    def read(self, table: str) -> DataFrame | None:
+        cur = self.current()
+        return None if cur is None else self.spark.read.parquet(f"{cur}/{table}")
+
+    def publish(self, tables: dict[str, DataFrame]) -> str:
+        snap = f"{self.root}/snap-{uuid.uuid4().hex}"
+        cur = self.current()
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{snap}/{name}")
+        # Tables not given are carried over from the current snapshot.
+        if cur is not None:
+            for name in self._names(cur):
+                if name not in tables:
+                    self.spark.read.parquet(f"{cur}/{name}").write.parquet(f"{snap}/{name}")
+        self.spark.createDataFrame([(snap,)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(self._pointer.pointer)
+        return snap
+
+    def _names(self, snap: str) -> list[str]:
+        listing = self.spark.read.text(f"{snap}/*/_SUCCESS").select(F.col("_metadata.file_path").alias("p"))
+        return sorted({r.p.rstrip("/").split("/")[-2] for r in listing.collect()})
+
+
+def save_items(snapshots: SnapshotSet, items: DataFrame, resources: DataFrame, files: DataFrame,
+               incoming_items: DataFrame, incoming_resources: DataFrame, incoming_files: DataFrame,
+               order: list | None = None) -> str:
+    """Upsert items and replace their resources and files, all in one switch."""
+    return snapshots.publish({
+        "items": upsert(items, incoming_items, ["id"], order),
+        "resources": replace_children(resources, incoming_resources),
+        "files": replace_children(files, incoming_files),
+    })

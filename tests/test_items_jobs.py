@@ -116,3 +116,19 @@ def test_shred_then_assemble(spark):
     nested = I.assemble_items(item_rows(recs, F.lit(NOW)), r, f).first()
     assert nested.year is None or nested.year == 1901
     assert len(nested.resources) == 2 and len(nested.files) == 3
+
+
+def test_snapshot_set_switches_together(spark, tmp_path):
+    s = TB.SnapshotSet(spark, str(tmp_path / "set"))
+    items = spark.createDataFrame([("i1", "a")], "id string, v string")
+    res = spark.createDataFrame([("i1", 0, "r0"), ("i1", 1, "r1")], "item_id string, resource_seq int, url string")
+    files = spark.createDataFrame([("i1", 0, "f")], "item_id string, resource_seq int, name string")
+    s.publish({"items": items, "resources": res, "files": files})
+    TB.save_items(s, s.read("items"), s.read("resources"), s.read("files"),
+                  spark.createDataFrame([("i1", "b")], "id string, v string"),
+                  spark.createDataFrame([("i1", 0, "new")], "item_id string, resource_seq int, url string"),
+                  spark.createDataFrame([], "item_id string, resource_seq int, name string").unionByName(
+                      spark.createDataFrame([("i1", 0, "g")], "item_id string, resource_seq int, name string")))
+    assert [r.v for r in s.read("items").collect()] == ["b"]
+    assert [r.url for r in s.read("resources").collect()] == ["new"]
+    assert [r.name for r in s.read("files").collect()] == ["g"]

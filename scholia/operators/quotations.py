@@ -159,6 +159,10 @@ def potential_matches(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id"
         salt = F.when(F.col("df") >= hot_df, F.lit(salt_buckets)).otherwise(F.lit(1))
         ws = (w.withColumn("salt", F.explode(F.sequence(F.lit(0), salt - 1))))
         hot = w.filter(F.col("df") >= hot_df).select("gram").distinct().withColumn("hot", F.lit(True))
+        # A hot gram fills at least hot_df weight rows, so the hot list has at
+        # most n_rows / hot_df rows: a proven bound, checked before broadcasting.
+        if corpus.n_rows // max(hot_df, 1) <= broadcast_rows:
+            hot = F.broadcast(hot)
         dg = (dg.join(hot, "gram", "left")
               .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*keys), F.lit(salt_buckets)))
                           .otherwise(F.lit(0))).drop("hot"))

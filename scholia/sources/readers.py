@@ -42,13 +42,16 @@ def read_collection_pages(spark: SparkSession, path: str, multiline: bool = Fals
         .select("collection_id", "title", "page", F.col("r.id").alias("item_id"), F.col("r.url").alias("url"))
 
 
-def read_item_records(spark: SparkSession, path: str) -> DataFrame:
-    """Item record files, one JSON record per line -> (api, record, id).
+def read_item_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Item record files -> (api, record, id).
 
-    ``api`` keeps the raw JSON text; ``record`` is the typed parse; ``id``
-    is the id carried by the record (it may differ from the stub's id).
+    One JSON record per line, or with ``multiline=True`` one (pretty-printed)
+    record per file, as an API response is saved.  ``api`` keeps the raw
+    JSON text; ``record`` is the typed parse; ``id`` is the id carried by
+    the record (it may differ from the stub's id).
     """
-    raw = spark.read.text(path).withColumnRenamed("value", "api").filter(F.trim("api") != "")
+    raw = spark.read.text(path, wholetext=multiline).withColumnRenamed("value", "api") \
+        .filter(F.trim("api") != "")
     rec = raw.withColumn("record", F.from_json("api", SC.ITEM_RECORD))
     return rec.select("api", "record", F.col("record.item.id").alias("id"))
 

@@ -71,3 +71,24 @@ def test_stream_ingest_equals_batch_upsert(spark, tmp_path):
     table = TB.SnapshotTable(spark, str(tmp_path / "tbl"))
     RN.run(RN.ingest_items(spark, land, table, str(tmp_path / "ck")))
     assert sorted((r.id, r.title, r.year) for r in table.read().collect()) == [("a", "final", 1901), ("b", "B", 1901)]
+
+
+def test_listing_pages_and_pretty_records(spark, tmp_path):
+    listing = {"results": [{"id": "c1", "title": "One", "description": ["first", "second"], "count": 3,
+                            "items": "https://www.loc.gov/collections/c1/", "subject": ["s"],
+                            "item": {"subjects": ["x"]}, "extra": 1},
+                           {"id": "c2", "title": "Two", "description": [], "count": 0}]}
+    _write(str(tmp_path / "listing"), "p1.json", json.dumps(listing, indent=2))
+    c = {r.id: r for r in RD.read_collections(spark, str(tmp_path / "listing")).collect()}
+    assert c["c1"].description == "first" and c["c2"].description == "" and c["c1"].subjects2 == ["x"]
+    assert json.loads(c["c1"].api)["id"] == "c1"
+    page = {"title": "One", "pagination": {"current": 2}, "results": [{"id": "i1", "url": "u1"}, {"id": "i2"}]}
+    _write(str(tmp_path / "pages" / "collection_id=c1"), "a.json", json.dumps(page) + "\n")
+    rows = sorted((r.collection_id, r.page, r.item_id) for r in
+                  RD.read_collection_pages(spark, str(tmp_path / "pages")).collect())
+    assert rows == [("c1", 2, "i1"), ("c1", 2, "i2")]
+    rec = {"item": {"id": "i1", "date": "1980-09-09", "title": "T"}, "resources": []}
+    _write(str(tmp_path / "recs"), "i1.json", json.dumps(rec, indent=2))
+    got = RD.read_item_records(spark, str(tmp_path / "recs"), multiline=True)
+    items = RD.item_rows(got, F.current_timestamp()).collect()
+    assert [(r.id, r.year) for r in items] == [("i1", 1980)]

@@ -15,7 +15,8 @@ LANGUAGE_TAGS = {"en": "ENG", "fr": "FRA", "de": "DEU", "es": "SPA"}
 TAG_NAMES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 
 # Request parameters of the listing and item APIs.
-API_BASE = "https://www.loc.gov"
+# The API base is configuration: pass ``base=`` to has_api, or change this default.
+API_BASE = "https://api.example.org"
 ITEM_BLOCKS = ["more_like_this", "related_items", "cite_this", "options"]
 LISTING_BLOCKS = [
     "aka", "breadcrumbs", "browse", "categories", "content", "content_is_post",

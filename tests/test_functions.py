@@ -24,19 +24,19 @@ def test_book_year(spark):
 
 
 def test_resource_urls(spark):
-    assert _one(spark, R.is_resource(F.col("x")), "https://www.loc.gov/resource/abc/") is True
-    assert _one(spark, R.is_resource(F.col("x")), "https://www.loc.gov/item/abc/") is False
-    assert _one(spark, R.has_api(F.col("x")), "https://www.loc.gov/collections/x/") is True
-    assert _one(spark, R.has_api(F.col("x")), "http://memory.loc.gov/x") is False
+    assert _one(spark, R.is_resource(F.col("x")), "https://api.example.org/resource/abc/") is True
+    assert _one(spark, R.is_resource(F.col("x")), "https://api.example.org/item/abc/") is False
+    assert _one(spark, R.has_api(F.col("x")), "https://api.example.org/collections/x/") is True
+    assert _one(spark, R.has_api(F.col("x")), "http://memory.example.org/x") is False
 
 
 def test_fetch_urls(spark):
-    url = _one(spark, R.item_fetch_url(F.col("x")), "https://www.loc.gov/item/abc/?sp=2")
-    assert url == "https://www.loc.gov/item/abc/?at%21=more_like_this%2Crelated_items%2Ccite_this%2Coptions&fo=json"
-    page = spark.createDataFrame([("https://www.loc.gov/collections/c/", 3)], "u string, p int") \
+    url = _one(spark, R.item_fetch_url(F.col("x")), "https://api.example.org/item/abc/?sp=2")
+    assert url == "https://api.example.org/item/abc/?at%21=more_like_this%2Crelated_items%2Ccite_this%2Coptions&fo=json"
+    page = spark.createDataFrame([("https://api.example.org/collections/c/", 3)], "u string, p int") \
         .select(R.collection_page_url(F.col("u"), F.col("p"))).first()[0]
     assert "&c=1000&fa=online-format%3Aonline+text&fo=json&sp=3&st=list" in page
-    assert page.startswith("https://www.loc.gov/collections/c/?at%21=aka%2Cbreadcrumbs")
+    assert page.startswith("https://api.example.org/collections/c/?at%21=aka%2Cbreadcrumbs")
 
 
 def test_sentences_and_grams(spark):

@@ -75,7 +75,7 @@ def test_stream_ingest_equals_batch_upsert(spark, tmp_path):
 
 def test_listing_pages_and_pretty_records(spark, tmp_path):
     listing = {"results": [{"id": "c1", "title": "One", "description": ["first", "second"], "count": 3,
-                            "items": "https://www.loc.gov/collections/c1/", "subject": ["s"],
+                            "items": "https://api.example.org/collections/c1/", "subject": ["s"],
                             "item": {"subjects": ["x"]}, "extra": 1},
                            {"id": "c2", "title": "Two", "description": [], "count": 0}]}
     _write(str(tmp_path / "listing"), "p1.json", json.dumps(listing, indent=2))

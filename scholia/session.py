@@ -73,13 +73,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Round-robin the rows over ``factor x`` the default parallelism when the
-    input has fewer partitions than that (e.g. a file with one huge row
-    group).  Used in front of operators that expand each row many times
-    (n-gram explodes).  Inputs that are already well split are returned
-    unchanged, so no shuffle is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(target)
+    input arrives in fewer partitions than the parallelism (e.g. a file with
+    one huge row group).  Used in front of operators that expand each row
+    many times (n-gram explodes).  Well-split inputs are returned unchanged,
+    so no shuffle is added at scale.
+
+    Session setting ``scholia.spreadInputs``: ``auto`` (default) looks at the
+    input's partition count, which is free for file scans but runs upstream
+    stages for an input that already contains a shuffle -- use ``never`` or
+    ``always`` for such inputs.
+    """
+    spark = df.sparkSession
+    mode = spark.conf.get("scholia.spreadInputs", "auto")
+    parallelism = spark.sparkContext.defaultParallelism
+    if mode == "never" or df.isStreaming:
+        return df
+    if mode == "always" or df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism * factor)
     return df
 
 

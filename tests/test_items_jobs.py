@@ -132,3 +132,44 @@ def test_snapshot_set_switches_together(spark, tmp_path):
     assert [r.v for r in s.read("items").collect()] == ["b"]
     assert [r.url for r in s.read("resources").collect()] == ["new"]
     assert [r.name for r in s.read("files").collect()] == ["g"]
+
+
+def test_manifests(spark):
+    from scholia.functions.records import API_BASE
+    colls = spark.createDataFrame([("c1", f"{API_BASE}/collections/c1/?x=1", 2500),
+                                   ("c2", "https://elsewhere.example/c2/", 10), ("c3", f"{API_BASE}/c3/", 0)],
+                                  "id string, items_url string, count int")
+    m = I.page_manifest(colls).collect()
+    assert sorted((r.collection_id, r.page) for r in m) == [("c1", 1), ("c1", 2), ("c1", 3), ("c3", 1)]
+    assert all("&sp=%d&st=list" % r.page in r.url and "?x=1" not in r.url for r in m)
+    items = spark.createDataFrame([("a", "https://x/item/a?q=1#f"), ("b", "https://x/resource/b")], "id string, url string")
+    assert [(r.id, r.fetch_url.split("?")[0]) for r in I.item_manifest(items).collect()] == [("a", "https://x/item/a")]
+
+
+def test_cascade_delete_and_audits(spark):
+    from scholia.operators import stats as ST
+    links = spark.createDataFrame([("a", "c"), ("b", "c")], "item_id string, collection_id string")
+    files = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "item_id string, file_seq int")
+    out = TB.cascade_delete({"links": (links, "item_id"), "files": (files, "item_id")},
+                            spark.createDataFrame([("a",)], "id string"))
+    assert [r.item_id for r in out["links"].collect()] == ["b"] and out["files"].count() == 1
+    parent = spark.createDataFrame([("b",)], "id string")
+    orph = ST.orphans(files, parent, ["item_id"], ["id"], "files").collect()
+    assert [(r.key, r.n) for r in orph] == [("a", 2)]
+    dup = ST.duplicate_keys(files.select("item_id"), ["item_id"], "files").collect()
+    assert [(r.key, r.n) for r in dup] == [("a", 2)]
+    jobs = spark.createDataFrame([("not-a-uuid", "i", "d", None, None, "weird")], SC.JOBS)
+    assert ST.bad_status(jobs).count() == 1 and ST.bad_uuid(jobs, "id", "jobs").count() == 1
+
+
+def test_cli_find_quotations(spark, tmp_path):
+    from scholia import cli
+    spark.createDataFrame([("i1", "in the beginning god created the heaven and the earth")],
+                          "item_id string, text string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("Gen 1:1 (KJV)", "In the beginning God created the heaven and the earth")],
+                          "verse_id string, text string").write.parquet(str(tmp_path / "verses"))
+    cli.main(["find-quotations", "--pages", str(tmp_path / "pages"), "--verses", str(tmp_path / "verses"),
+              "--out", str(tmp_path / "out"), "--potential", str(tmp_path / "pot")])
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.item_id, r.reference_id) for r in rows] == [("i1", "Gen 1:1")]
+    assert spark.read.option("header", True).csv(str(tmp_path / "pot")).count() == 1

@@ -8,15 +8,18 @@ features at once (token product, TF-IDF product, matched proportion).
 Pairs are pruned, scored, cut at an acceptance probability and the best
 version of each reference is kept per item.
 
-Plan shape, per call (see README "Scale notes"):
-
-* broadcast path (verse table under ``broadcast_rows``): scan -> explode
-  -> broadcast semi-join on the vocabulary -> partial count per
-  (page, gram) -> shuffle -> broadcast join with the weights -> partial sums
-  per (page, verse) -> shuffle.  Two shuffles, both of pre-aggregated rows.
-* shuffle path (large reference corpus): the counted doc grams and the
-  weights are joined by a shuffle on the gram; grams found in many verses
-  are salted over ``salt_buckets`` so one common gram cannot pin one task.
+Plan shape, per call (see README "Design and scale notes"):
+
+* broadcast path (verse table under ``broadcast_rows`` rows, counted):
+  scan -> explode grams -> broadcast join with the weights -> partial sums
+  per (page, verse) in the same stage -> one shuffle of (page, verse) sums.
+  A page is one input row, so counting grams per page first would only add
+  a shuffle of already-final (page, gram) counts (``count_first=True``
+  keeps that variant).
+* shuffle path (large reference corpus): grams are counted per page first
+  (map-side), then joined to the weights by a shuffle on the gram; grams
+  found in many verses are salted over ``salt_buckets`` so one common gram
+  cannot pin one task.
 """
 
 from __future__ import annotations
@@ -138,7 +141,7 @@ def page_gram_counts(pages: DataFrame, keys: list[str], n: int, vocabulary: Data
 
 def potential_matches(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",),
                       broadcast_rows: int = 1_000_000, salt_buckets: int = 16,
-                      hot_df: int = 64) -> DataFrame:
+                      hot_df: int = 64, count_first: bool = False) -> DataFrame:
     """(keys..., verse_id, tokens, tfidf, proportion) for every pair sharing a gram.
 
     ``tokens`` is the sum over shared grams of n_v * n_d (a product, not a
@@ -148,7 +151,13 @@ def potential_matches(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id"
     keys = list(keys)
     p = corpus.params
     w = corpus.weights.select("gram", "verse_id", "n_v", "w", "verse_len", "df")
-    if corpus.n_rows <= broadcast_rows:
+    if corpus.n_rows <= broadcast_rows and not count_first:
+        # One shuffle: every gram occurrence meets the broadcast weights and
+        # is summed per (page, verse) map-side in the same stage (n_d = 1 per
+        # occurrence gives the same sums as counting first).
+        g = explode_ngrams(spread(pages.select(*keys, "text")), keys, "text", p.n)
+        joined = g.join(F.broadcast(w), "gram").withColumn("n_d", F.lit(1).cast("long"))
+    elif corpus.n_rows <= broadcast_rows:
         vocab = F.broadcast(w.select("gram").distinct())
         dg = page_gram_counts(pages, keys, p.n, vocab)
         joined = dg.join(F.broadcast(w), "gram")

@@ -64,6 +64,8 @@ def test_markup_to_text(spark):
 
 def test_versions(spark):
     assert _one(spark, T.strip_version(F.col("x")), "Matthew 1:1 (KJV)") == "Matthew 1:1"
+    # two bracketed parts: the greedy span removes both
+    assert _one(spark, T.strip_version(F.col("x")), "Psalm 23:1 (a) (KJV)") == "Psalm 23:1"
     assert _one(spark, T.drop_last_words(F.col("x"), 2), "one two three four") == "one two"
     df = spark.createDataFrame([("John 3:16 (KJV)", 0.6), ("John 3:16 (ASV)", 0.6)], "v string, p double")
     got = [r[0] for r in df.select(T.version_bonus("v", "p")).collect()]

@@ -92,3 +92,12 @@ def test_listing_pages_and_pretty_records(spark, tmp_path):
     got = RD.read_item_records(spark, str(tmp_path / "recs"), multiline=True)
     items = RD.item_rows(got, F.current_timestamp()).collect()
     assert [(r.id, r.year) for r in items] == [("i1", 1980)]
+
+
+def test_message_round_trip(spark, tmp_path):
+    msg = [("123e4567-e89b-12d3-a456-426614174000", "item/1", 'Full "text"\nwith lines')]
+    df = spark.createDataFrame(msg, "job_id string, item_id string, full_text string")
+    p = str(tmp_path / "msgs")
+    RN.write_messages(df, p)
+    back = spark.read.schema("job_id string, item_id string, full_text string").json(p).collect()
+    assert [tuple(r) for r in back] == msg

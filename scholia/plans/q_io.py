@@ -195,8 +195,11 @@ def import_books(spark, d):
     rows = []
     for p in paths:
         books, _rejects = RD.read_books(spark, p)
-        rows.append(RD.book_rows(books, F.current_timestamp()))
-    merged = TB.insert_if_absent(rows[0], rows[1], ["lccn"])
+        rows.append(RD.book_rows(books, F.current_timestamp(), keep=["_file", "_seq"]))
+    # First writer wins: the first load is kept whole; within the second load
+    # the first record per lccn (file, then line order) is the one inserted.
+    existing = TB.first_per_key(rows[0], ["lccn"], ["_file", "_seq"]).drop("_file", "_seq")
+    merged = TB.insert_if_absent(existing, rows[1], ["lccn"], order=["_file", "_seq"])
     return merged.select("lccn", "title", "year", F.array_join("lang", ",").alias("lang"))
 
 

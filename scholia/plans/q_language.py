@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.records import TAG_NAMES, map_lookup
-from ..functions.text import ABBREVIATIONS, BLOCK_TAGS  # noqa: F401  (shared constants)
+from ..functions.text import ABBREVIATIONS
 from ..operators import language as L
 from ..sources import standins as S
 from ..sources.standins import SQL as STANDIN
@@ -57,8 +57,6 @@ QUERIES = {
 
 CODE_SQL = ("CASE {c} WHEN 'en' THEN 'ENG' WHEN 'fr' THEN 'FRA' WHEN 'de' THEN 'DEU' "
             "WHEN 'es' THEN 'SPA' END")
-NAME_CODE_SQL = ("CASE lower({c}) WHEN 'english' THEN 'ENG' WHEN 'french' THEN 'FRA' "
-                 "WHEN 'german' THEN 'DEU' WHEN 'spanish' THEN 'SPA' END")
 
 
 def _letters(c: str) -> str:

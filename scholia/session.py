@@ -8,7 +8,6 @@ setting is missing, which happens in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -91,11 +90,3 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     if mode == "always" or df.rdd.getNumPartitions() < parallelism:
         return df.repartition(parallelism * factor)
     return df
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))

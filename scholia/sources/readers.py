@@ -80,15 +80,18 @@ def read_books(spark: SparkSession, path: str, concatenated: bool = False) -> tu
     """
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     if not concatenated:
+        # File and read position are taken right after the read, so "first in
+        # the load" (file order, then line order) can be decided later.
         objs = (spark.read.option("pathGlobFilter", "*.json").text(path)
                 .withColumn("_file", F.col("_metadata.file_path"))
+                .withColumn("_seq", F.monotonically_increasing_id())
                 .filter(F.trim("value") != "").withColumnRenamed("value", "json"))
     else:
         whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True) \
             .withColumn("_file", F.col("_metadata.file_path"))
         objs = whole.mapInPandas(_split_objects, "_file string, _seq long, json string")
     parsed = objs.withColumn("b", F.from_json("json", SC.BOOK, opts))
-    raw = parsed.select("b.*", "_file", "json")
+    raw = parsed.select("b.*", "_file", "_seq", "json")
     bad_flag = F.col("_corrupt_record").isNotNull() | (F.col("lccn").isNull() & F.col("title").isNull())
     good = raw.filter(~bad_flag).drop("_corrupt_record", "json")
     bad = raw.filter(bad_flag).select("_file", "lccn", F.col("json").alias("record"))
@@ -128,16 +131,17 @@ def _split_objects(batches):
         yield pd.DataFrame({"_file": files, "_seq": seqs, "json": texts})
 
 
-def book_rows(books: DataFrame, now) -> DataFrame:
+def book_rows(books: DataFrame, now, keep: list[str] = ()) -> DataFrame:
     """Book records -> rows of the ``books`` table (year from the raw date
-    JSON, 0 without one; metadata JSON without the text)."""
+    JSON, 0 without one; metadata JSON without the text).  ``keep`` carries
+    extra columns (e.g. ``_file``, ``_seq`` for first-writer-wins)."""
     from ..functions.dates import book_year
     now_c = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     return books.select(
         "lccn", "isbn", "title", "publisher", book_year(F.col("publication_date")).alias("year"),
         "subject_full", "subject", "person", F.col("language").alias("lang"),
         book_metadata_json(books).alias("original_metadata"), F.col("text_en").alias("text"),
-        now_c.alias("created"), now_c.alias("updated"))
+        now_c.alias("created"), now_c.alias("updated"), *keep)
 
 
 def book_metadata_json(books: DataFrame):

@@ -101,3 +101,14 @@ def test_message_round_trip(spark, tmp_path):
     RN.write_messages(df, p)
     back = spark.read.schema("job_id string, item_id string, full_text string").json(p).collect()
     assert [tuple(r) for r in back] == msg
+
+
+def test_books_first_writer_wins(spark, tmp_path):
+    from scholia.operators import tables as TB2
+    d = str(tmp_path / "dups")
+    _write(d, "a.json", "\n".join(json.dumps({"lccn": "9", "title": t}) for t in ["first", "second", "third"]) + "\n")
+    books, _ = RD.read_books(spark, d)
+    rows = RD.book_rows(books, F.current_timestamp(), keep=["_file", "_seq"])
+    empty = rows.limit(0).drop("_file", "_seq")
+    got = TB2.insert_if_absent(empty, rows, ["lccn"], order=["_file", "_seq"]).collect()
+    assert [(r.lccn, r.title) for r in got] == [("9", "first")]

@@ -52,13 +52,14 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: list[str],
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """Last writer wins: incoming rows replace existing rows with the same key.
 
-    Within ``incoming`` the last row by ``order`` wins.
+    Within ``incoming`` the last row by ``order`` wins; the result has one
+    row per key.
     """
     cols = existing.columns
     inc = incoming.select(*cols, *[c for c in incoming.columns if c not in cols])
-    if order:
-        inc = first_per_key(inc, keys, order, last=True)
-    inc = inc.select(*cols)
+    # One row per key even without an order (then the pick is deterministic
+    # but arbitrary among duplicates of one load).
+    inc = first_per_key(inc, keys, order or keys, last=True).select(*cols)
     kept = existing.join(inc.select(*keys), keys, "left_anti")
     return kept.unionByName(inc)
 

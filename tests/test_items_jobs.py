@@ -173,3 +173,10 @@ def test_cli_find_quotations(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.item_id, r.reference_id) for r in rows] == [("i1", "Gen 1:1")]
     assert spark.read.option("header", True).csv(str(tmp_path / "pot")).count() == 1
+
+
+def test_upsert_without_order_keeps_one_row_per_key(spark):
+    base = spark.createDataFrame([("a", 1)], "id string, v int")
+    load = spark.createDataFrame([("a", 2), ("a", 3), ("b", 4), ("b", 4)], "id string, v int")
+    out = TB.upsert(base, load, ["id"]).collect()
+    assert sorted(r.id for r in out) == ["a", "b"] and {r.v for r in out if r.id == "a"} <= {2, 3}

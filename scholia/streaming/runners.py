@@ -105,10 +105,13 @@ def route_messages(spark: SparkSession, landing: str, good_path: str, dead_path:
     src = read_messages(spark, landing)
 
     def batch(df: DataFrame, epoch: int) -> None:
+        # Each epoch owns one folder per sink and overwrites it, so an epoch
+        # replayed after a failure replaces its own output instead of adding
+        # to it (readers see the folders as an ``epoch`` partition column).
         df = df.persist()
         good, dead = split_dead_letters(df)
-        good.write.mode("append").parquet(good_path)
-        dead.write.mode("append").parquet(dead_path)
+        good.write.mode("overwrite").parquet(f"{good_path}/epoch={epoch}")
+        dead.write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
         df.unpersist()
 
     return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),

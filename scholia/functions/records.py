@@ -50,7 +50,15 @@ def record_json(*cols) -> Column:
     return F.to_json(F.struct(*cols))
 
 
-def json_path(col, path: str) -> Column:
+def json_path(col, path: str, variant: bool = False, as_type: str = "string") -> Column:
+    """Value at a JSON path of a JSON text column (NULL when absent or not JSON).
+
+    ``variant=True`` parses into Spark's VARIANT type and reads the path
+    with ``try_variant_get`` (typed as ``as_type``); otherwise
+    ``get_json_object`` returns the text at the path.
+    """
+    if variant:
+        return F.try_variant_get(F.try_parse_json(_c(col)), path, as_type)
     return F.get_json_object(_c(col), path)
 
 

@@ -76,3 +76,12 @@ def test_uuid_and_status(spark):
     u = _one(spark, R.uuid_of(F.col("x"), F.lit("quotations")), "doc/1")
     assert len(u) == 36 and _one(spark, R.is_uuid(F.col("x")), u) is True
     assert _one(spark, R.status_rank(F.col("x")), "failed") == 4
+
+
+def test_json_paths(spark):
+    df = spark.createDataFrame([('{"item":{"id":"a","language":["english"]},"k":7}',), ("not json",)], "x string")
+    rows = df.select(R.json_path("x", "$.item.id").alias("a"),
+                     R.json_path("x", "$.k", variant=True, as_type="int").alias("b"),
+                     R.json_path("x", "$.item.language", variant=True, as_type="array<string>").alias("c")).collect()
+    assert (rows[0].a, rows[0].b, rows[0].c) == ("a", 7, ["english"])
+    assert (rows[1].a, rows[1].b, rows[1].c) == (None, None, None)

@@ -118,8 +118,9 @@ def multilingual_items(counts: DataFrame, item: str = "item_id", min_sentences:
     languages, each having >= ``min_sentences`` sentences and >= ``min_share``
     of the item's determined sentences (UND does not count)."""
     det = counts.filter(F.col("lang") != UNDETERMINED)
-    tot = det.groupBy(item).agg(F.sum("sentences").alias("_total"))
-    j = det.join(tot, item)
+    # Per-item total by a window: an item has at most one row per language,
+    # so each window group is bounded by the number of languages.
+    j = det.withColumn("_total", F.sum("sentences").over(Window.partitionBy(item)))
     ok = j.filter((F.col("sentences") >= min_sentences) &
                   (F.col("sentences") >= F.lit(min_share) * F.col("_total")))
     return (ok.groupBy(item).agg(F.count(F.lit(1)).alias("n_languages"),

@@ -180,3 +180,14 @@ def test_upsert_without_order_keeps_one_row_per_key(spark):
     load = spark.createDataFrame([("a", 2), ("a", 3), ("b", 4), ("b", 4)], "id string, v int")
     out = TB.upsert(base, load, ["id"]).collect()
     assert sorted(r.id for r in out) == ["a", "b"] and {r.v for r in out if r.id == "a"} <= {2, 3}
+
+
+def test_failed_publish_keeps_previous_snapshot(spark, tmp_path):
+    import pytest
+    t = TB.SnapshotTable(spark, str(tmp_path / "tbl"))
+    t.publish(spark.createDataFrame([(1,)], "x int"))
+    bad = spark.createDataFrame([(0,), (2,)], "x int").select(
+        F.when(F.col("x") > 0, F.col("x")).otherwise(F.raise_error(F.lit("boom"))).alias("x"))
+    with pytest.raises(Exception):
+        t.publish(bad)
+    assert [r.x for r in t.read().collect()] == [1]

@@ -112,3 +112,15 @@ def test_books_first_writer_wins(spark, tmp_path):
     empty = rows.limit(0).drop("_file", "_seq")
     got = TB2.insert_if_absent(empty, rows, ["lccn"], order=["_file", "_seq"]).collect()
     assert [(r.lccn, r.title) for r in got] == [("9", "first")]
+
+
+def test_stream_ingest_restart_changes_nothing(spark, tmp_path):
+    land = str(tmp_path / "items")
+    rec = json.dumps({"item": {"id": "a", "title": "A", "date": "1901-01-01"}, "resources": []})
+    _write(os.path.join(land, "b=1"), "x.json", rec + "\n")
+    table = TB.SnapshotTable(spark, str(tmp_path / "tbl"))
+    ck = str(tmp_path / "ck")
+    RN.run(RN.ingest_items(spark, land, table, ck))
+    first = table.current()
+    RN.run(RN.ingest_items(spark, land, table, ck))
+    assert table.current() == first and table.read().count() == 1

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import uuid_of
@@ -202,8 +202,13 @@ def best_version(scored: DataFrame, keys: list[str], params: QuotationParams) ->
     verse_id ascending on ties.  The bonus only picks; output keeps the raw value."""
     s = (scored.withColumn("reference_id", strip_version("verse_id"))
          .withColumn("prob_adj", version_bonus("verse_id", "probability", params.preferred_label, params.bonus)))
-    w = Window.partitionBy(*keys, "reference_id").orderBy(F.desc("prob_adj"), F.asc("verse_id"))
-    return s.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "prob_adj")
+    # Grouped min over (-prob_adj, verse_id, ...): same pick as a sorted
+    # window, but partially aggregated map-side and without a sort.
+    rest = [c for c in s.columns if c not in keys and c not in ("reference_id", "prob_adj", "verse_id")]
+    best = F.min(F.struct((-F.col("prob_adj")).alias("_neg"), F.col("verse_id"),
+                          *[F.col(c) for c in rest])).alias("_b")
+    return s.groupBy(*keys, "reference_id").agg(best) \
+        .select(*keys, "reference_id", "_b.verse_id", *[F.col(f"_b.{c}") for c in rest])
 
 
 def find_quotations(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",),

@@ -68,32 +68,26 @@ class Level:
     words: list[int]
     seeds: tuple[int, ...]
 
-    def has(self, key: Column) -> Column:
-        bits = 64 * len(self.words)
-        words = F.array(*[F.lit(w) for w in self.words]) if len(self.words) > 1 else None
+    def has(self, key: str) -> str:
+        """SQL condition: the filter passes the key in column ``key``."""
+        words = ", ".join(f"{w}L" if w != -1 << 63 else "shiftleft(1L, 63)" for w in self.words)
         tests = []
         for seed in self.seeds:
-            at = _bit(key, seed, bits)
-            word = F.lit(self.words[0]) if words is None else F.element_at(words, (F.floor(at / 64) + 1).cast("int"))
-            tests.append(F.getbit(word, (at % 64).cast("int")) == 1)
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+            at = _bit(key, seed, 64 * len(self.words))
+            tests.append(f"getbit(element_at(array({words}), cast(floor({at} / 64) AS int) + 1), cast({at} % 64 AS int)) = 1")
+        return "(" + " AND ".join(tests) + ")"
 
 
-def _bit(key: Column, seed: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(bits))
+def _bit(key: str, seed: int, bits: int) -> str:
+    return f"pmod(xxhash64({seed}, {key}), {bits}L)"
 
 
 def make_level(keys: DataFrame, n: int, hashes: int, seed: int) -> Level:
     """The Bloom filter of ``n`` keys in the column ``key``: 1.44 bits a key and hash."""
     bits = 64 * max(1, math.ceil(1.4427 * hashes * n / 64))
     seeds = tuple(1000 * seed + i for i in range(hashes))
-    at = F.explode(F.array(*[_bit(F.col("key"), s, bits) for s in seeds]))
-    rows = (keys.select(at.alias("at"))
-            .groupBy(F.floor(F.col("at") / 64).cast("int").alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")))
+    rows = (keys.selectExpr(f"explode(array({', '.join(_bit('key', x, bits) for x in seeds)})) AS at")
+            .groupBy(F.expr("cast(floor(at / 64) AS int) AS word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int))) AS bits")))
     words = [0] * (bits // 64)
     for r in rows.collect():  # at most one row a filter word: bounded by the rule list
         words[r["word"]] = r["bits"]
@@ -106,11 +100,11 @@ class Cascade:
     def __init__(self, levels: list[Level]):
         self.levels = levels
 
-    def has(self, key: Column) -> Column:
-        """A listed key leaves the levels at an even depth, any other key of the universe at an odd one."""
-        out = F.lit(len(self.levels) % 2 == 1)
+    def has(self, key: str) -> str:
+        """SQL condition: a listed key leaves the levels at an even depth, any other key of the universe at an odd one."""
+        out = str(len(self.levels) % 2 == 1)
         for depth in reversed(range(len(self.levels))):
-            out = F.when(~self.levels[depth].has(key), F.lit(depth % 2 == 1)).otherwise(out)
+            out = f"CASE WHEN NOT {self.levels[depth].has(key)} THEN {depth % 2 == 1} ELSE {out} END"
         return out
 
     @staticmethod
@@ -122,11 +116,11 @@ class Cascade:
         total = universe.agg(F.approx_count_distinct("key")).first()[0]
         hashes = min(FIRST_LEVEL_HASHES, max(1, math.ceil(math.log2(max(2, total / n)))))
         levels = [make_level(listed, n, hashes, 1)]
-        wrong = universe.filter(levels[0].has(F.col("key"))).join(listed, "key", "left_anti").distinct()
+        wrong = universe.filter(levels[0].has("key")).join(listed, "key", "left_anti").distinct()
         sides = [keep(wrong, "url-level"), listed]  # the side to encode next; the side it may pass wrongly
         while n := sides[0].count():
             levels.append(make_level(sides[0], n, 1, len(levels) + 1))
-            sides = [sides[1].filter(levels[-1].has(F.col("key"))), sides[0]]
+            sides = [sides[1].filter(levels[-1].has("key")), sides[0]]
             sides[0] = keep(sides[0], "url-level")
         return Cascade(levels)
 
@@ -165,16 +159,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
         return rows.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # a column per key and then per verdict: each is worked out once
     rows = rows.withColumns({f"key{i}": k for i, k in enumerate(keys)})
-    rows = rows.withColumns({f"verdict{i}": _verdict(F.col(f"key{i}"), cascades) for i in range(len(keys))})
-    found = [F.when(F.col(f"verdict{i}").isNotNull(), F.struct(F.length(f"key{i}").alias("n"), (F.length(f"key{i}") - length).alias("host_length"),
-                                                            F.col(f"key{i}").alias("key"), F.col(f"verdict{i}").alias("verdict")))
+    rows = rows.selectExpr("*", *[f"{_verdict(f'key{i}', cascades)} AS verdict{i}" for i in range(len(keys))])
+    found = [F.expr(f"CASE WHEN verdict{i} IS NOT NULL THEN struct(length(key{i}) AS n, length(key{i}) - {length} AS host_length, key{i} AS key, verdict{i} AS verdict) END")
              for i, (_, length) in enumerate(shapes(rules))]
     rows = rows.withColumn("best", F.array_max(F.array(*found)))
     return rows.select(id_col, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def _verdict(key: Column, cascades: dict[str, Cascade]) -> Column:
-    out = F.lit(None).cast("string")
-    for name, c in cascades.items():
-        out = F.when(c.has(key), F.lit(name)).otherwise(out)
-    return F.when(key.isNotNull(), out)
+def _verdict(key: str, cascades: dict[str, Cascade]) -> str:
+    cases = " ".join(f"WHEN {c.has(key)} THEN '{name}'" for name, c in cascades.items())
+    return f"CASE WHEN {key} IS NULL THEN NULL {cases} END"

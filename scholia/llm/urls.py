@@ -153,7 +153,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
         # the same keys come up in most rows, so partial aggregation leaves few to shuffle
         universe = keep(rows.select(F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL").distinct(), "url-keys")
         for verdict in sorted({r.verdict for r in rules}):
-            listed = spark.createDataFrame([(k,) for k in sorted({r.key for r in rules if r.verdict == verdict})], "key string")
+            listed = spark.range(0, 1, 1, 1).select(F.explode(F.lit(sorted({r.key for r in rules if r.verdict == verdict}))).alias("key"))
             cascades[verdict] = Cascade.build(listed, universe)
     if not rules:
         return rows.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))

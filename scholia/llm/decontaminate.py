@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .store import to_workers
+from .arrays import to_workers
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5

@@ -11,7 +11,7 @@ bitmaps (their Hamming distance is at most the size of the symmetric
 difference) and verified by an exact intersection.
 
 Linked groups need not be compared pair by pair to know their component, so
-candidates come in two rounds.  Round one compares each group with one or two
+candidates come in two rounds.  Round one compares each group with two
 pivots per shingle.  Round two compares only groups that round one left in
 different components; in each shingle's list, the groups outside its
 largest component are met with the rest.  Together they miss no link between
@@ -39,8 +39,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .arrays import to_workers
 from .components import components
-from .store import keep, to_workers
+from .store import keep
 
 #: Buckets of the shingle counts that the order goes by.
 BUCKET_BITS = 20
@@ -295,8 +296,14 @@ class Join:
         return keep(pairs.join(a, "a").join(b, "b").filter(fit).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
 
     def first_round(self) -> DataFrame:
-        """Each group with the smallest and the largest group of every list it is in; inside a group, each set with the first."""
-        ends = self.index.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
+        """Each group with two pivots of every list it is in; inside a group, each set with the first.
+
+        The first pivot has the shingle earliest in its own order: it has the
+        fewest shingles rarer than what the list shares, as the original of
+        edited copies has.  The second is any (the smallest number).
+        """
+        ends = self.index.groupBy("token").agg(F.min(F.struct("pos", "gid")).alias("first"), F.min("gid").alias("high"))
+        ends = ends.select("token", F.col("first.gid").alias("low"), "high")
         met = self.index.select("token", "gid").join(ends, "token")
         pairs = met.select(F.explode(F.array("low", "high")).alias("g"), F.col("gid").alias("h")).filter("g <> h").distinct()
         heads = self.sets.groupBy("gid").agg(F.min("set_id").alias("set_id"))

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import keep, to_workers
+from .arrays import to_workers
+from .store import keep
 
 #: Words of a block, slots of an output shard.
 BLOCK = 512

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .store import join_small, to_workers
+from .arrays import to_workers
+from .store import join_small
 
 #: Feature buckets.
 BITS = 16

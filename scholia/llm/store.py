@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +12,6 @@ from ..session import scratch_path
 BROADCAST_ROWS = 200_000
 
 
-def to_workers(module) -> None:
-    """Ship the functions of ``module`` with each task, so executors need no package path."""
-    cloudpickle.register_pickle_by_value(module)
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 

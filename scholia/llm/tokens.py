@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .store import read_if_there, to_workers
+from .arrays import to_workers
+from .store import read_if_there
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Texts handed to the tokenizer at once, in bytes.

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep, to_workers
+from .arrays import to_workers
+from .store import keep
 
 #: Vectors of a shard, on average, and shards at least (for small inputs).
 SHARD_ROWS = 32768

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .store import keep, to_workers
+from .arrays import to_workers
+from .store import keep
 from .urls import host_of
 
 # Element names and class words with a known role.

@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), scratch_path(spark, "token-cache"))
+    out = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), scratch_path(spark, "token-cache"), drops_blanks=True)
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

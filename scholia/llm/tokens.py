@@ -4,6 +4,11 @@ Each text's normalised content gets a SHA-256 digest; digests are joined to
 the counts stored for this tokenizer version; only distinct contents without
 a stored count are encoded, and their counts are appended to the cache.
 
+A tokenizer that drops white space (``drops_blanks``) gives a text as many
+tokens as its words have: contents then have their blank runs made one
+space, and a task encodes each distinct word once (in a memo of at most
+``MEMO_WORDS``).  Other tokenizers encode whole contents.
+
 Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows
 are counted alike and each kept; null ids are kept; extra columns are not
 read; an empty table gives an empty result.
@@ -26,6 +31,7 @@ from .store import read_if_there
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Texts handed to the tokenizer at once, in bytes.
 ENCODE_BYTES = 1 << 20
+MEMO_WORDS = 300_000
 
 
 def blank_runs_as_one(text: Column) -> Column:
@@ -33,10 +39,10 @@ def blank_runs_as_one(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
 
 
-def tokenizer_version(vocabulary: bytes, kind: str) -> str:
-    """Digest of the vocabulary file, its library and that library's version."""
+def tokenizer_version(vocabulary: bytes, kind: str, normal: str = "") -> str:
+    """Digest of the vocabulary file, its library, that library's version and how contents are normalised."""
     library = __import__({"json": "tokenizers", "model": "sentencepiece"}[kind])
-    return hashlib.sha256(f"{kind} {library.__version__} ".encode() + vocabulary).hexdigest()[:32]
+    return hashlib.sha256(f"{kind} {library.__version__} {normal} ".encode() + vocabulary).hexdigest()[:32]
 
 
 def counter(vocabulary: bytes, kind: str):
@@ -55,14 +61,31 @@ def counter(vocabulary: bytes, kind: str):
     return lambda texts: [len(x) for x in s.encode(texts, num_threads=1)]
 
 
-def _encoder(vocabulary, kind: str):
+def by_words(count):
+    """The counts of texts as the sums of their words' counts, each distinct word counted once."""
+    memo: dict[str, int] = {}
+
+    def run(texts: list[str]) -> list[int]:
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        split = [t.split(" ") for t in texts]
+        new = list(set().union(*split) - memo.keys())
+        memo.update(zip(new, count(new)))
+        return [sum(map(memo.__getitem__, words)) for words in split]
+
+    return run
+
+
+def _encoder(vocabulary, kind: str, drops_blanks: bool):
     def encode(batches):
         count = None
         for batch in batches:
             texts = arrays.filled(batch["content"])
             out: list[int] = []
             for a, b in arrays.pieces(texts, ENCODE_BYTES):
-                count = count or counter(vocabulary.value, kind)
+                if count is None:
+                    count = counter(vocabulary.value, kind)
+                    count = by_words(count) if drops_blanks else count
                 out += count(texts.slice(a, b - a).to_pylist())
             yield pa.record_batch({"digest": batch["digest"], "n_tokens": pa.array(out, pa.int64())})
 
@@ -70,20 +93,20 @@ def _encoder(vocabulary, kind: str):
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-                 content=blank_runs_as_one) -> DataFrame:
+                 drops_blanks: bool = False) -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens.
 
     ``cache_path``: a Parquet folder in shared storage, one partition per
     tokenizer version; it is made if absent and only ever appended to.
-    ``content`` must not change the tokenizer's counts.
+    ``drops_blanks``: the tokenizer cuts at white space and drops it.
     """
     spark = docs.sparkSession
     kind = vocabulary_path.rsplit(".", 1)[-1]
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()  # a vocabulary file: a few MB whatever the corpus
-    version = tokenizer_version(vocabulary, kind)
+    version = tokenizer_version(vocabulary, kind, "one blank" if drops_blanks else "as is")  # the contents of a cache partition are normalised alike
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), content(text).alias("content"))
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), (blank_runs_as_one(text) if drops_blanks else text).alias("content"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
 
     def stored() -> DataFrame | None:
@@ -93,7 +116,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str, *, id_c
     known = stored()
     distinct = rows.groupBy("digest").agg(F.first("content").alias("content"))
     misses = distinct if known is None else distinct.join(known, "digest", "left_anti")
-    counted = misses.mapInArrow(_encoder(spark.sparkContext.broadcast(vocabulary), kind), "digest binary, n_tokens long")
+    counted = misses.mapInArrow(_encoder(spark.sparkContext.broadcast(vocabulary), kind, drops_blanks), "digest binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     # two runs at once may both store a content: equal counts, so any one will do
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -48,7 +48,7 @@ def main(argv=None) -> None:
         corpus = Q.ReferenceCorpus.build(spark.read.parquet(a.verses), params)
         pages = spark.read.parquet(a.pages)
         if a.potential:
-            Q.export_potential(Q.potential_matches(pages, corpus), a.potential)
+            Q.export_potential(Q.potential_matches(pages, corpus, ["item_id", "page_seq"] if "page_seq" in pages.columns else ["item_id"]), a.potential)
         Q.save_quotations(Q.find_quotations(pages, corpus), a.out)
     elif a.cmd == "detect-languages":
         prof = L.Profiles.build(L.train_profiles(spark.read.parquet(a.train)))

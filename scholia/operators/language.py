@@ -1,15 +1,15 @@
 """Sentence language detection with character n-gram profiles.
 
-Profiles: per language, the ``top_k`` most frequent character 3-grams of
-labelled text with add-one smoothing, ``logp = ln((c + 1) / (total + V))``
-(total = the language's kept gram count, V = number of distinct profile
+Profiles: per language, all character 3-grams of labelled text with add-one
+smoothing, ``logp = ln((c + 1) / (total + V))``
+(total = the language's gram count, V = number of distinct profile
 grams over all languages).  A gram missing
 from a language's profile scores ``unseen = ln(1 / (total + V))``.
 
 Detection: sentences -> character grams -> one broadcast join with a
 (gram -> per-language gain) table -> one grouped sum per sentence.  The
-profile table is bounded by ``languages x top_k`` rows, which is what
-makes the broadcast safe at any data size.
+table has a row per distinct gram and a number per language; it is broadcast
+only if that comes to at most ``BROADCAST_BYTES``, else joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -25,20 +25,18 @@ from ..functions.text import explode_char_ngrams, sentences
 from ..session import spread
 
 UNDETERMINED = "UND"
+#: Largest gain table that is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def train_profiles(labelled: DataFrame, label: str = "lang", text: str = "text", n: int = 3,
-                   top_k: int = 1000, label_map: dict | None = LANGUAGE_TAGS) -> DataFrame:
-    """(lang, gram, count): the ``top_k`` most frequent grams per language
-    (ties by gram).  The per-language sort runs over distinct grams only,
-    so its size is bounded by the gram vocabulary, not by the text volume."""
+                   label_map: dict | None = LANGUAGE_TAGS) -> DataFrame:
+    """(lang, gram, count): every gram of each language.  A tag that
+    ``label_map`` does not have is a language under its own name."""
     src = labelled.select(
-        (map_lookup(F.col(label), label_map) if label_map else F.col(label)).alias("lang"), text)
+        (F.coalesce(map_lookup(F.col(label), label_map), F.col(label)) if label_map else F.col(label)).alias("lang"), text)
     src = spread(src.filter(F.col("lang").isNotNull()))
-    counts = explode_char_ngrams(src, ["lang"], text, n).groupBy("lang", "gram") \
-        .agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("lang").orderBy(F.desc("count"), F.asc("gram"))
-    return counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top_k).drop("_rn")
+    return explode_char_ngrams(src, ["lang"], text, n).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
 @dataclass
@@ -46,8 +44,7 @@ class Profiles:
     """Profile table ``(lang, gram, count, logp)`` plus per-language constants.
 
     The constants (one per language) are the only values brought to the
-    driver; the table stays distributed and is broadcast at detection time
-    (bounded by languages x top_k rows).
+    driver; the table stays distributed.
     """
     table: DataFrame
     languages: list[str]
@@ -90,8 +87,10 @@ def sentence_languages(pages: DataFrame, profiles: Profiles, keys=("item_id",),
     sk = keys + ["sentence_seq"]
     sents = sentence_table(spread(pages.select(*keys, "text")), keys)
     grams = explode_char_ngrams(sents, sk, "sentence", n, outer=True)
-    g = grams.join(F.broadcast(profiles.gains()), "gram", "left")
-    langs = profiles.languages
+    langs, gains = profiles.languages, profiles.gains()
+    if profiles.vocabulary * (40 + 8 * len(langs)) <= BROADCAST_BYTES:
+        gains = F.broadcast(gains)
+    g = grams.join(gains, "gram", "left")
     agg = g.groupBy(*sk).agg(
         F.count("gram").alias("_n"),
         F.count("g_0").alias("_known"),
@@ -139,9 +138,10 @@ def dominant_language(counts: DataFrame, item: str = "item_id") -> DataFrame:
 def language_agreement(counts: DataFrame, declared: DataFrame, item: str = "item_id",
                        names: str = "languages") -> DataFrame:
     """(item, detected, declared, agrees): dominant detected language against
-    the item's declared language names mapped to codes."""
+    the item's declared language names mapped to codes (a name without a
+    code stands for itself)."""
     dom = dominant_language(counts, item)
-    codes = declared.select(item, F.transform(F.col(names), lambda x: map_lookup(F.lower(x), LANGUAGE_NAMES))
+    codes = declared.select(item, F.transform(F.col(names), lambda x: F.coalesce(map_lookup(F.lower(x), LANGUAGE_NAMES), x))
                             .alias("_codes"))
     j = dom.join(codes, item, "left")
     return j.select(item, F.col("lang").alias("detected"),

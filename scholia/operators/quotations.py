@@ -58,7 +58,6 @@ class QuotationParams:
     preferred_label: str = "KJV"
     bonus: float = 0.05
     idf: str = "smooth_denominator"   # or 'log1p'
-    max_df: int | None = None    # drop grams found in more verses than this
     model: MatchModel = field(default_factory=MatchModel)
 
     def validate(self) -> "QuotationParams":
@@ -89,8 +88,7 @@ def verse_gram_counts(verses: DataFrame, n: int = 2) -> DataFrame:
             .groupBy("verse_id", "gram").agg(F.count(F.lit(1)).alias("n_v")))
 
 
-def verse_weights(verses: DataFrame, n_verses: int, n: int = 2, idf: str = "smooth_denominator",
-                  max_df: int | None = None) -> DataFrame:
+def verse_weights(verses: DataFrame, n_verses: int, n: int = 2, idf: str = "smooth_denominator") -> DataFrame:
     """(verse_id, gram, n_v, w, verse_len, df).
 
     ``w = n_v / verse_len * idf(gram)`` with ``idf = ln(N / (df + 1))``
@@ -107,8 +105,6 @@ def verse_weights(verses: DataFrame, n_verses: int, n: int = 2, idf: str = "smoo
     N = F.lit(float(n_verses))
     idf_col = F.log(N / (F.col("df") + 1)) if idf == "smooth_denominator" else F.log1p(N / F.col("df"))
     out = out.withColumn("w", F.col("n_v") / F.col("verse_len") * idf_col)
-    if max_df is not None:
-        out = out.filter(F.col("df") <= max_df)
     return out.select("verse_id", "gram", "n_v", "w", "verse_len", "df")
 
 
@@ -125,7 +121,7 @@ class ReferenceCorpus:
               persist: bool = True) -> "ReferenceCorpus":
         params = (params or QuotationParams()).validate()
         n_verses = verses.select("verse_id").distinct().count()
-        w = verse_weights(verses, n_verses, params.n, params.idf, params.max_df)
+        w = verse_weights(verses, n_verses, params.n, params.idf)
         if persist:
             w = cut_lineage(w)
         return cls(w, n_verses, w.count(), params)
@@ -215,14 +211,22 @@ def find_quotations(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",)
                     destination: str = "quotations", **join_opts) -> DataFrame:
     """(job_id, keys..., reference_id, verse_id, probability).
 
-    ``pages`` carries ``keys`` and ``text``; when it has no ``job_id`` one is
+    ``pages`` carries ``keys`` and ``text``, and may carry ``page_seq``; a page
+    is all rows of a (keys, page_seq), or without that column each row by
+    itself.  Features are never summed over pages: every page is scored, and a
+    verse counts with its best page.  When there is no ``job_id`` one is
     derived from the item id and destination (uuid-shaped md5).
     """
     keys = list(keys)
     p = corpus.params
-    pot = potential_matches(pages, corpus, keys, **join_opts)
+    page = next((c for c in ("page_seq",) if c in pages.columns), None)
+    if page is None:
+        page, pages = "_page", pages.withColumn("_page", F.monotonically_increasing_id())
+    pot = potential_matches(pages, corpus, [*keys, page] if page not in keys else keys, **join_opts)
     kept = keep_candidates(pot, p.min_tokens, p.min_tfidf)
     scored = score(kept, p.model).filter(F.col("probability") >= p.min_probability)
+    if page not in keys:
+        scored = scored.groupBy(*keys, "verse_id").agg(F.max("probability").alias("probability"))
     best = best_version(scored, keys, p)
     if "job_id" in keys:
         return best.select(*keys, "reference_id", "verse_id", "probability")

@@ -10,14 +10,13 @@ from ..operators import language as L
 from ..sources import standins as S
 from ..sources.standins import SQL as STANDIN
 
-TOP_K = 1000
 MIN_SENTENCES = 2
 MIN_SHARE = 0.2
 
 
 def profiles(spark, d) -> L.Profiles:
     docs = S.table(spark, d, "documents").select("lang", "text")
-    return L.Profiles.build(L.train_profiles(docs, top_k=TOP_K))
+    return L.Profiles.build(L.train_profiles(docs))
 
 
 def sentence_languages(spark, d):
@@ -41,7 +40,7 @@ def multilingual_items(spark, d):
 
 def language_agreement(spark, d):
     declared = S.mixed_items(spark, d).groupBy("item_id").agg(
-        F.collect_set(map_lookup(F.col("lang"), TAG_NAMES)).alias("languages"))
+        F.collect_set(F.coalesce(map_lookup(F.col("lang"), TAG_NAMES), F.col("lang"))).alias("languages"))
     return L.language_agreement(_mixed_counts(spark, d), declared, "item_id")
 
 
@@ -56,7 +55,7 @@ QUERIES = {
 # ---------------------------------------------------------------------------
 
 CODE_SQL = ("CASE {c} WHEN 'en' THEN 'ENG' WHEN 'fr' THEN 'FRA' WHEN 'de' THEN 'DEU' "
-            "WHEN 'es' THEN 'SPA' END")
+            "WHEN 'es' THEN 'SPA' ELSE {c} END")
 
 
 def _letters(c: str) -> str:
@@ -82,9 +81,7 @@ def profile_ctes() -> str:
     return f"""
 tr AS (SELECT {CODE_SQL.format(c='lang')} AS lang, {_letters('text')} AS t FROM documents),
 tg AS (SELECT lang, unnest({_char_grams_of('t')}) AS gram FROM tr WHERE lang IS NOT NULL),
-cnt AS (SELECT lang, gram, count(*) AS c FROM tg GROUP BY lang, gram),
-top AS (SELECT lang, gram, c FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram ASC) AS rn
-                                   FROM cnt) WHERE rn <= {TOP_K}),
+top AS (SELECT lang, gram, count(*) AS c FROM tg GROUP BY lang, gram),
 tot AS (SELECT lang, sum(c) AS total FROM top GROUP BY lang),
 vv AS (SELECT count(DISTINCT gram) AS V FROM top),
 unseen AS (SELECT lang, ln(1.0 / CAST(total + V AS DOUBLE)) AS unseen FROM tot, vv),

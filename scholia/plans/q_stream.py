@@ -21,13 +21,14 @@ from . import quotation_sql as QS
 from .catalog import QUOTATION_PARAMS
 
 LANDINGS = 3     # number of separate landings the input arrives in
+FILES = 2        # files a micro-batch takes, so that a stream has several
 
 
 def _land_parquet(df, root, key_col):
-    """Write df in LANDINGS appends (by key hash), each key within one file set."""
+    """Write df in LANDINGS appends of several files; the pages of an item are spread over all of them."""
     for i in range(LANDINGS):
-        part = df.filter(F.pmod(F.xxhash64(key_col), F.lit(LANDINGS)) == i)
-        part.repartition(4, key_col).write.mode("append").parquet(f"{root}/landing={i}")
+        part = df.filter(F.pmod(F.xxhash64(key_col, "page_seq"), F.lit(LANDINGS)) == i)
+        part.repartition(2, key_col, "page_seq").write.mode("append").parquet(f"{root}/landing={i}")
 
 
 def stream_ingest(spark, d):
@@ -42,7 +43,7 @@ def stream_ingest(spark, d):
         .select(rec(F.concat(F.col("title"), F.lit(" (draft)"))).alias("value")).write.text(f"{landing}/b=1")
     it.select(rec(F.col("title")).alias("value")).write.text(f"{landing}/b=2")
     table = SnapshotTable(spark, scratch_path(spark, "items-table"))
-    RN.run(RN.ingest_items(spark, landing, table, scratch_path(spark, "ckpt")))
+    RN.run(RN.ingest_items(spark, landing, table, scratch_path(spark, "ckpt"), files_per_batch=FILES))
     return table.read().select("id", "title", "year")
 
 
@@ -66,19 +67,19 @@ def stream_languages(spark, d):
     _land_parquet(mixed, landing, "item_id")
     results = scratch_path(spark, "languages")
     RN.run(RN.detect_languages(spark, landing, mixed.schema, QL.profiles(spark, d), results,
-                               scratch_path(spark, "ckpt")))
-    return spark.read.parquet(results).select("item_id", "lang", "sentences")
+                               scratch_path(spark, "ckpt"), files_per_batch=FILES))
+    return RN.language_results(spark, results).select("item_id", "lang", "sentences")
 
 
 def stream_quotations(spark, d):
     pages = S.table(spark, d, "documents").select(
-        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("item_id"), "text")
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("item_id"), F.lit(0).alias("page_seq"), "text")
     landing = scratch_path(spark, "landing-docs")
     _land_parquet(pages, landing, "item_id")
     corpus = Q.ReferenceCorpus.build(S.verses(spark, d), QUOTATION_PARAMS)
     results = scratch_path(spark, "quotations")
-    RN.run(RN.detect_quotations(spark, landing, pages.schema, corpus, results, scratch_path(spark, "ckpt")))
-    return spark.read.parquet(results).withColumn("probability", F.round("probability", 6))
+    RN.run(RN.detect_quotations(spark, landing, pages.schema, corpus, results, scratch_path(spark, "ckpt"), files_per_batch=FILES))
+    return RN.quotation_results(spark, results, corpus).withColumn("probability", F.round("probability", 6))
 
 
 def processor_run(spark, d):

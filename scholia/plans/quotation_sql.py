@@ -29,7 +29,6 @@ def base_ctes(p: QuotationParams, pages_sql: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     dk = ", ".join(f"d.{c}" for c in keys)
     idf = "ln(N / (df + 1))" if p.idf == "smooth_denominator" else "ln(1 + N / df)"
-    max_df = f"WHERE df <= {p.max_df}" if p.max_df is not None else ""
     return f"""
 verses AS ({STANDIN['verses']}),
 vg AS (SELECT verse_id, gram, count(*) AS n_v FROM (
@@ -40,7 +39,7 @@ vw0 AS (SELECT verse_id, gram, n_v,
                sum(n_v) OVER (PARTITION BY verse_id) AS verse_len,
                count(*) OVER (PARTITION BY gram) AS df
         FROM vg),
-vw AS (SELECT verse_id, gram, n_v, verse_len, df, n_v / verse_len * {idf} AS w FROM vw0, nv {max_df}),
+vw AS (SELECT verse_id, gram, n_v, verse_len, df, n_v / verse_len * {idf} AS w FROM vw0, nv),
 pages_in AS ({pages_sql}),
 pg AS (SELECT {k}, gram, count(*) AS n_d FROM (
          SELECT {k}, unnest({grams_sql('w', p.n)}) AS gram

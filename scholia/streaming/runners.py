@@ -4,7 +4,9 @@ Each runner reads landed files with a file source (explicit schema), runs
 the batch operators inside ``foreachBatch`` and commits through the
 streaming checkpoint, so a restarted query resumes where it stopped and
 an epoch replayed after a failure writes nothing twice (results are
-keyed by item and written once: anti-join against what is already there).
+keyed by page and written once: anti-join against what is already there).
+Pages of one item may land at any time: results are stored per page, and
+``language_results`` / ``quotation_results`` add them up per item.
 
 ``trigger_once=True`` uses ``availableNow`` (process what has landed, then
 stop); otherwise a processing-time trigger polls like the services do.
@@ -12,6 +14,7 @@ stop); otherwise a processing-time trigger polls like the services do.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,13 @@ def _trigger(writer, trigger_once: bool, interval: str):
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written yet; any other error is raised."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- nothing written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_once(batch: DataFrame, path: str, keys: list[str]) -> None:
@@ -52,21 +58,29 @@ def run(query) -> None:
 # --- T1: continuous ingest of item records ---------------------------------------
 
 def ingest_items(spark: SparkSession, landing: str, table: SnapshotTable, checkpoint: str,
-                 now=None, trigger_once: bool = True, interval: str = "15 minutes"):
+                 now=None, trigger_once: bool = True, interval: str = "15 minutes",
+                 rejects: str | None = None, files_per_batch: int = 1000):
     """Landed item record files (one JSON record per line) -> upsert into the
-    items table.  Later files win over earlier ones (file path order)."""
-    src = spark.readStream.format("text").load(landing) \
-        .select("value", F.col("_metadata.file_path").alias("_file"))
+    items table.  Later records win: by the file's modification time, its
+    path, and the place in the file.  Lines that are no item record are kept
+    in ``rejects`` (a folder per epoch; next to the checkpoint by default)."""
+    rejects = rejects or f"{checkpoint}-rejects"
+    src = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(landing) \
+        .select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"),
+                F.col("_metadata.file_block_start").alias("_block"))
 
     def batch(df: DataFrame, epoch: int) -> None:
+        df = df.withColumn("_at", F.struct("_time", "_path", "_block", F.monotonically_increasing_id().alias("line")))
         recs = (df.withColumnRenamed("value", "api").filter(F.trim("api") != "")
                 .withColumn("record", F.from_json("api", SC.ITEM_RECORD))
                 .withColumn("id", F.col("record.item.id")))
-        rows = RD.item_rows(recs, now if now is not None else F.current_timestamp(), keep=["_file"])
+        rows = RD.item_rows(recs, now if now is not None else F.current_timestamp(), keep=["_at"])
+        bad = rows.filter(F.col("id").isNull()).select(F.col("api").alias("record"), F.col("_at._path").alias("file"))
+        bad.write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
         cur = table.read()
         if cur is None:
             cur = spark.createDataFrame([], SC.ITEMS)
-        merged = upsert(cur, rows.filter(F.col("id").isNotNull()), ["id"], order=["_file"])
+        merged = upsert(cur, rows.filter(F.col("id").isNotNull()), ["id"], order=["_at"])
         table.publish(merged)
 
     return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),
@@ -122,33 +136,45 @@ def route_messages(spark: SparkSession, landing: str, good_path: str, dead_path:
 
 def detect_languages(spark: SparkSession, landing: str, schema, profiles: LG.Profiles, results: str,
                      checkpoint: str, item: str = "item_id", page: str = "page_seq",
-                     destination: str = "language", trigger_once: bool = True, interval: str = "15 minutes"):
-    """Landed page files -> per-item sentence counts per language, appended
-    once per item.  Pages of one item must land together (one file)."""
-    src = spark.readStream.schema(schema).parquet(landing)
+                     destination: str = "language", trigger_once: bool = True, interval: str = "15 minutes",
+                     files_per_batch: int = 1000):
+    """Landed page files -> sentence counts per page and language, appended
+    once per (item, page); read them with ``language_results``."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def batch(df: DataFrame, epoch: int) -> None:
         det = LG.sentence_languages(df, profiles, keys=[item, page])
-        counts = LG.language_counts(det, item)
-        out = counts.select(uuid_of(F.col(item), F.lit(destination)).alias("job_id"), item, "lang", "sentences")
-        write_once(out, results, [item])
+        counts = det.groupBy(item, page, "lang").agg(F.count(F.lit(1)).cast("int").alias("sentences"))
+        out = counts.select(uuid_of(F.col(item), F.lit(destination)).alias("job_id"), item, page, "lang", "sentences")
+        write_once(out, results, [item, page])
 
     return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),
                     trigger_once, interval).start()
 
 
+def language_results(spark: SparkSession, results: str, item: str = "item_id") -> DataFrame:
+    """(job_id, item, lang, sentences) over all pages that have landed so far."""
+    return spark.read.parquet(results).groupBy("job_id", item, "lang").agg(F.sum("sentences").cast("int").alias("sentences"))
+
+
 # --- T6: continuous quotation detection ----------------------------------------------
 
 def detect_quotations(spark: SparkSession, landing: str, schema, corpus: Q.ReferenceCorpus, results: str,
-                      checkpoint: str, item: str = "item_id", trigger_once: bool = True,
-                      interval: str = "15 minutes"):
+                      checkpoint: str, item: str = "item_id", page: str = "page_seq", trigger_once: bool = True,
+                      interval: str = "15 minutes", files_per_batch: int = 1000):
     """Landed page files joined with the (static) reference corpus; quotations
-    appended once per item."""
-    src = spark.readStream.schema(schema).parquet(landing)
+    appended once per (item, page); read them with ``quotation_results``."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        found = Q.find_quotations(df, corpus, keys=[item])
-        write_once(found, results, [item])
+        found = Q.find_quotations(df, corpus, keys=[item, page])
+        write_once(found, results, [item, page])
 
     return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),
                     trigger_once, interval).start()
+
+
+def quotation_results(spark: SparkSession, results: str, corpus: Q.ReferenceCorpus, item: str = "item_id") -> DataFrame:
+    """(job_id, item, reference_id, verse_id, probability): per reference the best page and version so far."""
+    rows = spark.read.parquet(results).groupBy("job_id", item, "verse_id").agg(F.max("probability").alias("probability"))
+    return Q.best_version(rows, ["job_id", item], corpus.params).select("job_id", item, "reference_id", "verse_id", "probability")

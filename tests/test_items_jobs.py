@@ -191,3 +191,10 @@ def test_failed_publish_keeps_previous_snapshot(spark, tmp_path):
     with pytest.raises(Exception):
         t.publish(bad)
     assert [r.x for r in t.read().collect()] == [1]
+
+
+def test_orphans_leave_out_keys_with_a_null_part(spark):
+    from scholia.operators.stats import orphans
+    child = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2), ("b", 2)], "i string, n int")
+    parent = spark.createDataFrame([("a", 1)], "x string, y int")
+    assert [tuple(r) for r in orphans(child, parent, ["i", "n"], ["x", "y"], "t").collect()] == [("t", "orphan", "b|2", 2)]

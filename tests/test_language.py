@@ -16,7 +16,7 @@ TEXT = ("This is a dummy document. Ese reloj fue un regalo de mi mujer.  It has
 
 
 def test_four_sentences(spark):
-    prof = L.Profiles.build(L.train_profiles(spark.createDataFrame(TRAIN, "lang string, text string"), top_k=500))
+    prof = L.Profiles.build(L.train_profiles(spark.createDataFrame(TRAIN, "lang string, text string")))
     pages = spark.createDataFrame([("item", 0, TEXT)], "item_id string, page_seq int, text string")
     det = L.sentence_languages(pages, prof, keys=["item_id", "page_seq"])
     counts = {r.lang: r.sentences for r in L.language_counts(det).collect()}
@@ -24,7 +24,7 @@ def test_four_sentences(spark):
 
 
 def test_undetermined_and_multilingual(spark):
-    prof = L.Profiles.build(L.train_profiles(spark.createDataFrame(TRAIN, "lang string, text string"), top_k=500))
+    prof = L.Profiles.build(L.train_profiles(spark.createDataFrame(TRAIN, "lang string, text string")))
     pages = spark.createDataFrame([("a", 0, "123 456. ..."), ("b", 0, TEXT), ("b", 1, "Wo ist das Wasser? Der Hund.")],
                                   "item_id string, page_seq int, text string")
     det = L.sentence_languages(pages, prof, keys=["item_id", "page_seq"])

@@ -103,13 +103,24 @@ def test_page_grain_one_row_per_reference(spark, corpus):
     assert [r.page_seq for r in out if r.reference_id == "Gen 1:1"] == [0]
 
 
-def test_streaming_equals_batch(spark, corpus, tmp_path):
+def test_pages_of_an_item_are_never_summed(spark, corpus):
+    """Seven pages that share one 2-gram each with a verse are no quotation of it."""
+    bits = ["in the sea", "the beginning of it", "oh beginning god of", "if god created all", "he created the sky", "the heaven is up", "and the earth"]
+    for schema, rows in (("item_id string, page_seq int, text string", [("i", k, t) for k, t in enumerate(bits)]),
+                         ("item_id string, text string", [("i", t) for t in bits])):
+        assert Q.find_quotations(spark.createDataFrame(rows, schema), corpus).count() == 0
+    whole = spark.createDataFrame([("i", 0, DOCS[0][1]), ("i", 1, "nothing")], "item_id string, page_seq int, text string")
+    assert [r.reference_id for r in Q.find_quotations(whole, corpus).collect()] == ["Gen 1:1"]
+
+
+def test_streaming_keeps_late_pages(spark, corpus, tmp_path):
+    """An item's pages in two landings and two runs add up to what a batch finds."""
     from scholia.streaming import runners as RN
-    pages = spark.createDataFrame(DOCS, "item_id string, text string")
-    for i, part in enumerate([DOCS[:2], DOCS[2:]]):
-        spark.createDataFrame(part, pages.schema).write.parquet(str(tmp_path / "land" / f"b={i}"))
+    rows = [("i1", 0, DOCS[0][1]), ("i2", 0, DOCS[2][1]), ("i1", 1, DOCS[1][1]), ("i2", 1, DOCS[0][1]), ("i1", 2, DOCS[0][1])]
+    pages = spark.createDataFrame(rows, "item_id string, page_seq int, text string")
     out = str(tmp_path / "out")
-    RN.run(RN.detect_quotations(spark, str(tmp_path / "land"), pages.schema, corpus, out, str(tmp_path / "ck")))
-    batch = sorted((r.item_id, r.verse_id) for r in Q.find_quotations(pages, corpus).collect())
-    stream = sorted((r.item_id, r.verse_id) for r in spark.read.parquet(out).collect())
-    assert batch == stream and batch
+    for i, part in enumerate([rows[:2], rows[2:]]):
+        spark.createDataFrame(part, pages.schema).repartition(2).write.parquet(str(tmp_path / "land" / f"b={i}"))
+        RN.run(RN.detect_quotations(spark, str(tmp_path / "land"), pages.schema, corpus, out, str(tmp_path / "ck"), files_per_batch=1))
+    batch = sorted(tuple(r) for r in Q.find_quotations(pages, corpus).collect())
+    assert batch == sorted(tuple(r) for r in RN.quotation_results(spark, out, corpus).collect()) and len(batch) == 3

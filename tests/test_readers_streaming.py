@@ -124,3 +124,24 @@ def test_stream_ingest_restart_changes_nothing(spark, tmp_path):
     first = table.current()
     RN.run(RN.ingest_items(spark, land, table, ck))
     assert table.current() == first and table.read().count() == 1
+
+
+def test_ingest_takes_the_later_line_and_keeps_rejects(spark, tmp_path):
+    from scholia.operators.tables import SnapshotTable
+    from scholia.streaming import runners as RN
+    land = tmp_path / "land"
+    land.mkdir()
+    line = '{"item": {"id": "http://x/1", "title": "%s"}, "resources": []}'
+    (land / "a.txt").write_text("\n".join([line % "zzz old", "no json", line % "aaa new"]))
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    RN.run(RN.ingest_items(spark, str(land), table, str(tmp_path / "ck")))
+    assert [r.title for r in table.read().collect()] == ["aaa new"]
+    assert [r.record for r in spark.read.parquet(str(tmp_path / "ck-rejects")).collect()] == ["no json"]
+
+
+def test_an_unknown_language_tag_is_a_language(spark):
+    from scholia.operators import language as L
+    rows = [("en", "the cat and the dog"), ("xx", "zzq qqz zqz qzq")]
+    prof = L.Profiles.build(L.train_profiles(spark.createDataFrame(rows, "lang string, text string")))
+    pages = spark.createDataFrame([("i", "zqz qzq.")], "item_id string, text string")
+    assert prof.languages == ["ENG", "xx"] and L.sentence_languages(pages, prof).first().lang == "xx"

@@ -223,7 +223,8 @@ class Mix:
     def mixed(self) -> DataFrame:
         """The mix itself: per slot, the document parts it holds, in order of shard, slot and offset."""
         n = F.greatest(F.lit(0), F.least(F.col("n_words"), F.col("words") - F.col("offset")))
-        return (self.slots.join(self.segments(), ["source", "block"])
+        # both sides grow with the corpus; the slots' size is unknown to the planner, which would broadcast them
+        return (self.slots.hint("merge").join(self.segments(), ["source", "block"])
                 .select("shard", "slot", "source", "pass", "block", "row", "id", "first_word", "offset", n.alias("n_words")).filter("n_words > 0"))
 
     def taken(self) -> DataFrame:

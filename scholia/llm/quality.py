@@ -95,15 +95,17 @@ def fit(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, passes: int = PAS
     """Hinge-loss linear model on (label 0 or 1, present buckets) by dual coordinate descent."""
     n = len(rows)
     y = np.array([1.0 if label else -1.0 for label, _ in rows])
-    vectors = [(idx, ratio[idx] / np.sqrt(max(1, len(idx)))) for _, idx in rows]
-    square = np.array([float((v * v).sum()) + 1.0 for _, v in vectors])
+    # values are worked out anew at each step: held, they would take many times the memory of the bucket numbers
+    scale = np.array([1 / np.sqrt(max(1, len(idx))) for _, idx in rows])
+    square = np.array([float((ratio[idx] ** 2).sum()) * c * c + 1.0 for (_, idx), c in zip(rows, scale)])
     # both classes weigh the same in total
     limit = cost * np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
     weights, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(n)
     order = np.random.default_rng(arrays.SEED)
     for _ in range(passes):
         for i in order.permutation(n):
-            idx, v = vectors[i]
+            idx = rows[i][1]
+            v = ratio[idx] * scale[i]
             slack = y[i] * (weights[idx] @ v + bias) - 1.0
             new = min(max(alpha[i] - slack / square[i], 0.0), limit[i])
             if new != alpha[i]:
@@ -111,7 +113,7 @@ def fit(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, passes: int = PAS
                 weights[idx] += step * v
                 bias += step
                 alpha[i] = new
-    margins = np.array([weights[idx] @ v + bias for idx, v in vectors])
+    margins = np.array([(weights[idx] @ ratio[idx]) * c + bias for (_, idx), c in zip(rows, scale)])
     slope, shift = logistic(margins, y)
     return Model((weights * ratio).astype(np.float32), bias, slope, shift)
 
@@ -159,8 +161,8 @@ def _sample_features(batches):
 def unpack(features: bytes) -> np.ndarray:
     """Sorted bucket numbers: 16-bit numbers, or (an odd length) a bitmap of 8 KB."""
     if len(features) % 2:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(features[:-1], np.uint8)))
-    return np.frombuffer(features, np.uint16).astype(np.int64)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(features[:-1], np.uint8))).astype(np.uint16)
+    return np.frombuffer(features, np.uint16)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     part = min(1.0, 1.2 * sample_rows / (up + down))
     h = F.xxhash64(F.lit("quality"), "id")
     sample = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    sample = sample.mapInArrow(_sample_features, "quality int, h long, features binary").orderBy("h", "features").limit(sample_rows).collect()
+    sample = sample.mapInArrow(_sample_features, "quality int, h long, features binary").orderBy("h", "features").limit(sample_rows).toLocalIterator()
     return fit([(r["quality"], unpack(bytes(r["features"]))) for r in sample], ratio)
 
 

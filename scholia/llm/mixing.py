@@ -18,7 +18,7 @@ takings of 0; extra columns are not read.
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -178,10 +178,10 @@ def slots(spark: SparkSession, shares: list[Share], seed: int = SEED) -> DataFra
     """One row per slot: shard, slot, source number, pass, block, words it takes of the block."""
     counts = np.array([s.slots for s in shares], np.int64)
     shards = -(-int(counts.sum()) // SHARD_SLOTS)
-    plan = spark.sparkContext.broadcast((shares, counts))
+    plan = spark.sparkContext.broadcast(([astuple(s) for s in shares], counts))  # plain values: a broadcast pickles classes by name
 
     def run(frames):
-        held, numbers = plan.value
+        held, numbers = [Share(*s) for s in plan.value[0]], plan.value[1]
         for frame in frames:
             for shard in frame["id"]:
                 before, own = shard_counts(numbers, int(shard), shards, seed)

@@ -20,7 +20,7 @@ label; extra columns pass unchanged through ``filter_quality``.
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +194,12 @@ def margins(model: Model, column: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per document: id, score, predicted (1 if the score reaches the threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # plain values: a broadcast pickles classes by name
 
     def run(batches):
+        fitted = Model(*shared.value)
         for batch in batches:
-            s = shared.value.score(margins(shared.value, batch["text"]))
+            s = fitted.score(margins(fitted, batch["text"]))
             yield pa.record_batch({"id": batch["id"], "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= threshold).astype(np.int32), pa.int32())})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -207,12 +208,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def filter_quality(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text reaches the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # plain values: a broadcast pickles classes by name
     at = docs.columns.index(text_col)
 
     def run(batches):
+        fitted = Model(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(margins(shared.value, batch.column(at))) >= threshold))
+            yield batch.filter(pa.array(fitted.score(margins(fitted, batch.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

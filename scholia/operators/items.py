@@ -13,26 +13,27 @@ FILE_FIELDS = ["mimetype", "fulltext", "fulltext_service", "word_coordinates", "
 PAGE_KEYS = ["resource_seq", "file_seq", "format_seq"]
 
 
-def shred_resources(records: DataFrame, id_col: str = "id") -> DataFrame:
+def shred_resources(records: DataFrame, id_col: str = "id", keep: list[str] = ()) -> DataFrame:
     """Parsed item records -> resource rows (item_id, resource_seq, fields...).
 
     Blank strings become NULL.  ``records`` has ``id_col`` and ``resources``
-    (array of structs, as in :data:`scholia.sources.schemas.ITEM_RECORD`).
+    (array of structs, as in :data:`scholia.sources.schemas.ITEM_RECORD`);
+    ``keep`` names extra input columns carried along.
     """
-    r = records.select(F.col(id_col).alias("item_id"),
+    r = records.select(F.col(id_col).alias("item_id"), *keep,
                        F.posexplode("resources").alias("resource_seq", "r"))
     return r.select("item_id", F.col("resource_seq").cast("int"),
-                    *[blank_to_null(F.col(f"r.{f}")).alias(f) for f in RESOURCE_FIELDS])
+                    *[blank_to_null(F.col(f"r.{f}")).alias(f) for f in RESOURCE_FIELDS], *keep)
 
 
-def shred_files(records: DataFrame, id_col: str = "id") -> DataFrame:
+def shred_files(records: DataFrame, id_col: str = "id", keep: list[str] = ()) -> DataFrame:
     """Parsed item records -> file rows keyed by (item, resource, file, format) seq."""
-    r = records.select(F.col(id_col).alias("item_id"),
+    r = records.select(F.col(id_col).alias("item_id"), *keep,
                        F.posexplode("resources").alias("resource_seq", "r"))
-    f = r.select("item_id", "resource_seq", F.posexplode("r.files").alias("file_seq", "formats"))
-    g = f.select("item_id", "resource_seq", "file_seq", F.posexplode("formats").alias("format_seq", "x"))
+    f = r.select("item_id", *keep, "resource_seq", F.posexplode("r.files").alias("file_seq", "formats"))
+    g = f.select("item_id", *keep, "resource_seq", "file_seq", F.posexplode("formats").alias("format_seq", "x"))
     return g.select("item_id", *[F.col(c).cast("int") for c in PAGE_KEYS],
-                    *[blank_to_null(F.col(f"x.{c}")).alias(c) for c in FILE_FIELDS])
+                    *[blank_to_null(F.col(f"x.{c}")).alias(c) for c in FILE_FIELDS], *keep)
 
 
 def item_summary(items: DataFrame, resources: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,22 +1,16 @@
-"""Table changes without a transactional table format.
-
-* insert-if-absent (first writer wins), upsert (last writer wins),
-  replace-children and cascade delete are plain DataFrame plans:
-  anti/semi joins, unions and a per-key window;
-* :class:`SnapshotTable` publishes a new snapshot directory and only then
-  switches a small pointer, so readers see either the old or the new
-  table (single writer).
+"""Table changes as DataFrame plans.
+
+Insert-if-absent (first writer wins), upsert (last writer wins),
+replace-children and cascade delete take the tables as they are and return
+them as they should be: anti joins, unions and a grouped reduction per key.
+Committing the result is left to the caller's table format.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
 
 def with_load_order(df: DataFrame) -> DataFrame:
     """Tag rows with their source file and a per-read increasing id, right
@@ -64,10 +58,12 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: lis
     return kept.unionByName(inc)
 
 
-def replace_children(children: DataFrame, incoming: DataFrame, parent_key: str = "item_id") -> DataFrame:
-    """All child rows of the incoming parents are replaced by the incoming ones."""
-    parents = incoming.select(parent_key).distinct()
-    return children.join(parents, parent_key, "left_anti").unionByName(incoming.select(*children.columns))
+def replace_children(children: DataFrame, incoming: DataFrame, parent_key: str = "item_id",
+                     parents: DataFrame | None = None) -> DataFrame:
+    """All child rows of the incoming parents are replaced by the incoming
+    ones.  ``parents`` names them; without it, those with incoming rows."""
+    gone = (incoming if parents is None else parents).select(parent_key).distinct()
+    return children.join(gone, parent_key, "left_anti").unionByName(incoming.select(*children.columns))
 
 
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]], deleted: DataFrame,
@@ -80,51 +76,6 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], deleted: DataFrame,
     return out
 
 
-class SnapshotTable:
-    """A table kept as immutable snapshot directories plus a pointer.
-
-    ``publish(df)`` writes ``<root>/snap-<id>`` then overwrites
-    ``<root>/_current`` (a one-line text table naming the snapshot).
-    A failed write leaves the pointer on the previous snapshot.
-    """
-
-    def __init__(self, spark: SparkSession, root: str | None = None, name: str = "table"):
-        self.spark = spark
-        self.root = (root or f"{ensure_checkpoint_dir(spark)}/tables/{name}").rstrip("/")
-
-    @property
-    def pointer(self) -> str:
-        return f"{self.root}/_current"
-
-    def current(self) -> str | None:
-        try:
-            row = self.spark.read.text(self.pointer).first()
-        except Exception:  # noqa: BLE001 -- no pointer yet
-            return None
-        return row[0] if row else None
-
-    def read(self, schema=None) -> DataFrame | None:
-        cur = self.current()
-        if cur is None:
-            return None
-        return self.spark.read.parquet(cur)
-
-    def publish(self, df: DataFrame, partition_by: list[str] | None = None) -> str:
-        path = f"{self.root}/snap-{uuid.uuid4().hex}"
-        w = df.write.mode("errorifexists")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-        self.spark.createDataFrame([(path,)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(self.pointer)
-        return path
-
-    def append(self, df: DataFrame) -> str:
-        """Publish current ∪ df as a new snapshot."""
-        cur = self.read()
-        return self.publish(df if cur is None else cur.unionByName(df))
-
-
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append result rows to a Parquet table (one commit per call)."""
     w = df.write.mode("append")
@@ -133,51 +84,12 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
     w.parquet(path)
 
 
-class SnapshotSet:
-    """Several tables that change together (items, resources, files).
-
-    ``publish({'items': df1, 'resources': df2, ...})`` writes every table
-    under one new snapshot folder and then switches one pointer, so readers
-    see all old or all new tables, never a mix.
-    """
-
-    def __init__(self, spark: SparkSession, root: str | None = None, name: str = "tables"):
-        self.spark = spark
-        self.root = (root or f"{ensure_checkpoint_dir(spark)}/tables/{name}").rstrip("/")
-        self._pointer = SnapshotTable(spark, self.root)
-
-    def current(self) -> str | None:
-        return self._pointer.current()
-
-    def read(self, table: str) -> DataFrame | None:
-        cur = self.current()
-        return None if cur is None else self.spark.read.parquet(f"{cur}/{table}")
-
-    def publish(self, tables: dict[str, DataFrame]) -> str:
-        snap = f"{self.root}/snap-{uuid.uuid4().hex}"
-        cur = self.current()
-        for name, df in tables.items():
-            df.write.mode("errorifexists").parquet(f"{snap}/{name}")
-        # Tables not given are carried over from the current snapshot.
-        if cur is not None:
-            for name in self._names(cur):
-                if name not in tables:
-                    self.spark.read.parquet(f"{cur}/{name}").write.parquet(f"{snap}/{name}")
-        self.spark.createDataFrame([(snap,)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(self._pointer.pointer)
-        return snap
-
-    def _names(self, snap: str) -> list[str]:
-        listing = self.spark.read.text(f"{snap}/*/_SUCCESS").select(F.col("_metadata.file_path").alias("p"))
-        return sorted({r.p.rstrip("/").split("/")[-2] for r in listing.collect()})
-
-
-def save_items(snapshots: SnapshotSet, items: DataFrame, resources: DataFrame, files: DataFrame,
+def save_items(items: DataFrame, resources: DataFrame, files: DataFrame,
                incoming_items: DataFrame, incoming_resources: DataFrame, incoming_files: DataFrame,
-               order: list | None = None) -> str:
-    """Upsert items and replace their resources and files, all in one switch."""
-    return snapshots.publish({
-        "items": upsert(items, incoming_items, ["id"], order),
-        "resources": replace_children(resources, incoming_resources),
-        "files": replace_children(files, incoming_files),
-    })
+               order: list | None = None) -> dict[str, DataFrame]:
+    """Upsert items and replace the resources and files of every incoming item
+    (also of those that come without any); the caller's table format commits them."""
+    saved = incoming_items.select(F.col("id").alias("item_id")).distinct()
+    return {"items": upsert(items, incoming_items, ["id"], order),
+            "resources": replace_children(resources, incoming_resources, parents=saved),
+            "files": replace_children(files, incoming_files, parents=saved)}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import quotations as Q
-from ..operators.tables import SnapshotTable
 from ..sources import standins as S
 from ..streaming import runners as RN
 from ..session import scratch_path
@@ -32,7 +31,7 @@ def _land_parquet(df, root, key_col):
 
 
 def stream_ingest(spark, d):
-    it = S.items(spark, d).filter(F.col("api").isNotNull())
+    it = S.items(spark, d)
     rec = lambda title: F.to_json(F.struct(F.struct(
         F.col("id"), F.col("url"), F.col("date"), title.alias("title"),
         F.col("languages").alias("language")).alias("item"),
@@ -42,9 +41,9 @@ def stream_ingest(spark, d):
     it.filter(F.col("id").endswith("0") | F.col("id").endswith("2") | F.col("id").endswith("4")) \
         .select(rec(F.concat(F.col("title"), F.lit(" (draft)"))).alias("value")).write.text(f"{landing}/b=1")
     it.select(rec(F.col("title")).alias("value")).write.text(f"{landing}/b=2")
-    table = SnapshotTable(spark, scratch_path(spark, "items-table"))
+    table = scratch_path(spark, "items-table")
     RN.run(RN.ingest_items(spark, landing, table, scratch_path(spark, "ckpt"), files_per_batch=FILES))
-    return table.read().select("id", "title", "year")
+    return RN.current_items(spark, table)["items"].select("id", "title", "year")
 
 
 def dead_letters(spark, d):
@@ -126,7 +125,7 @@ def sql() -> dict[str, str]:
     from ..sources.standins import with_ctes
     from .q_language import _mixed_counts_sql
     return {
-        "stream_ingest": with_ctes(["items"], "SELECT id, title, year FROM items WHERE api IS NOT NULL"),
+        "stream_ingest": with_ctes(["items"], "SELECT id, title, year FROM items"),
         "dead_letters": f"""
           SELECT CASE WHEN doc_id % 17 = 0 THEN 'malformed' ELSE 'missing key' END AS reason,
                  CASE WHEN doc_id % 17 = 0 THEN 'not json doc/' || doc_id

@@ -14,14 +14,16 @@ stop); otherwise a processing-time trigger polls like the services do.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import is_uuid, uuid_of
+from ..operators import items as I
 from ..operators import language as LG
 from ..operators import quotations as Q
-from ..operators.tables import SnapshotTable, upsert
 from ..sources import readers as RD
 from ..sources import schemas as SC
 
@@ -48,6 +50,13 @@ def write_once(batch: DataFrame, path: str, keys: list[str]) -> None:
     batch.write.mode("append").parquet(path)
 
 
+def epoch_folder(root: str, checkpoint: str, epoch: int) -> str:
+    """The folder of one epoch of the stream with this checkpoint.  A replayed
+    epoch overwrites its own rows; a stream with another checkpoint counts
+    its epochs from 0 in a folder of its own."""
+    return f"{root}/stream={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}/epoch={epoch}"
+
+
 def run(query) -> None:
     """Wait for an availableNow query to finish and surface its error."""
     query.awaitTermination()
@@ -57,13 +66,22 @@ def run(query) -> None:
 
 # --- T1: continuous ingest of item records ---------------------------------------
 
-def ingest_items(spark: SparkSession, landing: str, table: SnapshotTable, checkpoint: str,
+ITEM_TABLES = ("resources", "files", "items")
+
+
+def ingest_items(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  now=None, trigger_once: bool = True, interval: str = "15 minutes",
                  rejects: str | None = None, files_per_batch: int = 1000):
-    """Landed item record files (one JSON record per line) -> upsert into the
-    items table.  Later records win: by the file's modification time, its
-    path, and the place in the file.  Lines that are no item record are kept
-    in ``rejects`` (a folder per epoch; next to the checkpoint by default)."""
+    """Landed item record files (one JSON record per line) -> change rows of
+    items, resources and files below ``table``; ``current_items`` reads the
+    tables as they stand.
+
+    A micro-batch only adds its own rows, each stamped with ``_at`` (the
+    file's modification time, its path, and the place in the file), so
+    nothing that was written before is read or rewritten.  Items are written
+    last: children of a version count only once its item row is there.
+    Lines that are no item record are kept in ``rejects`` (next to the
+    checkpoint by default)."""
     rejects = rejects or f"{checkpoint}-rejects"
     src = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(landing) \
         .select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"),
@@ -73,20 +91,36 @@ def ingest_items(spark: SparkSession, landing: str, table: SnapshotTable, checkp
         df = df.withColumn("_at", F.struct("_time", "_path", "_block", F.monotonically_increasing_id().alias("line")))
         recs = (df.withColumnRenamed("value", "api").filter(F.trim("api") != "")
                 .withColumn("record", F.from_json("api", SC.ITEM_RECORD))
-                .withColumn("id", F.col("record.item.id")))
-        rows = RD.item_rows(recs, now if now is not None else F.current_timestamp(), keep=["_at"])
-        bad = rows.filter(F.col("id").isNull()).select(F.col("api").alias("record"), F.col("_at._path").alias("file"))
-        bad.write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
-        cur = table.read()
-        if cur is None:
-            cur = spark.createDataFrame([], SC.ITEMS)
-        merged = upsert(cur, rows.filter(F.col("id").isNotNull()), ["id"], order=["_at"])
-        table.publish(merged)
+                .withColumn("id", F.col("record.item.id"))).persist()
+        bad = recs.filter(F.col("id").isNull()).select(F.col("api").alias("record"), F.col("_at._path").alias("file"))
+        bad.write.mode("overwrite").parquet(epoch_folder(rejects, checkpoint, epoch))
+        good = recs.filter(F.col("id").isNotNull())
+        children = good.select("id", "_at", "record.resources")
+        rows = {"resources": I.shred_resources(children, keep=["_at"]), "files": I.shred_files(children, keep=["_at"]),
+                "items": RD.item_rows(good, now if now is not None else F.current_timestamp(), keep=["_at"])}
+        for name in ITEM_TABLES:
+            rows[name].write.mode("overwrite").parquet(epoch_folder(f"{table}/{name}", checkpoint, epoch))
+        recs.unpersist()
 
     return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),
                     trigger_once, interval).start()
 
 
+def current_items(spark: SparkSession, table: str) -> dict[str, DataFrame]:
+    """items, resources and files as they stand: the last version of each item
+    and the children that came with it.  Write the result to a new folder
+    now and then and start the next log there to keep reads short."""
+    log = {name: spark.read.parquet(f"{table}/{name}").drop("stream", "epoch") for name in ITEM_TABLES}
+    last = log["items"].groupBy("id").agg(F.max("_at").alias("_at"))
+    # Two streams over the same files may both have written a version.
+    out = {"items": log["items"].join(last, ["id", "_at"], "left_semi").dropDuplicates(["id", "_at"]).drop("_at")}
+    of_last = last.withColumnRenamed("id", "item_id")
+    for name, place in (("resources", ["resource_seq"]), ("files", I.PAGE_KEYS)):
+        out[name] = log[name].join(of_last, ["item_id", "_at"], "left_semi") \
+            .dropDuplicates(["item_id", "_at", *place]).drop("_at")
+    return out
+
+
 # --- T2/T3: full-text messages and dead letters ------------------------------------
 
 def write_messages(df: DataFrame, path: str) -> None:
@@ -121,11 +155,11 @@ def route_messages(spark: SparkSession, landing: str, good_path: str, dead_path:
     def batch(df: DataFrame, epoch: int) -> None:
         # Each epoch owns one folder per sink and overwrites it, so an epoch
         # replayed after a failure replaces its own output instead of adding
-        # to it (readers see the folders as an ``epoch`` partition column).
+        # to it (readers see ``stream`` and ``epoch`` as partition columns).
         df = df.persist()
         good, dead = split_dead_letters(df)
-        good.write.mode("overwrite").parquet(f"{good_path}/epoch={epoch}")
-        dead.write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
+        good.write.mode("overwrite").parquet(epoch_folder(good_path, checkpoint, epoch))
+        dead.write.mode("overwrite").parquet(epoch_folder(dead_path, checkpoint, epoch))
         df.unpersist()
 
     return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),

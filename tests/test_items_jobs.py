@@ -93,14 +93,6 @@ def test_insert_twice_changes_nothing(spark):
     assert sorted(up.collect()) == [("a", 1), ("b", 9), ("c", 4)]
 
 
-def test_snapshot_publish(spark, tmp_path):
-    t = TB.SnapshotTable(spark, str(tmp_path / "tbl"))
-    assert t.read() is None
-    t.publish(spark.createDataFrame([(1,)], "x int"))
-    t.append(spark.createDataFrame([(2,)], "x int"))
-    assert sorted(r.x for r in t.read().collect()) == [1, 2]
-
-
 def test_shred_then_assemble(spark):
     rec = ('{"item":{"id":"i1","url":"u","date":"1901-01-01","title":"T","language":["english"]},'
            '"resources":[{"url":"r0","caption":"","files":[[{"mimetype":"text/plain","fulltext":"a"},'
@@ -118,20 +110,19 @@ def test_shred_then_assemble(spark):
     assert len(nested.resources) == 2 and len(nested.files) == 3
 
 
-def test_snapshot_set_switches_together(spark, tmp_path):
-    s = TB.SnapshotSet(spark, str(tmp_path / "set"))
-    items = spark.createDataFrame([("i1", "a")], "id string, v string")
-    res = spark.createDataFrame([("i1", 0, "r0"), ("i1", 1, "r1")], "item_id string, resource_seq int, url string")
-    files = spark.createDataFrame([("i1", 0, "f")], "item_id string, resource_seq int, name string")
-    s.publish({"items": items, "resources": res, "files": files})
-    TB.save_items(s, s.read("items"), s.read("resources"), s.read("files"),
-                  spark.createDataFrame([("i1", "b")], "id string, v string"),
-                  spark.createDataFrame([("i1", 0, "new")], "item_id string, resource_seq int, url string"),
-                  spark.createDataFrame([], "item_id string, resource_seq int, name string").unionByName(
-                      spark.createDataFrame([("i1", 0, "g")], "item_id string, resource_seq int, name string")))
-    assert [r.v for r in s.read("items").collect()] == ["b"]
-    assert [r.url for r in s.read("resources").collect()] == ["new"]
-    assert [r.name for r in s.read("files").collect()] == ["g"]
+def test_save_items_replaces_children(spark):
+    items = spark.createDataFrame([("i1", "a"), ("i2", "a"), ("i3", "a")], "id string, v string")
+    res = spark.createDataFrame([("i1", 0, "r0"), ("i1", 1, "r1"), ("i2", 0, "r2"), ("i3", 0, "r3")],
+                                "item_id string, resource_seq int, url string")
+    files = spark.createDataFrame([("i1", 0, "f"), ("i2", 0, "f2")], "item_id string, resource_seq int, name string")
+    out = TB.save_items(items, res, files,
+                        spark.createDataFrame([("i1", "b"), ("i3", "b")], "id string, v string"),
+                        spark.createDataFrame([("i1", 0, "new")], "item_id string, resource_seq int, url string"),
+                        spark.createDataFrame([("i1", 0, "g")], "item_id string, resource_seq int, name string"))
+    assert sorted(map(tuple, out["items"].collect())) == [("i1", "b"), ("i2", "a"), ("i3", "b")]
+    # an item saved without children loses the ones it had
+    assert sorted(r.url for r in out["resources"].collect()) == ["new", "r2"]
+    assert sorted(r.name for r in out["files"].collect()) == ["f2", "g"]
 
 
 def test_manifests(spark):
@@ -182,17 +173,6 @@ def test_upsert_without_order_keeps_one_row_per_key(spark):
     assert sorted(r.id for r in out) == ["a", "b"] and {r.v for r in out if r.id == "a"} <= {2, 3}
 
 
-def test_failed_publish_keeps_previous_snapshot(spark, tmp_path):
-    import pytest
-    t = TB.SnapshotTable(spark, str(tmp_path / "tbl"))
-    t.publish(spark.createDataFrame([(1,)], "x int"))
-    bad = spark.createDataFrame([(0,), (2,)], "x int").select(
-        F.when(F.col("x") > 0, F.col("x")).otherwise(F.raise_error(F.lit("boom"))).alias("x"))
-    with pytest.raises(Exception):
-        t.publish(bad)
-    assert [r.x for r in t.read().collect()] == [1]
-
-
 def test_orphans_leave_out_keys_with_a_null_part(spark):
     from scholia.operators.stats import orphans
     child = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2), ("b", 2)], "i string, n int")

@@ -145,7 +145,7 @@ def _stub_loads(spark, d):
     url = F.concat(F.lit(S.ITEM_BASE), F.col("doc_id").cast("string"))
     load1 = docs.filter((F.col("doc_id") % 4).isin(0, 1)).select(
         iid.alias("id"), url.alias("url"), F.lit("load1").alias("src"))
-    l2 = docs.filter((F.col("doc_id") % 4).isin(1, 2))
+    l2 = docs.filter((F.col("doc_id") % 4).isin(1, 2, 3))
     load2 = l2.select(iid.alias("id"), F.concat(url, F.lit("#a")).alias("url"), F.lit("load2").alias("src"),
                       F.lit(0).alias("seq")).unionByName(
         l2.select(iid.alias("id"), F.concat(url, F.lit("#b")).alias("url"), F.lit("load2").alias("src"),
@@ -184,17 +184,28 @@ def cascade_delete(spark, d):
                                          F.coalesce("mimetype", F.lit("-")).alias("detail")))
 
 
+def _land_books(books, path):
+    """Records in three layouts by id: one a line, two on a line, and spread over lines."""
+    js = books.select(F.col("lccn").cast("long").alias("n"), F.to_json(F.struct(*books.columns)).alias("j"))
+    lines = js.filter("n % 3 = 0").select("j")
+    pairs = js.filter("n % 3 = 1").groupBy((F.col("n") / 6).cast("long").alias("g")) \
+        .agg(F.array_join(F.sort_array(F.collect_list("j")), "").alias("j")).select("j")
+    over_lines = js.filter("n % 3 = 2").select(F.concat(
+        F.lit("{\n  "), F.expr("substring(j, 2, length(j) - 2)"), F.lit("\n}")).alias("j"))
+    lines.unionByName(pairs).unionByName(over_lines).write.text(path)
+
+
 def import_books(spark, d):
     paths = []
     for load in (1, 2):
         b = S.book_records(spark, d, load).withColumn(
             "publication_date", F.from_json("publication_date", "array<string>"))
         p = scratch_path(spark, f"books-{load}")
-        b.write.json(p)
+        _land_books(b, p)
         paths.append(p)
     rows = []
     for p in paths:
-        books, _rejects = RD.read_books(spark, p)
+        books, _rejects = RD.read_books(spark, p, pattern="*.txt")
         rows.append(RD.book_rows(books, F.current_timestamp(), keep=["_file", "_seq"]))
     # First writer wins: the first load is kept whole; within the second load
     # the first record per lccn (file, then line order) is the one inserted.
@@ -226,10 +237,10 @@ _LOADS = f"""
   load1 AS (SELECT 'doc/' || doc_id AS id, '{S.ITEM_BASE}' || doc_id AS url, 'load1' AS src
             FROM documents WHERE doc_id % 4 IN (0, 1)),
   load2 AS (SELECT 'doc/' || doc_id AS id, '{S.ITEM_BASE}' || doc_id || '#a' AS url, 'load2' AS src, 0 AS seq
-            FROM documents WHERE doc_id % 4 IN (1, 2)
+            FROM documents WHERE doc_id % 4 IN (1, 2, 3)
             UNION ALL
             SELECT 'doc/' || doc_id, '{S.ITEM_BASE}' || doc_id || '#b', 'load2', 1
-            FROM documents WHERE doc_id % 4 IN (1, 2))"""
+            FROM documents WHERE doc_id % 4 IN (1, 2, 3))"""
 
 
 def _book_year(c):

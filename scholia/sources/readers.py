@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import blank_to_null, first_or_blank, record_json
+from ..session import cut_lineage
 from . import schemas as SC
 
 
@@ -69,27 +67,31 @@ def item_rows(records: DataFrame, now, keep: list[str] = ()) -> DataFrame:
                     *keep)
 
 
-def read_books(spark: SparkSession, path: str, concatenated: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Book export files (only ``*.json``) -> (books, rejects).
+def read_books(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Book export files (named like ``pattern``) -> (books, rejects).
 
-    Fast path: one JSON object per line.  ``concatenated=True`` accepts any
-    concatenation of objects (several per line, or spread over lines): each
-    file is read whole and split with a JSON decoder inside the tasks.
-    Records that do not parse go to ``rejects`` with their text; the rest
-    of the file is still read.
+    Any concatenation of objects is read: one a line, several a line, or
+    spread over lines.  Files split across tasks by lines, and a line that
+    holds whole objects needs nothing else.  Only files with some other line
+    are read a second time, each in one task that takes its lines in order
+    and holds one open object at a time.  What does not parse goes
+    to ``rejects`` with its text; the rest of the file is still read.
+    ``_file`` and ``_seq`` give the order of the load.
     """
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    if not concatenated:
-        # File and read position are taken right after the read, so "first in
-        # the load" (file order, then line order) can be decided later.
-        objs = (spark.read.option("pathGlobFilter", "*.json").text(path)
-                .withColumn("_file", F.col("_metadata.file_path"))
-                .withColumn("_seq", F.monotonically_increasing_id())
-                .filter(F.trim("value") != "").withColumnRenamed("value", "json"))
-    else:
-        whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True) \
-            .withColumn("_file", F.col("_metadata.file_path"))
-        objs = whole.mapInPandas(_split_objects, "_file string, _seq long, json string")
+    # File and read position are taken right after the read, so "first in
+    # the load" (file order, then line order) can be decided later.
+    lines = (spark.read.option("pathGlobFilter", pattern).text(path)
+             .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_line"), "value")
+             .filter(F.trim("value") != ""))
+    pieces = cut_lineage(lines.mapInPandas(_line_splitter(), "_file string, _block long, _line long, _part long, json string, whole boolean"))
+    open_files = pieces.filter(~F.col("whole")).select("_file").distinct()
+    again = lines.join(open_files, "_file", "left_semi").repartition("_file") \
+        .sortWithinPartitions("_file", "_block", "_line") \
+        .mapInPandas(_line_joiner(), "_file string, _block long, _line long, _part long, json string")
+    objs = pieces.join(open_files, "_file", "left_anti").drop("whole").unionByName(again) \
+        .withColumn("_seq", F.struct("_block", "_line", "_part"))
     parsed = objs.withColumn("b", F.from_json("json", SC.BOOK, opts))
     raw = parsed.select("b.*", "_file", "_seq", "json")
     bad_flag = F.col("_corrupt_record").isNotNull() | (F.col("lccn").isNull() & F.col("title").isNull())
@@ -98,37 +100,89 @@ def read_books(spark: SparkSession, path: str, concatenated: bool = False) -> tu
     return good, bad
 
 
-def _split_objects(batches):
-    """mapInPandas body: whole file text -> one row per JSON object.
-
-    Unparseable tails are emitted as a single record marked by a NULL-ing
-    parse later (the text is passed on unchanged)."""
-    dec = json.JSONDecoder()
-    for pdf in batches:
-        files, seqs, texts = [], [], []
-        for f, text in zip(pdf["_file"], pdf["value"]):
-            i, n, k = 0, len(text), 0
-            while i < n:
-                while i < n and text[i].isspace():
-                    i += 1
-                if i >= n:
-                    break
+def _line_splitter():
+    """mapInPandas body: a line -> its JSON objects, or the line itself with
+    ``whole`` false where it is no plain sequence of objects.  (A function
+    made here is shipped by value: workers need no package path.)"""
+    def split(batches):
+        import json
+
+        import pandas as pd
+        dec = json.JSONDecoder()
+        for pdf in batches:
+            rows = []
+            for f, block, line, text in zip(pdf["_file"], pdf["_block"], pdf["_line"], pdf["value"]):
+                text, found, i = text.strip(), [], 0
+                try:
+                    while i < len(text):
+                        obj, end = dec.raw_decode(text, i)
+                        if not isinstance(obj, dict):
+                            raise ValueError
+                        found.append(text[i:end])
+                        i = end + len(text[end:]) - len(text[end:].lstrip())
+                    rows += [(f, block, line, k, t, True) for k, t in enumerate(found)]
+                except ValueError:
+                    rows.append((f, block, line, 0, text, False))
+            yield pd.DataFrame(rows, columns=["_file", "_block", "_line", "_part", "json", "whole"])
+    return split
+
+
+def _line_joiner():
+    """mapInPandas body over a file's lines in order: objects that span lines.
+
+    An object ends where its braces close outside strings (a JSON string
+    cannot span lines).  A fault makes one reject of the text from it to the
+    end of the line or of the open object; a line that begins with ``{``
+    without indent ends an open object, which is then a reject."""
+    def join(batches):
+        import json
+        import re
+
+        import pandas as pd
+        dec = json.JSONDecoder()
+        mark = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]')
+        name, text, at, depth = None, [], None, 0      # the file, the open text, its place, its open braces
+
+        def objects(joined, place, is_open):
+            """(rows, rest): the leading objects and, if more lines may follow, the text behind them."""
+            rows, i, k = [], 0, place[2]
+            while True:
+                i = len(joined) - len(joined[i:].lstrip())
+                if i >= len(joined):
+                    return rows, "", k
                 try:
-                    obj, end = dec.raw_decode(text, i)
-                    files.append(f)
-                    seqs.append(k)
-                    texts.append(json.dumps(obj))
-                    i = end
+                    _, end = dec.raw_decode(joined, i)
                 except ValueError:
-                    # Skip to the next line and keep the bad span as a reject.
-                    nl = text.find("\n", i)
-                    end = n if nl < 0 else nl + 1
-                    files.append(f)
-                    seqs.append(k)
-                    texts.append(text[i:end].strip())
-                    i = end
-                k += 1
-        yield pd.DataFrame({"_file": files, "_seq": seqs, "json": texts})
+                    if is_open:
+                        return rows, joined[i:], k
+                    end = len(joined)
+                rows.append((name, place[0], place[1], k, joined[i:end].strip()))
+                i, k = end, k + 1
+
+        def reject():
+            return [(name, *at, "\n".join(text).strip())] if text else []
+
+        for pdf in batches:
+            rows = []
+            for f, block, line, value in zip(pdf["_file"], pdf["_block"], pdf["_line"], pdf["value"]):
+                if f != name or (text and value.startswith("{")):
+                    rows += reject()
+                    name, text, depth = f, [], 0
+                if not text:
+                    at = (block, line, 0)
+                text.append(value)
+                low = depth
+                for m in mark.findall(value):
+                    depth += (m == "{") - (m == "}")
+                    low = min(low, depth)
+                if low <= 0:
+                    found, rest, k = objects("\n".join(text), at, depth > 0)
+                    rows += found
+                    text, at = [rest] if rest else [], (block, line, k)
+                    depth = max(depth, 0)
+            yield pd.DataFrame(rows, columns=["_file", "_block", "_line", "_part", "json"])
+        yield pd.DataFrame(reject(), columns=["_file", "_block", "_line", "_part", "json"])
+    return join
 
 
 def book_rows(books: DataFrame, now, keep: list[str] = ()) -> DataFrame:

@@ -70,13 +70,17 @@ def items_in_collections(spark, d) -> DataFrame:
 
 def files(spark, d) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "html")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     item_id = F.concat(F.lit("doc/"), F.col("page_id").cast("string"))
     xml = pages.select(item_id.alias("item_id"), F.lit(0).alias("resource_seq"), F.lit(0).alias("file_seq"),
                        F.lit(0).alias("format_seq"), F.lit("text/xml").alias("mimetype"),
                        F.when(F.col("page_id") % 7 != 3, F.col("html")).alias("fulltext"))
-    plain = pages.filter(F.col("page_id") % 3 == 0).join(docs, "page_id", "left").select(
-        item_id.alias("item_id"), F.lit(0).alias("resource_seq"), F.lit(0).alias("file_seq"),
+    # Every document is a plain file: of its page's item or, where that item
+    # shall have markup only, of an item of its own.
+    other = F.col("page_id").isNotNull() & (F.col("page_id") % 3 != 0)
+    plain = docs.join(pages.select("page_id"), F.col("doc_id") == F.col("page_id"), "left").select(
+        F.concat(F.when(other, F.lit("text/")).otherwise(F.lit("doc/")), F.col("doc_id").cast("string")).alias("item_id"),
+        F.lit(0).alias("resource_seq"), F.lit(0).alias("file_seq"),
         F.lit(1).alias("format_seq"), F.lit("text/plain").alias("mimetype"), F.col("text").alias("fulltext"))
     nulls = pages.filter(F.col("page_id") % 10 == 0).select(
         item_id.alias("item_id"), F.lit(0).alias("resource_seq"), F.lit(1).alias("file_seq"),
@@ -139,9 +143,9 @@ def events_now(spark, d):
 
 
 def book_records(spark, d, load: int) -> DataFrame:
-    """Book export records; load 1 = doc_id % 4 in (0, 1), load 2 = (1, 2)."""
+    """Book export records; load 1 = doc_id % 4 in (0, 1), load 2 = (1, 2, 3)."""
     docs = table(spark, d, "documents")
-    keep = [0, 1] if load == 1 else [1, 2]
+    keep = [0, 1] if load == 1 else [1, 2, 3]
     date = F.date_add(F.lit("1900-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int")).cast("string")
     pub = F.when(F.col("doc_id") % 13 == 0, F.lit('["unknown"]')) \
         .otherwise(F.concat(F.lit('["'), date, F.lit('"]')))
@@ -187,8 +191,8 @@ SQL = {
       SELECT 'doc/' || page_id AS item_id, 0 AS resource_seq, 0 AS file_seq, 0 AS format_seq,
              'text/xml' AS mimetype, CASE WHEN page_id % 7 <> 3 THEN html END AS fulltext FROM pages
       UNION ALL
-      SELECT 'doc/' || p.page_id, 0, 0, 1, 'text/plain', d.text
-      FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id WHERE p.page_id % 3 = 0
+      SELECT CASE WHEN p.page_id % 3 <> 0 THEN 'text/' ELSE 'doc/' END || d.doc_id, 0, 0, 1, 'text/plain', d.text
+      FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id
       UNION ALL
       SELECT 'doc/' || page_id, 0, 1, 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
       FROM pages WHERE page_id % 10 = 0""",
@@ -236,7 +240,7 @@ SQL = {
                   ELSE '["' || CAST(DATE '1900-01-01' + CAST(doc_id % 9000 AS INTEGER) AS VARCHAR) || '"]' END
                AS publication_date,
              [{LANG_NAME_SQL.format(c='lang')}] AS language, text AS text_en
-      FROM documents WHERE doc_id % 4 IN (1, 2)""",
+      FROM documents WHERE doc_id % 4 IN (1, 2, 3)""",
 }
 
 

@@ -6,10 +6,11 @@ smoothing, ``logp = ln((c + 1) / (total + V))``
 grams over all languages).  A gram missing
 from a language's profile scores ``unseen = ln(1 / (total + V))``.
 
-Detection: sentences -> character grams -> one broadcast join with a
-(gram -> per-language gain) table -> one grouped sum per sentence.  The
-table has a row per distinct gram and a number per language; it is broadcast
-only if that comes to at most ``BROADCAST_BYTES``, else joined by a shuffle.
+Detection: a sentence is scored where its page is read, in Arrow batches
+against a broadcast (gram -> per-language gain) table: no row per gram and
+no exchange.  The table has a row per distinct gram and a number per
+language; if that comes to more than ``BROADCAST_BYTES``, the sentences'
+grams are joined with it by a shuffle and summed per sentence.
 """
 
 from __future__ import annotations
@@ -19,14 +20,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.records import LANGUAGE_NAMES, LANGUAGE_TAGS, map_lookup
-from ..functions.text import explode_char_ngrams, sentences
+from ..functions.text import explode_char_ngrams, letters_only, sentences
 from ..session import spread
 
 UNDETERMINED = "UND"
 #: Largest gain table that is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: A gram of so many code points fits a 64-bit number.
+MAX_CODED = 3
+#: Code points scored at a time.
+CHUNK = 1 << 20
 
 
 def train_profiles(labelled: DataFrame, label: str = "lang", text: str = "text", n: int = 3,
@@ -76,6 +82,63 @@ def sentence_table(pages: DataFrame, keys: list[str], text: str = "text") -> Dat
         .withColumn("sentence_seq", F.col("sentence_seq").cast("int"))
 
 
+def _detector(profiles: Profiles, n: int, min_margin: float):
+    """mapInArrow body: rows with ``_letters`` -> the same rows with ``lang``."""
+    import numpy as np
+    gains = profiles.gains().toPandas()
+    width = 21                                   # bits of a code point
+    code = lambda g: sum(ord(c) << (width * (n - 1 - i)) for i, c in enumerate(g))
+    codes = np.array([code(g) for g in gains["gram"]], dtype=np.int64)
+    order = np.argsort(codes)
+    table = gains[[f"g_{i}" for i in range(len(profiles.languages))]].to_numpy(dtype=float)[order]
+    unseen = np.array([profiles.unseen[L] for L in profiles.languages])
+    shared = profiles.table.sparkSession.sparkContext.broadcast((codes[order], table, unseen))
+    langs, und, chunk = list(profiles.languages), UNDETERMINED, CHUNK
+
+    def score(texts, codes, table, unseen):
+        k = len(texts)
+        lens = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        if k == 0 or len(points) < n or not len(codes):
+            return [und] * k
+        m = len(points) - n + 1
+        grams = np.zeros(m, dtype=np.int64)
+        for i in range(n):
+            grams = (grams << width) | points[i:i + m]
+        owner = np.repeat(np.arange(k), lens)[:m]
+        inside = np.arange(m) + n <= np.cumsum(lens)[owner]     # a gram ends in its own sentence
+        grams, owner = grams[inside], owner[inside]
+        count = np.bincount(owner, minlength=k)
+        at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+        hit = codes[at] == grams
+        at, owner = at[hit], owner[hit]
+        known = np.bincount(owner, minlength=k)
+        totals = np.stack([np.bincount(owner, weights=table[at, i], minlength=k) + count * unseen[i]
+                           for i in range(len(langs))], axis=1)
+        best = totals.argmax(axis=1)             # ties go to the first language
+        sure = known > 0
+        if len(langs) > 1:
+            top = np.sort(totals, axis=1)
+            sure &= ~(top[:, -1] - top[:, -2] < min_margin * count)
+        return [langs[b] if s else und for b, s in zip(best, sure)]
+
+    def detect(batches):
+        import pyarrow as pa
+        for batch in batches:
+            texts = batch.column("_letters").to_pylist()
+            out, part, size = [], [], 0
+            for t in texts:
+                part.append(t)
+                size += len(t)
+                if size >= chunk:
+                    out += score(part, *shared.value)
+                    part, size = [], 0
+            out += score(part, *shared.value)
+            cols = [c for c in batch.schema.names if c != "_letters"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + [pa.array(out, pa.string())], names=[*cols, "lang"])
+    return detect
+
+
 def sentence_languages(pages: DataFrame, profiles: Profiles, keys=("item_id",), n: int = 3,
                        min_margin: float = 0.0) -> DataFrame:
     """(keys..., sentence_seq, lang): best language per sentence, or ``UND``.
@@ -86,10 +149,12 @@ def sentence_languages(pages: DataFrame, profiles: Profiles, keys=("item_id",),
     keys = list(keys)
     sk = keys + ["sentence_seq"]
     sents = sentence_table(spread(pages.select(*keys, "text")), keys)
+    if n <= MAX_CODED and profiles.vocabulary * (40 + 8 * len(profiles.languages)) <= BROADCAST_BYTES:
+        coded = sents.select(*sk, letters_only("sentence").alias("_letters"))
+        schema = T.StructType([coded.schema[k] for k in sk] + [T.StructField("lang", T.StringType())])
+        return coded.mapInArrow(_detector(profiles, n, min_margin), schema)
     grams = explode_char_ngrams(sents, sk, "sentence", n, outer=True)
     langs, gains = profiles.languages, profiles.gains()
-    if profiles.vocabulary * (40 + 8 * len(langs)) <= BROADCAST_BYTES:
-        gains = F.broadcast(gains)
     g = grams.join(gains, "gram", "left")
     agg = g.groupBy(*sk).agg(
         F.count("gram").alias("_n"),

@@ -10,14 +10,14 @@ version of each reference is kept per item.
 
 Plan shape, per call (see README "Design and scale notes"):
 
-* broadcast path (verse table under ``broadcast_rows`` rows, counted):
-  scan -> explode grams -> broadcast join with the weights -> partial sums
-  per (page, verse) in the same stage -> one shuffle of (page, verse) sums.
+* broadcast path (weight table under ``broadcast_bytes``, added up):
+  scan -> one shuffle of the text by page -> explode grams -> broadcast join
+  with the weights -> sums per (page, verse) in the same stage.
   A page is one input row, so counting grams per page first would only add
   a shuffle of already-final (page, gram) counts (``count_first=True``
   keeps that variant).
-* shuffle path (large reference corpus): grams are counted per page first
-  (map-side), then joined to the weights by a shuffle on the gram; grams
+* shuffle path (large reference corpus): grams that a verse has are counted
+  per page first, then joined to the weights by a shuffle on the gram; grams
   found in many verses are salted over ``salt_buckets`` so one common gram
   cannot pin one task.
 """
@@ -34,6 +34,9 @@ from ..functions.text import drop_last_words, explode_ngrams, strip_version, ver
 from ..session import cut_lineage, spread
 
 FEATURES = ("tokens", "tfidf", "proportion")
+#: Largest weight table or gram list that is broadcast; each row counts its texts and ROW_BYTES.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -113,7 +116,7 @@ class ReferenceCorpus:
     """Verse weights, built once per corpus and kept in the shared folder."""
     weights: DataFrame
     n_verses: int
-    n_rows: int
+    n_bytes: int
     params: QuotationParams
 
     @classmethod
@@ -124,19 +127,24 @@ class ReferenceCorpus:
         w = verse_weights(verses, n_verses, params.n, params.idf)
         if persist:
             w = cut_lineage(w)
-        return cls(w, n_verses, w.count(), params)
+        size = w.agg(F.sum(F.octet_length("gram") + F.octet_length("verse_id") + F.lit(ROW_BYTES))).first()[0]
+        return cls(w, n_verses, size or 0, params)
+
+
+def vocabulary_bytes(vocab: DataFrame) -> int:
+    return vocab.agg(F.sum(F.octet_length("gram") + F.lit(ROW_BYTES))).first()[0] or 0
 
 
 def page_gram_counts(pages: DataFrame, keys: list[str], n: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """(keys..., gram, n_d) -- grams of every page, counted per page."""
-    g = explode_ngrams(spread(pages.select(*keys, "text")), keys, "text", n)
+    g = explode_ngrams(spread(pages.select(*keys, "text"), keys=keys), keys, "text", n)
     if vocabulary is not None:
         g = g.join(vocabulary, "gram", "left_semi")
     return g.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n_d"))
 
 
 def potential_matches(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",),
-                      broadcast_rows: int = 1_000_000, salt_buckets: int = 16,
+                      broadcast_bytes: int = BROADCAST_BYTES, salt_buckets: int = 16,
                       hot_df: int = 64, count_first: bool = False) -> DataFrame:
     """(keys..., verse_id, tokens, tfidf, proportion) for every pair sharing a gram.
 
@@ -147,26 +155,30 @@ def potential_matches(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id"
     keys = list(keys)
     p = corpus.params
     w = corpus.weights.select("gram", "verse_id", "n_v", "w", "verse_len", "df")
-    if corpus.n_rows <= broadcast_rows and not count_first:
-        # One shuffle: every gram occurrence meets the broadcast weights and
-        # is summed per (page, verse) map-side in the same stage (n_d = 1 per
-        # occurrence gives the same sums as counting first).
-        g = explode_ngrams(spread(pages.select(*keys, "text")), keys, "text", p.n)
+    if corpus.n_bytes <= broadcast_bytes and not count_first:
+        # One shuffle, of the text: every gram occurrence meets the broadcast weights and
+        # is summed per (page, verse) in the same stage (n_d = 1 per occurrence
+        # gives the same sums as counting first).
+        g = explode_ngrams(spread(pages.select(*keys, "text"), keys=keys), keys, "text", p.n)
         joined = g.join(F.broadcast(w), "gram").withColumn("n_d", F.lit(1).cast("long"))
-    elif corpus.n_rows <= broadcast_rows:
+    elif corpus.n_bytes <= broadcast_bytes:
         vocab = F.broadcast(w.select("gram").distinct())
         dg = page_gram_counts(pages, keys, p.n, vocab)
         joined = dg.join(F.broadcast(w), "gram")
     else:
-        dg = page_gram_counts(pages, keys, p.n)
+        # Only grams that some verse has are counted and shuffled.
+        vocab = w.select("gram").distinct()
+        if vocabulary_bytes(vocab) <= broadcast_bytes:
+            vocab = F.broadcast(vocab)
+        dg = page_gram_counts(pages, keys, p.n, vocab)
         # Salt grams that occur in many verses: their page rows are spread
         # over salt_buckets tasks and their verse rows copied to each.
         salt = F.when(F.col("df") >= hot_df, F.lit(salt_buckets)).otherwise(F.lit(1))
         ws = (w.withColumn("salt", F.explode(F.sequence(F.lit(0), salt - 1))))
         hot = w.filter(F.col("df") >= hot_df).select("gram").distinct().withColumn("hot", F.lit(True))
-        # A hot gram fills at least hot_df weight rows, so the hot list has at
-        # most n_rows / hot_df rows: a proven bound, checked before broadcasting.
-        if corpus.n_rows // max(hot_df, 1) <= broadcast_rows:
+        # A hot gram fills at least hot_df weight rows, so the hot list has at most
+        # n_bytes / hot_df bytes: a proven bound, checked before broadcasting.
+        if corpus.n_bytes // max(hot_df, 1) <= broadcast_bytes:
             hot = F.broadcast(hot)
         dg = (dg.join(hot, "gram", "left")
               .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*keys), F.lit(salt_buckets)))

@@ -71,12 +71,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin the rows over ``factor x`` the default parallelism when the
+def spread(df: DataFrame, factor: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """Deal out the rows in front of an operator that expands each of them many
+    times (n-gram explodes) and then reduces what came from one row.
+
+    With ``keys`` (which tell the rows apart) the rows are dealt by them: only
+    the text moves, and the sums per key that follow need no exchange.
+    Without, round-robin the rows over ``factor x`` the default parallelism when the
     input arrives in fewer partitions than the parallelism (e.g. a file with
-    one huge row group).  Used in front of operators that expand each row
-    many times (n-gram explodes).  Well-split inputs are returned unchanged,
-    so no shuffle is added at scale.
+    one huge row group); well-split inputs are then returned unchanged.
 
     Session setting ``scholia.spreadInputs``: ``auto`` (default) looks at the
     input's partition count, which is free for file scans but runs upstream
@@ -88,6 +91,8 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     parallelism = spark.sparkContext.defaultParallelism
     if mode == "never" or df.isStreaming:
         return df
+    if keys:
+        return df.repartition(max(parallelism * factor, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
     if mode == "always" or df.rdd.getNumPartitions() < parallelism:
         return df.repartition(parallelism * factor)
     return df

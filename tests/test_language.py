@@ -35,3 +35,19 @@ def test_undetermined_and_multilingual(spark):
     declared = spark.createDataFrame([("b", ["German"])], "item_id string, languages array<string>")
     agree = L.language_agreement(counts, declared).first()
     assert agree.detected == "DEU" and agree.agrees is True
+
+
+def test_both_detection_paths_agree(spark, monkeypatch):
+    train = spark.createDataFrame([("en", "this is a dog and the house"), ("de", "das ist ein hund und das haus"),
+                                   ("xx", "\U0001d4d0\U0001d4d1\U0001d4d2 zz")], "lang string, text string")
+    prof = L.Profiles.build(L.train_profiles(train))
+    texts = ["This is the dog. Das Haus ist ein Hund! 123. a", None, "", "\U0001d4d0\U0001d4d1\U0001d4d2. Qqq", "the. " * 300]
+    pages = spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    rows = lambda: sorted(map(tuple, L.sentence_languages(pages, prof, ["item_id"]).collect()), key=repr)
+    near = rows()
+    monkeypatch.setattr(L, "CHUNK", 50)
+    chunked = rows()
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    assert near == chunked == rows()
+    assert (0, 0, "ENG") in near and (0, 1, "DEU") in near and (0, 2, "UND") in near and (3, 0, "xx") in near
+    assert len(near) == 306

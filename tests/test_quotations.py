@@ -58,7 +58,7 @@ def test_potential_matches_brute_force(spark, corpus):
 def test_shuffle_path_matches_broadcast(spark, corpus):
     pages = spark.createDataFrame(DOCS, "item_id string, text string")
     a = sorted(Q.potential_matches(pages, corpus).collect())
-    b = sorted(Q.potential_matches(pages, corpus, broadcast_rows=0, salt_buckets=4, hot_df=2).collect())
+    b = sorted(Q.potential_matches(pages, corpus, broadcast_bytes=0, salt_buckets=4, hot_df=2).collect())
     assert [(r.item_id, r.verse_id, r.tokens) for r in a] == [(r.item_id, r.verse_id, r.tokens) for r in b]
     assert all(abs(x.tfidf - y.tfidf) < 1e-9 for x, y in zip(a, b))
 

@@ -2,11 +2,12 @@
 
     python -m scholia.cli find-quotations --pages P --verses V --out O
     python -m scholia.cli detect-languages --pages P --train T --out O
-    python -m scholia.cli retry --jobs J --out O
+    python -m scholia.cli retry --jobs J --results R ... --out O
     python -m scholia.cli stats --items I --files F --jobs J
 
 Inputs are Parquet tables; ``--pages`` needs ``item_id`` and ``text``
-(and ``page_seq`` for language counts).
+(and ``page_seq`` for language counts).  ``retry`` writes the kept jobs to
+``O`` and the kept rows of each result table ``R`` to ``O-<name of R>``.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ def main(argv=None) -> None:
     dl.add_argument("--out", required=True)
     rt = sub.add_parser("retry")
     rt.add_argument("--jobs", required=True)
+    rt.add_argument("--results", nargs="*", default=[], help="result tables with a job_id column")
     rt.add_argument("--out", required=True)
     stt = sub.add_parser("stats")
     stt.add_argument("--items")
@@ -56,7 +58,10 @@ def main(argv=None) -> None:
         keys = ["item_id", "page_seq"] if "page_seq" in pages.columns else ["item_id"]
         L.save_language_counts(L.language_counts(L.sentence_languages(pages, prof, keys)), a.out)
     elif a.cmd == "retry":
-        kept, _ = J.retry_jobs(spark.read.parquet(a.jobs), [])
+        kept, results = J.retry_jobs(spark.read.parquet(a.jobs), [spark.read.parquet(r) for r in a.results])
+        # Results first: a job that is gone while its rows remain would get them back when it is made again.
+        for path, rows in zip(a.results, results):
+            rows.write.mode("overwrite").parquet(f"{a.out}-{path.rstrip('/').split('/')[-1]}")
         kept.write.mode("overwrite").parquet(a.out)
     elif a.cmd == "stats":
         if a.files:

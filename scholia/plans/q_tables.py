@@ -200,7 +200,9 @@ def fk_audit(spark, d):
     labels = S.table(spark, d, "labels")
     docs = S.table(spark, d, "documents")
     return ST.orphans(li, orders, ["l_orderkey"], ["o_orderkey"], "lineitem").unionByName(
-        ST.orphans(labels, docs, ["doc_id"], ["doc_id"], "labels"))
+        ST.orphans(labels, docs, ["doc_id"], ["doc_id"], "labels")).unionByName(
+        ST.orphans(S.files(spark, d), S.items(spark, d), ["item_id"], ["id"], "files")).unionByName(
+        ST.orphans(S.jobs(spark, d), S.items(spark, d), ["item_id"], ["id"], "jobs"))
 
 
 QUERIES = {
@@ -376,11 +378,17 @@ def sql() -> dict[str, str]:
           FROM events GROUP BY event_type""",
         "point_lookup": with_ctes(["items"], "SELECT id, url, title, year, date FROM items WHERE id = 'doc/7'"),
         "key_audit": with_ctes(["items", "jobs"], _audit_sql()),
-        "fk_audit": """
+        "fk_audit": with_ctes(["items", "files", "jobs"], """
           SELECT 'lineitem' AS "table", 'orphan' AS rule, CAST(l_orderkey AS VARCHAR) AS key, count(*) AS n
           FROM lineitem l WHERE l_orderkey IS NOT NULL
             AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) GROUP BY l_orderkey
           UNION ALL
           SELECT 'labels', 'orphan', CAST(doc_id AS VARCHAR), count(*) FROM labels b WHERE doc_id IS NOT NULL
-            AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.doc_id) GROUP BY doc_id""",
+            AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = b.doc_id) GROUP BY doc_id
+          UNION ALL
+          SELECT 'files', 'orphan', item_id, count(*) FROM files f
+          WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.id = f.item_id) GROUP BY item_id
+          UNION ALL
+          SELECT 'jobs', 'orphan', item_id, count(*) FROM jobs j
+          WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.id = j.item_id) GROUP BY item_id"""),
     }

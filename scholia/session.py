@@ -1,7 +1,7 @@
 """Spark session and shared-folder helpers.
 
-Everything that needs a place on disk (lineage cuts, snapshot tables,
-streaming checkpoints) goes under the folder the cluster names in
+Everything that needs a place on disk (lineage cuts, streaming
+checkpoints) goes under the folder the cluster names in
 ``spark.checkpoint.dir``.  A folder of our own is only chosen when that
 setting is missing, which happens in local tests.
 """

@@ -178,3 +178,16 @@ def test_orphans_leave_out_keys_with_a_null_part(spark):
     child = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2), ("b", 2)], "i string, n int")
     parent = spark.createDataFrame([("a", 1)], "x string, y int")
     assert [tuple(r) for r in orphans(child, parent, ["i", "n"], ["x", "y"], "t").collect()] == [("t", "orphan", "b|2", 2)]
+
+
+def test_cli_retry_drops_results(spark, tmp_path):
+    from scholia import cli
+    jobs = spark.createDataFrame([("1", "failed"), ("2", "finished")], "id string, status string")
+    jobs.write.parquet(str(tmp_path / "jobs"))
+    for name in ("langs", "quotes"):
+        spark.createDataFrame([("1", name), ("2", name)], "job_id string, v string").write.parquet(str(tmp_path / name))
+    out = str(tmp_path / "kept")
+    cli.main(["retry", "--jobs", str(tmp_path / "jobs"), "--results", str(tmp_path / "langs"), str(tmp_path / "quotes"), "--out", out])
+    assert [r.id for r in spark.read.parquet(out).collect()] == ["2"]
+    assert [r.job_id for r in spark.read.parquet(out + "-langs").collect()] == ["2"]
+    assert [r.job_id for r in spark.read.parquet(out + "-quotes").collect()] == ["2"]

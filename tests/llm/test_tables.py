@@ -244,3 +244,18 @@ def test_pipeline_stages(spark):
     assert all(c[0] == c[2] for c in _components([(i, before[i]) for i in sorted(kept)]))
     redacted = secret_scan.redact(docs)
     assert redacted.columns == docs.columns and secret_scan.scan(redacted).filter("spans <> ''").count() == 0
+
+
+def test_near_duplicate_stage_takes_five_words_and_eighty_percent(spark):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for changed in (0, 5, 15, 20, 21, 25, 30, 60):
+        base = [word() for _ in range(200)]
+        rows += [(len(rows) + 1, " ".join(base)), (len(rows) + 2, " ".join(base[:200 - changed] + [word() for _ in range(changed)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {i for i, _, low in _components(rows, 5, 80) if i == low}
+    assert kept != {i for i, _, low in _components(rows) if i == low}

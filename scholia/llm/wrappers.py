@@ -6,8 +6,8 @@ into one template per host.  A node whose text is the same on all its pages
 is constant and belongs to the template; a node whose text varies is a slot.
 The wrapper is the path to the smallest node that holds the host's main
 slots (by their plain text outside links); menus, forms, notices and the
-like are no slots.  A page's text is read from the node that its tree aligns
-with the wrapper's, whole.
+like are no slots.  A page's text is read from the nodes that its tree aligns
+with the wrapper's (several if the node repeats), whole and in page order.
 
 Templates are merged in each task first (one row per host and flush), then
 per host as a stream, so a host with a third of all pages never gathers in
@@ -15,8 +15,8 @@ one task.  Memory is bounded by ``HOSTS_HELD`` templates in the first step
 and by one host's template in the second.
 
 Defined cases: a null or empty page has no text; a page without the
-wrapper's node (or a host with no slots) is read from its article or main
-element, else its body; a null URL or one without a host makes a host of its
+wrapper's node (or a host with no slots) is read from its article and main
+elements, else its body; a null URL or one without a host makes a host of its
 own (empty); repeated rows and null ids are kept; unclosed and stray tags
 are mended; a cut-off page is read up to its end; extra columns are not
 read; an empty table gives an empty result.
@@ -265,17 +265,17 @@ def wrapper(template: list) -> list[str]:
     return path
 
 
-def main_node(root: Node, path: list[str]) -> Node:
-    """The node that aligns with the wrapper's main node; else the article, main or body element, else the root."""
+def main_nodes(root: Node, path: list[str]) -> list[Node]:
+    """The nodes that align with the wrapper's main node, in page order; else the article, main or body elements, else the root."""
     at = [root]
     for sign in path:
         at = [y for x in at for y in inside(x) if y.sign == sign]
     if path and at:
-        return at[0] if len(at) == 1 else max(at, key=lambda x: len(text_of(x)))
-    for tag in (*MAIN, "body"):
-        if found := [x for x in walk(root) if x.tag == tag and not x.chrome]:
-            return max(found, key=lambda x: len(text_of(x)))
-    return root
+        return at
+    for tags in (MAIN, ("body",)):
+        if found := list(walk(root, tags)):
+            return found
+    return [root]
 
 
 def inside(node: Node):
@@ -288,11 +288,14 @@ def inside(node: Node):
                 yield from inside(x)
 
 
-def walk(node: Node):
+def walk(node: Node, tags: tuple[str, ...]):
+    """The outermost elements with one of the tags that are no furniture, in page order."""
     for x in node.children:
         if isinstance(x, Node):
-            yield x
-            yield from walk(x)
+            if x.tag in tags and not x.chrome:
+                yield x
+            else:
+                yield from walk(x, tags)
 
 
 def _induce(batches):
@@ -348,7 +351,7 @@ def _extract(batches):
         out = []
         paths = batch["path"].to_pylist()
         for path, page in zip(paths, arrays.filled(batch["html"])):
-            out.append(text_of(main_node(parse(page.as_py()), json.loads(path) if path else [])))
+            out.append("\n".join(t for x in main_nodes(parse(page.as_py()), json.loads(path) if path else []) if (t := text_of(x))))
         yield pa.record_batch({"id": batch["id"], "url": batch["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array(list(map(len, out)), pa.int64())})
 
 

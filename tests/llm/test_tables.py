@@ -259,3 +259,23 @@ def test_near_duplicate_stage_takes_five_words_and_eighty_percent(spark):
     kept = {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
     assert kept == {i for i, _, low in _components(rows, 5, 80) if i == low}
     assert kept != {i for i, _, low in _components(rows) if i == low}
+
+
+def _read(*mains):
+    """What the pages of one host, each in the frame of PAGE, are read as."""
+    host = None
+    trees = [wrappers.parse(PAGE.format(i=i, main=m)) for i, m in enumerate(mains)]
+    for t in trees:
+        host = wrappers.merge(host, wrappers.skeleton(t)) if host else wrappers.skeleton(t)
+    return ["\n".join(t for x in wrappers.main_nodes(root, wrappers.wrapper(host)) if (t := wrappers.text_of(x))) for root in trees]
+
+
+def test_wrappers_read_all_like_siblings():
+    parts = lambda i, tag: "".join(f"<{tag} class=part><h2>Part {k} of {i}</h2><p>{'Words ' * (5 + k)}{i} {k}</p></{tag}>" for k in range(3))
+    want = lambda i: "\n".join(f"Part {k} of {i}\n{'Words ' * (5 + k)}{i} {k}" for k in range(3))
+    assert _read(*[f"<div class=post>{parts(i, 'section')}</div>" for i in range(4)]) == [want(i) for i in range(4)]
+    assert _read(*[parts(i, "article") for i in range(4)]) == [want(i) for i in range(4)]
+    rows = lambda i: "".join(f"<tr><td><p>Cell {i} {k}</p><p>more of {i}</p></td></tr>" for k in range(3))
+    assert _read(*[f"<table>{rows(i)}</table>" for i in range(4)]) == ["\n".join(f"Cell {i} {k}\nmore of {i}" for k in range(3)) for i in range(4)]
+    same = "<article><p>One part</p></article><article><p>and the other</p></article>"
+    assert _read(same.replace("One", "First"), same, same, same)[1] == "One part\nand the other"

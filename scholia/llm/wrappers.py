@@ -4,10 +4,12 @@ Pages of one host are aligned by simple tree matching: the trees of their
 block elements, with runs of like siblings taken as one node, are merged
 into one template per host.  A node whose text is the same on all its pages
 is constant and belongs to the template; a node whose text varies is a slot.
-The wrapper is the path to the smallest node that holds the host's main
-slots (by their plain text outside links); menus, forms, notices and the
-like are no slots.  A page's text is read from the nodes that its tree aligns
-with the wrapper's (several if the node repeats), whole and in page order.
+The wrapper is the path to the lowest node that holds all the host's slots
+with plain text outside links, or to the article or main element that does;
+menus, forms, notices and the like are no slots.  A page's text is read from
+the nodes that its tree aligns with the wrapper's (several if the node
+repeats), in page order and whole but for constant nodes beside the child
+that holds most of the slot text.
 
 Templates are merged in each task first (one row per host and flush), then
 per host as a stream, so a host with a third of all pages never gathers in
@@ -15,8 +17,9 @@ one task.  Memory is bounded by ``HOSTS_HELD`` templates in the first step
 and by one host's template in the second.
 
 Defined cases: a null or empty page has no text; a page without the
-wrapper's node (or a host with no slots) is read from its article and main
-elements, else its body; a null URL or one without a host makes a host of its
+wrapper's node (or a host with no text outside links) is read from its
+article and main elements, else its body; a host whose pages are all alike is
+read as one page is, all its nodes being slots; a null URL or one without a host makes a host of its
 own (empty); repeated rows and null ids are kept; unclosed and stray tags
 are mended; a cut-off page is read up to its end; extra columns are not
 read; an empty table gives an empty result.
@@ -59,7 +62,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 #: Templates that a task holds before it emits them.
 HOSTS_HELD = 2000
-#: A main node must hold this part of the host's slot text.
+#: Beside a child that holds this part of a node's slot text, constant nodes are left out.
 MAIN_PART = 0.8
 
 
@@ -134,28 +137,31 @@ def close(stack: list[Node], tag: str) -> None:
             return
 
 
-def blocks(node: Node, out: list[list[str]], chrome_too: bool = False) -> None:
-    """Append the text pieces under a node to ``out``, a list per block."""
+def blocks(node: Node, out: list[list[str]], path: tuple[str, ...] = (), drop: frozenset = frozenset()) -> None:
+    """Append the text pieces under a node to ``out``, a list per block; ``path`` leads to the node, those in ``drop`` to what is left out."""
     for x in node.children:
         if isinstance(x, str):
             out[-1].append(x)
-        elif x.chrome and not chrome_too:
+        elif x.chrome:
             if x.tag in BLOCK:
                 out.append([])
         elif x.tag in BLOCK:
             out.append([])
-            blocks(x, out, chrome_too)
+            if (way := (*path, x.sign)) not in drop:
+                blocks(x, out, way, drop)
             out.append([])
         elif x.tag == "br":
             out[-1].append(" ")
         else:
-            blocks(x, out, chrome_too)
+            blocks(x, out, path, drop)
 
 
-def text_of(node: Node) -> str:
-    """Blocks joined by line ends; references decoded, white space runs in a block made one space."""
-    out: list[list[str]] = [[]]
-    blocks(node, out)
+def text_of(nodes: list[Node], path: tuple[str, ...] = (), drop: frozenset = frozenset()) -> str:
+    """Blocks of the nodes joined by line ends; references decoded, white space runs in a block made one space."""
+    out: list[list[str]] = []
+    for node in nodes:
+        out.append([])
+        blocks(node, out, path, drop)
     return "\n".join(t for b in out if b and (t := " ".join(html.unescape("".join(b)).split())))
 
 
@@ -238,44 +244,45 @@ def merge(a: list, b: list) -> list:
 
 def slot_text(t: list, pages: int) -> int:
     """Plain characters of a template's slots: nodes whose text varies, and all nodes if the host has one page."""
-    own = max(0, t[PLAIN] - t[LINKS]) if t[TEXT] is None or pages < 2 else 0
+    own = t[PLAIN] if t[TEXT] is None or pages < 2 else 0
     return own + sum(slot_text(c, pages) for c in t[CHILDREN])
 
 
-def wrapper(template: list) -> list[str]:
-    """Signatures on the way to the main node: an article or main element with slots, else the smallest with most of the slot text."""
-    pages = template[PAGES]
+def wrapper(template: list) -> dict:
+    """path: signatures on the way to the main node, the lowest that holds all slots (or the article or main element above it).
 
-    def marked(t: list, path: list[str]):
-        if t[SIGN].split(".")[0] in MAIN:
-            yield slot_text(t, pages), path
-        for c in t[CHILDREN]:
-            yield from marked(c, [*path, c[SIGN]])
-
-    found = max(marked(template, []), key=lambda x: (x[0], -len(x[1])), default=(0, []))
-    if found[0]:
-        return found[1]
-    node, path, whole = template, [], slot_text(template, pages)
-    while whole:
+    The way may lead on by children that hold most of the slot text; ``drop``
+    has the paths of the template's nodes beside it that hold no slot.
+    """
+    pages = template[PAGES] if slot_text(template, template[PAGES]) else 1  # pages that are all alike: as one page
+    node, path, top, drop = template, [], None, []
+    while (whole := slot_text(node, pages)) and node[SIGN].split(".")[0] not in MAIN:
         inside = [(slot_text(c, pages), c) for c in node[CHILDREN]]
         most, child = max(inside, key=lambda x: x[0], default=(0, None))
         if most < MAIN_PART * whole or not child[CHILDREN]:
             break
+        if most < whole and top is None:
+            top = path
+        if top is not None:
+            slots = {c[SIGN] for n, c in inside if n}
+            drop += [[*path, c[SIGN]] for _, c in inside if c[SIGN] not in slots]
         node, path = child, [*path, child[SIGN]]
-    return path
-
-
-def main_nodes(root: Node, path: list[str]) -> list[Node]:
-    """The nodes that align with the wrapper's main node, in page order; else the article, main or body elements, else the root."""
-    at = [root]
-    for sign in path:
-        at = [y for x in at for y in inside(x) if y.sign == sign]
-    if path and at:
-        return at
+    return {"path": (path if top is None else top) if whole else None, "drop": drop}
+
+
+def page_text(root: Node, wrapper: dict) -> str:
+    """The text of the nodes that align with the main node, in page order; else of the article and main elements, the body or the root."""
+    path, drop = wrapper["path"], frozenset(map(tuple, wrapper["drop"]))
+    if path is not None:
+        at = [root]
+        for sign in path:
+            at = [y for x in at for y in inside(x) if y.sign == sign]
+        if at:
+            return text_of(at, tuple(path), drop)
     for tags in (MAIN, ("body",)):
         if found := list(walk(root, tags)):
-            return found
-    return [root]
+            return text_of(found)
+    return text_of([root])
 
 
 def inside(node: Node):
@@ -339,7 +346,7 @@ def _fold(batches):
 
 
 def induce(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One wrapper per host: host, path (JSON list of signatures)."""
+    """One wrapper per host: host, path (the wrapper as JSON)."""
     host = F.coalesce(host_of(F.col(url_col)), F.lit(""))
     parts = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInArrow(_induce, "host string, pages long, template string")
     parts = keep(parts, "host-templates").repartition("host").sortWithinPartitions("host", F.desc("pages"), "template")
@@ -351,12 +358,12 @@ def _extract(batches):
         out = []
         paths = batch["path"].to_pylist()
         for path, page in zip(paths, arrays.filled(batch["html"])):
-            out.append("\n".join(t for x in main_nodes(parse(page.as_py()), json.loads(path) if path else []) if (t := text_of(x))))
+            out.append(page_text(parse(page.as_py()), json.loads(path) if path else {"path": None, "drop": []}))
         yield pa.record_batch({"id": batch["id"], "url": batch["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array(list(map(len, out)), pa.int64())})
 
 
-#: Wrappers are broadcast up to this many hosts (a path is some 100 bytes); beyond, the pages are shuffled to them.
-BROADCAST_HOSTS = 100_000
+#: Wrappers are broadcast up to this many bytes; beyond, the pages are shuffled to them.
+BROADCAST_BYTES = 10 << 20
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -364,7 +371,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     wrappers = induce(pages, url_col=url_col, html_col=html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
-    if wrappers.count() <= BROADCAST_HOSTS:
+    if (wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("path"))).first()[0] or 0) <= BROADCAST_BYTES:
         wrappers = F.broadcast(wrappers)
     met = rows.withColumn("host", host).join(wrappers, "host", "left").select("id", "url", "html", "path")
     out = met.mapInArrow(_extract, f"id {dict(rows.dtypes)['id']}, url string, text string, n_chars long")

@@ -267,7 +267,7 @@ def _read(*mains):
     trees = [wrappers.parse(PAGE.format(i=i, main=m)) for i, m in enumerate(mains)]
     for t in trees:
         host = wrappers.merge(host, wrappers.skeleton(t)) if host else wrappers.skeleton(t)
-    return ["\n".join(t for x in wrappers.main_nodes(root, wrappers.wrapper(host)) if (t := wrappers.text_of(x))) for root in trees]
+    return [wrappers.page_text(root, wrappers.wrapper(host)) for root in trees]
 
 
 def test_wrappers_read_all_like_siblings():
@@ -279,3 +279,17 @@ def test_wrappers_read_all_like_siblings():
     assert _read(*[f"<table>{rows(i)}</table>" for i in range(4)]) == ["\n".join(f"Cell {i} {k}\nmore of {i}" for k in range(3)) for i in range(4)]
     same = "<article><p>One part</p></article><article><p>and the other</p></article>"
     assert _read(same.replace("One", "First"), same, same, same)[1] == "One part\nand the other"
+
+
+def test_wrappers_read_all_slots():
+    body = lambda i: f"<div class=content><h2>Part {i}</h2><p>{i} {'words of the body ' * 20}</p></div>"
+    text = lambda i: f"Part {i}\n{i} {'words of the body ' * 20}".rstrip()
+    lead = lambda i: f"<div class=tagline>Same on all</div><h1>Title {i}</h1><p class=lead>Lead {i}</p>{body(i)}"
+    assert _read(*map(lead, range(4))) == [f"Title {i}\nLead {i}\n{text(i)}" for i in range(4)]
+    two = lambda i: f"{body(i)}<div class=more><p>Second container {i}</p></div>"
+    assert _read(*map(two, range(4))) == [f"{text(i)}\nSecond container {i}" for i in range(4)]
+    cards = lambda i: f"<div id=story><p>{i} {'story ' * 50}end</p></div><article class=card>Teaser {i}</article><article class=card>Other {i}</article>"
+    assert _read(*map(cards, range(4))) == [f"{i} {'story ' * 50}end\nTeaser {i}\nOther {i}" for i in range(4)]
+    links = lambda i: f"{body(i)}<p class=note>See {i} <a href=/x>a link that is longer than the rest</a></p>"
+    assert _read(*map(links, range(4))) == [f"{text(i)}\nSee {i} a link that is longer than the rest" for i in range(4)]
+    assert _read(two(1), two(1)) == [f"Site\n{text(1)}\nSecond container 1"] * 2

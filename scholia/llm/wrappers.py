@@ -6,7 +6,8 @@ into one template per host.  A node whose text is the same on all its pages
 is constant and belongs to the template; a node whose text varies is a slot.
 The wrapper is the path to the lowest node that holds all the host's slots
 with plain text outside links, or to the article or main element that does;
-menus, forms, notices and the like are no slots.  A page's text is read from
+menus, forms, notices and the like are no slots unless they hold most of the
+host's varying text, or its only article or main element.  A page's text is read from
 the nodes that its tree aligns with the wrapper's (several if the node
 repeats), in page order and whole but for constant nodes beside the child
 that holds most of the slot text.
@@ -46,11 +47,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template svg select button".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
-CHROME = frozenset("head nav footer aside form script style noscript iframe template svg select button textarea title dialog menu search".split())
+NO_TEXT = frozenset("head script style noscript iframe template svg select button textarea title".split())
+CHROME = frozenset("nav footer aside form dialog menu search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
 disclaimer disqus footer menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related replies
 respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets""".split())
+#: Words that leave a class or id the name of furniture if they stand beside one of its words.
+CHROME_PARTS = frozenset("""area articles bar bars block body bottom box btn button buttons col column container desktop first foot form global group
+header holder icon icons inner item items left link links list main media message mobile page panel placeholder post posts primary right row second
+secondary section site slot small space stories text this title top unit wrap wrapper zone""".split())
 CLOSES_P = BLOCK - frozenset("body html head li dd dt td th tr tbody thead tfoot summary figcaption".split())
 #: An open element of the key's kind ends where one of the kind begins, up to the nearest element named last.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -67,7 +73,7 @@ MAIN_PART = 0.8
 
 
 class Node:
-    """An element: tag, signature (tag and class words), whether it is page furniture, children (nodes and strings)."""
+    """An element: tag, signature (tag and class words, ~ before furniture), whether it looks like page furniture, children (nodes and strings)."""
 
     __slots__ = ("tag", "sign", "chrome", "children")
 
@@ -81,9 +87,15 @@ class Node:
                     role = value.strip()
                 else:
                     names += value.split()
-        words = {w for n in names for w in re.split(r"[-_\d]+", n)}
-        self.sign = ".".join([tag, *sorted(n for n in names if not re.search(r"\d", n))])
-        self.chrome = tag in CHROME or role in CHROME_ROLES or tag not in MAIN and tag not in ("body", "html") and bool(words & CHROME_WORDS)
+        named = tag not in MAIN and any(map(furniture, names))
+        self.chrome = tag not in ("body", "html") and (tag in CHROME or role in CHROME_ROLES or named)
+        self.sign = "~" * self.chrome + ".".join([tag, *sorted(n for n in names if not re.search(r"\d", n))])
+
+
+def furniture(name: str) -> bool:
+    """Whether a whole class or id names page furniture: all its words do, or stand beside one that does."""
+    words = {w for w in re.split(r"[-_\d]+", name) if w}
+    return not words.isdisjoint(CHROME_WORDS) and words <= CHROME_WORDS | CHROME_PARTS
 
 
 def parse(page: str) -> Node:
@@ -137,31 +149,37 @@ def close(stack: list[Node], tag: str) -> None:
             return
 
 
-def blocks(node: Node, out: list[list[str]], path: tuple[str, ...] = (), drop: frozenset = frozenset()) -> None:
-    """Append the text pieces under a node to ``out``, a list per block; ``path`` leads to the node, those in ``drop`` to what is left out."""
+def blocks(node: Node, out: list[list[str]], path: tuple[str, ...], drop: frozenset, kept: frozenset) -> None:
+    """Append the text pieces under a node to ``out``, a list per block.
+
+    ``path`` leads to the node, the paths in ``drop`` to what is left out, those in ``kept`` to furniture that is content.
+    """
     for x in node.children:
         if isinstance(x, str):
             out[-1].append(x)
-        elif x.chrome:
-            if x.tag in BLOCK:
-                out.append([])
-        elif x.tag in BLOCK:
-            out.append([])
-            if (way := (*path, x.sign)) not in drop:
-                blocks(x, out, way, drop)
+            continue
+        if x.tag in BLOCK:
             out.append([])
-        elif x.tag == "br":
+        way = (*path, x.sign) if apart(x) else path
+        if x.tag == "br":
             out[-1].append(" ")
-        else:
-            blocks(x, out, path, drop)
+        elif x.tag not in NO_TEXT and (way is path or way not in drop and (not x.chrome or way in kept)):
+            blocks(x, out, way, drop, kept)
+        if x.tag in BLOCK:
+            out.append([])
+
 
+def apart(node: Node) -> bool:
+    """Whether an element is a node of its own in templates."""
+    return (node.tag in BLOCK or node.chrome) and node.tag not in NO_TEXT
 
-def text_of(nodes: list[Node], path: tuple[str, ...] = (), drop: frozenset = frozenset()) -> str:
-    """Blocks of the nodes joined by line ends; references decoded, white space runs in a block made one space."""
+
+def text_of(nodes: list[tuple[Node, tuple[str, ...]]], drop: frozenset, kept: frozenset) -> str:
+    """Blocks of the nodes (each with its path) joined by line ends; references decoded, white space runs in a block made one space."""
     out: list[list[str]] = []
-    for node in nodes:
+    for node, path in nodes:
         out.append([])
-        blocks(node, out, path, drop)
+        blocks(node, out, path, drop, kept)
     return "\n".join(t for b in out if b and (t := " ".join(html.unescape("".join(b)).split())))
 
 
@@ -170,7 +188,7 @@ SIGN, PAGES, PLAIN, LINKS, TEXT, CHILDREN = range(6)
 
 
 def skeleton(node: Node) -> list:
-    """The tree of a page's block elements that are no furniture, runs of like siblings as one."""
+    """The tree of a page's block elements and furniture, runs of like siblings as one."""
     text, links, children = [], [0], []
 
     def inline(x: Node, in_link: bool) -> None:
@@ -179,16 +197,14 @@ def skeleton(node: Node) -> list:
                 if y.strip():
                     text.append(y.strip())
                     links[0] += len(y.strip()) if in_link else 0
-            elif y.tag in BLOCK:
-                if y.chrome:
-                    continue
+            elif apart(y):
                 s = skeleton(y)
                 if children and children[-1][SIGN] == s[SIGN]:
                     children[-1] = merge(children[-1], s)
                     children[-1][PAGES] = 1
                 else:
                     children.append(s)
-            elif not y.chrome:
+            elif y.tag not in NO_TEXT:
                 inline(y, in_link or y.tag == "a")
 
     inline(node, False)
@@ -242,22 +258,50 @@ def merge(a: list, b: list) -> list:
     return [a[SIGN], a[PAGES] + b[PAGES], a[PLAIN] + b[PLAIN], a[LINKS] + b[LINKS], text, children]
 
 
-def slot_text(t: list, pages: int) -> int:
-    """Plain characters of a template's slots: nodes whose text varies, and all nodes if the host has one page."""
+def slot_text(t: list, pages: int, path: tuple[str, ...] = (), kept: set | None = None) -> int:
+    """Plain characters of a template's slots: nodes whose text varies, and all nodes if the host has one page.
+
+    With ``kept``, furniture counts only at those paths; ``path`` leads to t.
+    """
+    if kept is not None and t[SIGN][0] == "~" and path not in kept:
+        return 0
     own = t[PLAIN] if t[TEXT] is None or pages < 2 else 0
-    return own + sum(slot_text(c, pages) for c in t[CHILDREN])
+    return own + sum(slot_text(c, pages, (*path, c[SIGN]), kept) for c in t[CHILDREN])
+
+
+def content_furniture(template: list, pages: int) -> set[tuple[str, ...]]:
+    """Paths of what looks like furniture but holds most of the slot text, or the main article or main element."""
+    total, kept, marked = slot_text(template, pages), set(), []
+
+    def look(t: list, path: tuple[str, ...], around: tuple) -> None:
+        own = slot_text(t, pages)
+        if t[SIGN][0] == "~":
+            around = (*around, path)
+            if 2 * own > total:
+                kept.add(path)
+        if own and t[SIGN].split(".")[0] in MAIN:
+            marked.append((not around, own, around))
+        for c in t[CHILDREN]:
+            look(c, (*path, c[SIGN]), around)
+
+    look(template, (), ())
+    return kept.union(max(marked)[2] if marked else ())
 
 
 def wrapper(template: list) -> dict:
     """path: signatures on the way to the main node, the lowest that holds all slots (or the article or main element above it).
 
     The way may lead on by children that hold most of the slot text; ``drop``
-    has the paths of the template's nodes beside it that hold no slot.
+    has the paths of the template's nodes beside it that hold no slot, and
+    ``kept`` those of furniture that is content.
     """
-    pages = template[PAGES] if slot_text(template, template[PAGES]) else 1  # pages that are all alike: as one page
-    node, path, top, drop = template, [], None, []
-    while (whole := slot_text(node, pages)) and node[SIGN].split(".")[0] not in MAIN:
-        inside = [(slot_text(c, pages), c) for c in node[CHILDREN]]
+    pages = template[PAGES]
+    # furniture is not content for being all that varies on pages that are alike
+    kept = content_furniture(template, pages if slot_text(template, pages, (), set()) else 1)
+    pages = pages if slot_text(template, pages, (), kept) else 1
+    node, path, top, drop = template, (), None, []
+    while (whole := slot_text(node, pages, path, kept)) and node[SIGN].split(".")[0] not in MAIN:
+        inside = [(slot_text(c, pages, (*path, c[SIGN]), kept), c) for c in node[CHILDREN]]
         most, child = max(inside, key=lambda x: x[0], default=(0, None))
         if most < MAIN_PART * whole or not child[CHILDREN]:
             break
@@ -265,44 +309,45 @@ def wrapper(template: list) -> dict:
             top = path
         if top is not None:
             slots = {c[SIGN] for n, c in inside if n}
-            drop += [[*path, c[SIGN]] for _, c in inside if c[SIGN] not in slots]
-        node, path = child, [*path, child[SIGN]]
-    return {"path": (path if top is None else top) if whole else None, "drop": drop}
+            drop += [(*path, c[SIGN]) for _, c in inside if c[SIGN] not in slots]
+        node, path = child, (*path, child[SIGN])
+    return {"path": (path if top is None else top) if whole else None, "drop": sorted(set(drop)), "kept": sorted(kept)}
 
 
 def page_text(root: Node, wrapper: dict) -> str:
     """The text of the nodes that align with the main node, in page order; else of the article and main elements, the body or the root."""
-    path, drop = wrapper["path"], frozenset(map(tuple, wrapper["drop"]))
+    path, drop, kept = wrapper["path"], frozenset(map(tuple, wrapper["drop"])), frozenset(map(tuple, wrapper["kept"]))
     if path is not None:
         at = [root]
         for sign in path:
             at = [y for x in at for y in inside(x) if y.sign == sign]
         if at:
-            return text_of(at, tuple(path), drop)
+            return text_of([(x, tuple(path)) for x in at], drop, kept)
     for tags in (MAIN, ("body",)):
-        if found := list(walk(root, tags)):
-            return text_of(found)
-    return text_of([root])
+        if found := list(walk(root, (), tags)):
+            return text_of(found, drop, kept)
+    return text_of([(root, ())], drop, kept)
 
 
 def inside(node: Node):
-    """The block elements below a node, with no other block element between."""
+    """The elements below a node that are nodes of templates, with no other such element between."""
     for x in node.children:
         if isinstance(x, Node):
-            if x.tag in BLOCK:
+            if apart(x):
                 yield x
-            else:
+            elif x.tag not in NO_TEXT:
                 yield from inside(x)
 
 
-def walk(node: Node, tags: tuple[str, ...]):
-    """The outermost elements with one of the tags that are no furniture, in page order."""
+def walk(node: Node, path: tuple[str, ...], tags: tuple[str, ...]):
+    """The outermost elements with one of the tags that are no furniture, in page order, with their paths."""
     for x in node.children:
         if isinstance(x, Node):
+            way = (*path, x.sign) if apart(x) else path
             if x.tag in tags and not x.chrome:
-                yield x
+                yield x, way
             else:
-                yield from walk(x, tags)
+                yield from walk(x, way, tags)
 
 
 def _induce(batches):
@@ -358,7 +403,7 @@ def _extract(batches):
         out = []
         paths = batch["path"].to_pylist()
         for path, page in zip(paths, arrays.filled(batch["html"])):
-            out.append(page_text(parse(page.as_py()), json.loads(path) if path else {"path": None, "drop": []}))
+            out.append(page_text(parse(page.as_py()), json.loads(path) if path else {"path": None, "drop": [], "kept": []}))
         yield pa.record_batch({"id": batch["id"], "url": batch["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array(list(map(len, out)), pa.int64())})
 
 

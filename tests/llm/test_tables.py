@@ -293,3 +293,20 @@ def test_wrappers_read_all_slots():
     links = lambda i: f"{body(i)}<p class=note>See {i} <a href=/x>a link that is longer than the rest</a></p>"
     assert _read(*map(links, range(4))) == [f"{text(i)}\nSee {i} a link that is longer than the rest" for i in range(4)]
     assert _read(two(1), two(1)) == [f"Site\n{text(1)}\nSecond container 1"] * 2
+
+
+def test_wrappers_judge_furniture_by_the_template():
+    body = lambda i: f"<h2>Part {i}</h2><p>{i} {'words of the body ' * 20}</p>"
+    text = lambda i: f"Part {i}\n{i} {'words of the body ' * 20}".rstrip()
+    names = ["class='content has-sidebar'", "id='main-no-sidebar'", "class='entry related-topic'", "class='social-science'", "class=sidebar", "id=comments"]
+    for name in names:
+        assert _read(*[f"<div {name}>{body(i)}</div>" for i in range(4)]) == [text(i) for i in range(4)], name
+        beside = [f"<div {name}><p>Few {i}</p></div><div class=story>{body(i)}</div>" for i in range(4)]
+        assert _read(*beside) == [("" if name in names[4:] else f"Few {i}\n") + text(i) for i in range(4)], name
+    form = lambda i: f"<form id=aspnetForm><div class=ad>Ad {i}</div><div class=x>{body(i)}</div><div class='share-buttons'>Share {i}</div></form>"
+    assert _read(*map(form, range(4))) == [text(i) for i in range(4)]
+    main = lambda i: f"<div class=widget><main><p>Main {i}</p></main></div><section class=related-posts>{body(i)}</section>"
+    assert all(f"Main {i}" in t for i, t in enumerate(_read(*map(main, range(4)))))
+    assert _read(*[f"<aside><article>Card {i}</article></aside><article>{body(i)}</article>" for i in range(4)]) == [text(i) for i in range(4)]
+    alike = [f"<article>Same on both</article><div class=ad>Some ad {i}</div>" for i in range(2)]
+    assert [t.split("\n")[-1] for t in _read(*alike)] == ["Same on both"] * 2

@@ -3,7 +3,8 @@
 Pages of one host are aligned by simple tree matching: the trees of their
 block elements, with runs of like siblings taken as one node, are merged
 into one template per host.  A node whose text is the same on all its pages
-is constant and belongs to the template; a node whose text varies is a slot.
+is constant and belongs to the template; a node whose text varies, or that
+some pages lack, is a slot.
 The wrapper is the path to the lowest node that holds all the host's slots
 with plain text outside links, or to the article or main element that does;
 menus, forms, notices and the like are no slots unless they hold most of the
@@ -28,6 +29,7 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -183,7 +185,7 @@ def text_of(nodes: list[tuple[Node, tuple[str, ...]]], drop: frozenset, kept: fr
     return "\n".join(t for b in out if b and (t := " ".join(html.unescape("".join(b)).split())))
 
 
-# A template node is a list: signature, pages, plain characters, link characters, text (None: it varies), children.
+# A template node is a list: signature, pages, plain characters, link characters, digest of the text (None: it varies), children.
 SIGN, PAGES, PLAIN, LINKS, TEXT, CHILDREN = range(6)
 
 
@@ -200,8 +202,7 @@ def skeleton(node: Node) -> list:
             elif apart(y):
                 s = skeleton(y)
                 if children and children[-1][SIGN] == s[SIGN]:
-                    children[-1] = merge(children[-1], s)
-                    children[-1][PAGES] = 1
+                    children[-1] = one_page(merge(children[-1], s))
                 else:
                     children.append(s)
             elif y.tag not in NO_TEXT:
@@ -209,7 +210,16 @@ def skeleton(node: Node) -> list:
 
     inline(node, False)
     own = sum(map(len, text))
-    return [node.sign, 1, own - links[0], links[0], " ".join(text)[:64] if own else "", children]
+    return [node.sign, 1, own - links[0], links[0], hashlib.blake2b(" ".join(text).encode(errors="replace"), digest_size=8).hexdigest() if own else "", children]
+
+
+def one_page(t: list) -> list:
+    """Makes a template of like siblings of one page count as one page, all its nodes too."""
+    t[PAGES] = 1
+    for c in t[CHILDREN]:
+        if c[PAGES] > 1:
+            one_page(c)
+    return t
 
 
 def _table(a: list, b: list) -> tuple[list[list[int]], list[list[int]]]:
@@ -259,13 +269,13 @@ def merge(a: list, b: list) -> list:
 
 
 def slot_text(t: list, pages: int, path: tuple[str, ...] = (), kept: set | None = None) -> int:
-    """Plain characters of a template's slots: nodes whose text varies, and all nodes if the host has one page.
+    """Plain characters of a template's slots: nodes whose text varies or that some pages lack, and all nodes if the host has one page.
 
     With ``kept``, furniture counts only at those paths; ``path`` leads to t.
     """
     if kept is not None and t[SIGN][0] == "~" and path not in kept:
         return 0
-    own = t[PLAIN] if t[TEXT] is None or pages < 2 else 0
+    own = t[PLAIN] if t[TEXT] is None or t[PAGES] < pages or pages < 2 else 0
     return own + sum(slot_text(c, pages, (*path, c[SIGN]), kept) for c in t[CHILDREN])
 
 
@@ -362,6 +372,7 @@ def _induce(batches):
         pages = arrays.filled(batch["html"])
         for host, page in zip(arrays.filled(batch["host"]).to_pylist(), pages):
             t = skeleton(parse(page.as_py()))
+            t[PAGES] = int(bool(t[TEXT] or t[CHILDREN]))  # an empty page lacks no node
             held[host] = merge(held[host], t) if host in held else t
             if len(held) >= HOSTS_HELD:
                 yield out()

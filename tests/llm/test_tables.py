@@ -310,3 +310,14 @@ def test_wrappers_judge_furniture_by_the_template():
     assert _read(*[f"<aside><article>Card {i}</article></aside><article>{body(i)}</article>" for i in range(4)]) == [text(i) for i in range(4)]
     alike = [f"<article>Same on both</article><div class=ad>Some ad {i}</div>" for i in range(2)]
     assert [t.split("\n")[-1] for t in _read(*alike)] == ["Same on both"] * 2
+
+
+def test_wrappers_compare_whole_texts():
+    opening = "This standing intro of more than sixty-four characters opens every story here"
+    story = lambda i: f"<div class=story>{opening} and then comes story {i}</div><div class=byline><p>By {i}</p><p>on day {i}</p></div>"
+    assert _read(*map(story, range(4))) == [f"Site\n{opening} and then comes story {i}\nBy {i}\non day {i}" for i in range(4)]
+    own = lambda i: f"<div class=slug-{'abcd'[i]}><p>Only text of page {i}</p></div><div class=byline><p>By {i}</p><p>on day {i}</p></div>"
+    assert _read(*map(own, range(4))) == [f"Site\nOnly text of page {i}\nBy {i}\non day {i}" for i in range(4)]
+    # a constant node in some elements of a run only is still constant, and an empty page lacks nothing
+    run = wrappers.skeleton(wrappers.parse("<section><h2>A</h2><p>x</p></section><section><h2>A</h2></section><section><p>y</p></section>"))
+    assert [(c[wrappers.PAGES], [d[wrappers.PAGES] for d in c[wrappers.CHILDREN]]) for c in run[wrappers.CHILDREN]] == [(1, [1, 1])]

@@ -8,7 +8,10 @@ The 64-bit fingerprints are cut into 8 blocks; two fingerprints within
 ``radius`` differ in some block by at most radius // 8 bits, so looking a
 window's blocks up among all block values that near an item's finds every
 item within the radius.  Those candidates are verified by the exact weighted
-Jaccard similarity of the shingles (sum of minima over sum of maxima).
+Jaccard similarity of the shingles (sum of minima over sum of maxima).  A
+shingle that comes more than once moves many votes together, so the distance
+tells little: where the item or the window has one, the item is verified if it
+shares shingles enough, whatever the distance.
 
 Benchmark texts are collected in blocks of at most ``BLOCK_BYTES``, one pass
 over the documents each, so what is shipped to tasks stays bounded however
@@ -40,7 +43,7 @@ from .arrays import to_workers
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Fingerprints of windows at similarity 0.8 differ by about 10 of 64 bits; 23 is over 4 deviations more.
+#: Fingerprints of windows at similarity 0.8 differ by about 10 of 64 bits, if no shingle is repeated; 23 is over 4 deviations more.
 RADIUS = 23
 BLOCKS = 8
 BLOCK_BYTES = 8 << 20
@@ -93,6 +96,14 @@ class Matcher:
                 table = self.index.setdefault((len(ws), b), [[] for _ in range(256)])
                 for value in near[self.prints[k] >> 8 * b & 255]:
                     table[value].append(k)
+        # per size: the items that hold a shingle, and of them those that repeat one
+        self.holders: dict[int, dict[int, list[int]]] = {}
+        self.uneven: dict[int, dict[int, list[int]]] = {}
+        for k, bag in enumerate(self.bags):
+            for lists in [self.holders, *[self.uneven] * (max(bag.values()) > 1)]:
+                of_size = lists.setdefault(len(self.items[k][1]), {})
+                for x in bag:
+                    of_size.setdefault(x, []).append(k)
         self.sizes = sorted({len(ws) for _, ws in self.items})
         # the sizes of the items that hold a shingle: only windows of these are worth a look
         self.sizes_of: dict[int, list[int]] = {}
@@ -147,6 +158,15 @@ class Matcher:
                     starts[w] = known
         return starts
 
+    def sharing(self, bag: Counter, w: int) -> set[int]:
+        """The items of w words that share shingles enough with a window, if it or the item repeats a shingle."""
+        lists = (self.holders if max(bag.values()) > 1 else self.uneven).get(w, {})
+        shared: Counter = Counter()
+        for x, n in bag.items():
+            for k in lists.get(x, ()):
+                shared[k] += min(n, self.bags[k][x])
+        return {k for k, low in shared.items() if low * (1 + self.similar) >= self.similar * (bag.total() + self.bags[k].total()) - 1e-9}
+
     def matches(self, text: str) -> dict[int, tuple[float, int, int]]:
         """Per item (by place), the best window: similarity, first word, Hamming distance."""
         words = words_of(text)
@@ -165,9 +185,10 @@ class Matcher:
                 bag = Counter(self._shingles(own).tolist())
                 mark = self._print(bag)
                 near = {k for b in range(BLOCKS) for k in self.index[w, b][mark >> 8 * b & 255]}
-                for k in sorted(near):
+                sure = self.sharing(bag, w)
+                for k in sorted(near | sure):
                     distance = (mark ^ self.prints[k]).bit_count()
-                    if distance <= self.radius and (s := similarity(bag, self.bags[k])) >= self.similar and s > best.get(k, (0.0,))[0]:
+                    if (k in sure or distance <= self.radius) and (s := similarity(bag, self.bags[k])) >= self.similar and s > best.get(k, (0.0,))[0]:
                         best[k] = (s, a, distance)
         return best
 

@@ -96,6 +96,20 @@ def test_radius_reaches_every_fingerprint(monkeypatch):
         assert any(0 in m.index[len(m.items[0][1]), b][x >> 8 * b & 255] for b in range(decontaminate.BLOCKS))
 
 
+def test_leaks_with_repeated_shingles():
+    import random
+
+    r = random.Random(23)
+    for _ in range(40):
+        # a shingle seven times in the item, others in the text's passage; and the other way round
+        same, other = [f"w{r.randrange(10 ** 9)}" for _ in range(93)], [f"v{r.randrange(10 ** 9)}" for _ in range(11)]
+        item, passage = same + ["la"] * 11, same + other
+        for a, b in ((item, passage), (passage, item)):
+            docs, items = [(1, "some words before " + " ".join(b) + " and after")], [(7, " ".join(a))]
+            m = decontaminate.Matcher(items, 0.8, decontaminate.RADIUS)
+            assert {(1, 7)} == _leaks(docs, items) == {(1, m.items[k][0]) for k in m.matches(docs[0][1])}
+
+
 def test_leaks_in_the_test_tables(spark):
     d = "/root/testdata/sf0.001"
     docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")

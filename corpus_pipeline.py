@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept, written as Parquet and read again in between.
 
 * quality: trains on the labelled rows and drops texts that score under 0.7;
-* near_duplicates: keeps the row with the smallest id of each component of
+* near_duplicates: keeps one row, of the smallest id, of each component of
   texts linked by a Jaccard similarity of 0.8 or more on 5-word shingles;
 * decontamination: drops documents that hold a benchmark passage;
 * secrets: replaces every secret in a text by a mark (all rows stay);

@@ -350,10 +350,14 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; of several such rows, and of rows without an id, all stay."""
-    found = similar_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    drop = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep(drop, "jaccard-drop"), id_col, "left_anti")
+    """One row of ``docs`` per component: the first by (id, nulls last; row number); rows without shingles all stay."""
+    row, key = (next(n for i in range(len(docs.columns) + 1) if (n := f"{name}_{i}") not in docs.columns) for name in ("row", "key"))
+    # stored, so that a row keeps its number
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-numbered")
+    keys = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = similar_components(numbered.select(keys.alias(key), text_col), id_col=key, text_col=text_col, words=words, percent=percent)
+    drop = found.filter(F.col(f"{key}.row") != F.col("component_id.row")).select(F.col(f"{key}.row").alias(row))
+    return numbered.join(keep(drop, "jaccard-drop"), row, "left_anti").select(docs.columns)
 
 
 to_workers(sys.modules[__name__])

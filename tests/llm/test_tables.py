@@ -321,3 +321,13 @@ def test_wrappers_compare_whole_texts():
     # a constant node in some elements of a run only is still constant, and an empty page lacks nothing
     run = wrappers.skeleton(wrappers.parse("<section><h2>A</h2><p>x</p></section><section><h2>A</h2></section><section><p>y</p></section>"))
     assert [(c[wrappers.PAGES], [d[wrappers.PAGES] for d in c[wrappers.CHILDREN]]) for c in run[wrappers.CHILDREN]] == [(1, [1, 1])]
+
+
+def test_one_row_per_component(spark):
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(40)) for name in "abcd")
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (None, a, "n"), (None, b, "m"), (None, b, "m"), (5, c + " end", "near"), (4, c, "c"), (5, d, "unique"), (6, "", "e"), (6, None, "e"), (None, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_0 string").withColumn("key", F.lit("clash"))
+    kept = jaccard.one_per_component(docs)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(1, a), (None, b), (4, c), (5, d), (6, ""), (6, None), (None, None)])
+    assert kept.columns == docs.columns and jaccard.one_per_component(docs.limit(0)).count() == 0

@@ -212,8 +212,14 @@ def _fetch(bloom, words: int):
 
     def run(batches):
         bits, sets, told = np.frombuffer(bloom.value, np.uint8), Sets(words), set()
+        ids, found, held = [], [], 0
+
+        def out():
+            values = pa.array(np.concatenate(found), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
+            return pa.record_batch({"set_id": pa.array(ids, pa.binary()), "shingles": lists})
+
         for batch in batches:
-            ids, found = [], []
             for h in sets(batch["text"]):
                 if len(h):
                     raw = h.tobytes()
@@ -222,10 +228,12 @@ def _fetch(bloom, words: int):
                         told.add(d)
                         ids.append(d)
                         found.append(h.view(np.int64))
-            if ids:
-                values = pa.array(np.concatenate(found), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values)
-                yield pa.record_batch({"set_id": pa.array(ids, pa.binary()), "shingles": lists})
+                        held += len(h)
+                        if held >= PART_SHINGLES:
+                            yield out()
+                            ids, found, held = [], [], 0
+        if ids:
+            yield out()
 
     return run
 

@@ -19,7 +19,8 @@ def to_workers(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
-PIECE_BYTES = 1 << 21
+#: numpy holds about ten 8-byte values per byte of a piece: 256 KB of text take some 20 MB.
+PIECE_BYTES = 1 << 18
 #: Separators of words: space and 0x09 to 0x0D.
 SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 SEED = 20240229
@@ -64,26 +65,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of a batch, by a polynomial over random byte values.
 
-    ``fold_ascii`` takes A-Z as a-z.
+    ``fold_ascii`` takes A-Z as a-z; ``separators`` are the bytes between words.
     """
 
-    def __init__(self, fold_ascii: bool = True):
-        values = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+    def __init__(self, fold_ascii: bool = True, separators: bytes = SEPARATORS, seed: int = SEED):
+        values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
         if fold_ascii:
             values[65:91] = values[97:123]
         self.values = values
         self.separator = np.zeros(256, bool)
-        self.separator[list(SEPARATORS)] = True
+        self.separator[list(separators)] = True
         self.base = np.uint64(0xD1342543DE82EF95)
         self.unbase = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.powers = self.unpowers = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            for name, base in (("powers", self.base), ("unpowers", self.unbase)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+    def _steps(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse; kept up to the size of a piece."""
+        if len(self.powers) >= n:
+            return self.powers, self.unpowers
+        both = []
+        for base in (self.base, self.unbase):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        if n <= 2 * PIECE_BYTES:
+            self.powers, self.unpowers = both
+        return both[0], both[1]
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte positions where words start and end."""
@@ -100,16 +107,32 @@ class WordHasher:
         ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         return starts, ends
 
+    def _blocks(self, data: np.ndarray) -> list[int]:
+        """Places to cut ``data`` into blocks of about a piece, each where a word ends."""
+        cuts = [0]
+        while len(data) - cuts[-1] > 2 * PIECE_BYTES:
+            at = cuts[-1] + PIECE_BYTES
+            while at < len(data) and not (gap := self.separator[data[at:at + PIECE_BYTES]]).any():
+                at += PIECE_BYTES
+            if at >= len(data):
+                break
+            cuts.append(at + int(gap.argmax()))
+        return [*cuts, len(data)]
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word, n + 1 word offsets of the texts)."""
+        """(hash of each word, n + 1 word offsets of the texts).  A long text is worked through in blocks."""
         if not len(data):
             return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        self._grow(len(data))
         starts, ends = self.spans(data, offsets)
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.values[data] * self.powers[:len(data)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * self.unpowers[starts])
+        hashes = np.empty(len(starts), np.uint64)
+        cuts = self._blocks(data)
+        at = np.searchsorted(starts, cuts)
+        for a, b, first, end in zip(cuts[:-1], cuts[1:], at[:-1], at[1:]):
+            powers, unpowers = self._steps(b - a)
+            sums = np.empty(b - a + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(self.values[data[a:b]] * powers[:b - a], out=sums[1:])
+            hashes[first:end] = mix((sums[ends[first:end] - a] - sums[starts[first:end] - a]) * unpowers[starts[first:end] - a])
         return hashes, np.searchsorted(starts, offsets)
 
 

@@ -51,7 +51,10 @@ class Model:
 
 
 def ngram_buckets(data: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the n-gram at each byte, for n from 1 to 4 (those at the end are left out)."""
+    """Bucket of the n-gram at each byte, for n from 1 to 4 (those at the end are left out).
+
+    ``data`` is a block: a long text's blocks overlap by three bytes.
+    """
     out, code = [], np.zeros(len(data), np.uint32)
     for n in range(1, 5):
         code = (code[:len(data) - n + 1] | data[n - 1:].astype(np.uint32) << np.uint32(8 * (n - 1))) if len(data) >= n else np.zeros(0, np.uint32)
@@ -80,13 +83,18 @@ def text_features(column: pa.Array):
     present = np.zeros(1 << BITS, bool)
     for a, b in arrays.pieces(texts):
         data, offsets = arrays.utf8(texts.slice(a, b - a))
-        grams = ngram_buckets(data)
+        grams = ngram_buckets(data) if b - a > 1 else None
         words, at = hasher.words(data, offsets)
         for i in range(b - a):
             present[:] = False
             first, end = offsets[i], offsets[i + 1]
-            for n, g in enumerate(grams, 1):
-                present[g[first:max(first, end - n + 1)]] = True
+            if grams is None:  # one text, of any length
+                for block in range(0, len(data), arrays.PIECE_BYTES):
+                    for g in ngram_buckets(data[block:block + arrays.PIECE_BYTES + 3]):
+                        present[g] = True
+            else:
+                for n, g in enumerate(grams, 1):
+                    present[g[first:max(first, end - n + 1)]] = True
             present[repeat_buckets(words[at[i]:at[i + 1]])] = True
             yield present
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, mixing, quality, secret_scan, tokens, topk, urls, warc, wrappers
+from . import decontaminate, jaccard, mixing, quality, secret_scan, superminhash, tokens, topk, urls, warc, wrappers
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -75,6 +75,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.col("spans_sha256").alias("base_sha256"), "spans")
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
+    "op12_near_duplicates": op12_near_duplicates,
 }
 
 OP2_SQL = rf"""
@@ -119,18 +124,25 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM p JOIN d USING (body)
 """
 
-OP8_SQL = rf"""
+
+def _components_sql(percent: int, more: str = "") -> str:
+    """Components of documents linked at ``percent`` on sets of 4-word shingles."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))))
                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 c AS MATERIALIZED (SELECT s, min(doc_id) AS doc_id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
 e AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS g FROM c),
 l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
-      AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+      AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 r(a, b) AS (SELECT doc_id, doc_id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id{more}
 FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k ON k.a = c.doc_id
 """
 
-SQL = {"op2_url_filter": OP2_SQL, "op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op8_jaccard": OP8_SQL}
+
+OP8_SQL = _components_sql(85)
+OP12_SQL = _components_sql(80, ", coalesce(k.component_id, s.doc_id) IS NOT DISTINCT FROM s.doc_id AS kept")
+
+SQL = {"op2_url_filter": OP2_SQL, "op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op8_jaccard": OP8_SQL, "op12_near_duplicates": OP12_SQL}

@@ -20,11 +20,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     (key, n) is given.  ``how``: inner or left.
     """
     counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    portion = max(least, -(-total // HOT_KEYS))
-    found = counts.filter((F.col("n") > portion) & F.col(key).isNotNull()).select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / portion).cast("int").alias("places")).collect()
-    if not found:
+    total, most = counts.filter(F.col(key).isNotNull()).agg(F.sum("n"), F.max("n")).first()
+    portion = max(least, -(-(total or 0) // HOT_KEYS))
+    if (most or 0) <= portion:
         return left.join(right, key, how)
+    found = counts.filter((F.col("n") > portion) & F.col(key).isNotNull()).select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / portion).cast("int").alias("places")).collect()
     hot = left.sparkSession.createDataFrame(found, f"hot_key {dict(left.dtypes)[key]}, places int")  # at most HOT_KEYS rows
 
     def marked(df: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
@@ -148,7 +148,7 @@ def _bands(batches):
         keys = arrays.mix((s * factors).sum(axis=2, dtype=np.uint64) + arrays.mix(bands)) & ~np.uint64(BANDS - 1) | bands
         for a in range(0, len(keys), 2048):
             part = keys[a:a + 2048]
-            yield pa.record_batch({"key": pa.array(part.reshape(-1).view(np.int64)), "set_id": batch["set_id"].slice(a, len(part)).take(pa.array(np.repeat(np.arange(len(part)), BANDS)))})
+            yield pa.record_batch({"key": pa.array(part.reshape(-1).view(np.int64)), **{c: batch[c].slice(a, len(part)).take(pa.array(np.repeat(np.arange(len(part)), BANDS))) for c in ("set_id", "size")}})
 
 
 def _splits(batches):
@@ -164,7 +164,7 @@ def _splits(batches):
             rows = np.arange(len(s))[:, None, None]
             split = arrays.mix((s[rows, chosen] * factors).sum(axis=2, dtype=np.uint64) + arrays.mix(np.arange(SPLITS, dtype=np.uint64)) + key[:, None])
             again = pa.array(np.repeat(np.arange(len(s)), SPLITS))
-            yield pa.record_batch({"key": pa.array(split.reshape(-1).view(np.int64)), "set_id": part["set_id"].take(again), "label": part["label"].take(again)})
+            yield pa.record_batch({"key": pa.array(split.reshape(-1).view(np.int64)), **{c: part[c].take(again) for c in ("set_id", "size", "label")}})
 
 
 def _agreeing(batches):
@@ -209,9 +209,12 @@ class NearDuplicates:
         #: One row per distinct set.
         self.sets = keep(signed, "near-sets")
 
+    def sizes_fit(self, n: str, m: str) -> Column:
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
     def buckets(self) -> DataFrame:
-        """key, set_id and n (members) of the buckets of several sets."""
-        bands = self.sets.select("set_id", "signature").mapInArrow(_bands, "key long, set_id binary")
+        """key, set_id, size (of the set) and n (members) of the buckets of several sets."""
+        bands = self.sets.select("set_id", F.col("n").alias("size"), "signature").mapInArrow(_bands, "key long, set_id binary, size long")
         counts = keep(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-counts")
         return keep(salted_join(bands, counts, "key", counts=counts), "near-buckets")
 
@@ -220,11 +223,8 @@ class NearDuplicates:
         pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         if not pairs.head(1):
             return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        one = self.sets.select(F.col("set_id").alias("a"), F.col("n").alias("n"), F.col("signature").alias("x"))
-        two = self.sets.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("signature").alias("y"))
-        sized = keep(salted_join(salted_join(pairs, one.select("a", "n"), "a", least=1000), two.select("b", "m"), "b", least=1000)
-                     .filter(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")).select("a", "b"), "near-sized")
-        signed = salted_join(salted_join(sized, one.select("a", "x"), "a", least=PAIRS_AT_ONCE * 4), two.select("b", "y"), "b", least=PAIRS_AT_ONCE * 4)
+        one, two = (self.sets.select(F.col("set_id").alias(c), F.col("signature").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+        signed = salted_join(salted_join(pairs, one, "a", least=PAIRS_AT_ONCE * 4), two, "b", counts=pairs.groupBy("b").agg(F.count("*").alias("n")), least=PAIRS_AT_ONCE * 4)
         close = keep(signed.mapInArrow(_agreeing, "a binary, b binary"), "near-close")
         ends = close.select(F.col("a").alias("set_id")).union(close.select(F.col("b").alias("set_id"))).distinct()
         bloom = self.docs.sparkSession.sparkContext.broadcast(_bloom(ends))
@@ -233,27 +233,26 @@ class NearDuplicates:
         both = F.size(F.array_intersect("x", "y"))
         enough = 100 * both >= self.percent * (F.size("x") + F.size("y") - both)
         met = salted_join(salted_join(close, got.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a", least=PAIRS_AT_ONCE),
-                          got.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b", least=PAIRS_AT_ONCE)
+                          got.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b", counts=close.groupBy("b").agg(F.count("*").alias("n")), least=PAIRS_AT_ONCE)
         return keep(met.filter(enough).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
 
     def first_round(self, buckets: DataFrame) -> DataFrame:
         company = buckets.groupBy("set_id").agg(F.sum("n").alias("company"))
-        pivots = buckets.join(company, "set_id").groupBy("key").agg(F.max(F.struct("company", "set_id")).alias("most"), F.min("set_id").alias("other"))
-        pivots = keep(pivots.select("key", F.array("most.set_id", "other").alias("pivots")), "near-pivots")
+        pivots = buckets.join(company, "set_id").groupBy("key").agg(F.max(F.struct("company", "set_id", "size")).alias("most"), F.min(F.struct("set_id", "size")).alias("other"))
+        pivots = keep(pivots.select("key", F.array(F.struct("most.set_id", "most.size"), "other").alias("pivots")), "near-pivots")
         counts = buckets.groupBy("key").agg(F.first("n").alias("n"))
-        met = salted_join(buckets.select("key", "set_id"), pivots, "key", counts=counts)
-        return self.fit(met.select(F.col("set_id").alias("a"), F.explode("pivots").alias("b")).filter("a <> b"))
+        met = salted_join(buckets.select("key", "set_id", "size"), pivots, "key", counts=counts).withColumn("pivot", F.explode("pivots"))
+        met = met.select(F.col("set_id").alias("a"), F.col("pivot.set_id").alias("b"), "size", F.col("pivot.size").alias("size2"))
+        return self.fit(met.filter((F.col("a") != F.col("b")) & self.sizes_fit("size", "size2")))
 
     def second_round(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
         found = groups(links).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-        labelled = buckets.select("key", "set_id").join(found, "set_id", "left").withColumn("label", F.xxhash64(F.coalesce("label", "set_id")))
-        labelled = keep(labelled, "near-labels")
-        wide = self._several(labelled)
+        labelled = buckets.select("key", "set_id", "size").join(found, "set_id", "left").withColumn("label", F.xxhash64(F.coalesce("label", "set_id")))
+        wide = self._several(keep(labelled, "near-labels"))
         large = F.col("others") * F.col("n") > SPLIT_PAIRS
-        split = keep(wide.filter(large).select("key", "set_id", "label"), "near-split")
-        parts = split.join(self.sets.select("set_id", "signature"), "set_id").mapInArrow(_splits, "key long, set_id binary, label long")
-        pairs = self._across(wide.filter(~large)).union(self._across(self._several(keep(parts, "near-parts"))))
-        return self.fit(pairs)
+        parts = wide.filter(large).select("key", "set_id", "size", "label").join(self.sets.select("set_id", "signature"), "set_id")
+        parts = keep(parts.mapInArrow(_splits, "key long, set_id binary, size long, label long"), "near-parts")
+        return self.fit(self._across(wide.filter(~large)).union(self._across(self._several(parts))))
 
     def _several(self, members: DataFrame) -> DataFrame:
         """Members of the buckets that hold several labels, with the largest label, the bucket's size and how many have another."""
@@ -263,10 +262,10 @@ class NearDuplicates:
         return keep(salted_join(members, lists, "key", counts=lists.select("key", "n")), "near-several")
 
     def _across(self, members: DataFrame) -> DataFrame:
-        """Pairs of members of one bucket with different labels, those of its largest label as one side only."""
-        x = members.filter("label <> main").select("key", F.col("set_id").alias("a"), "label")
-        y = members.select("key", F.col("set_id").alias("b"), F.col("label").alias("label2"))
-        return x.join(y, "key").filter("label <> label2").select("a", "b")
+        """Pairs of members of one bucket with different labels and compatible sizes, those of its largest label as one side only."""
+        x = members.filter("label <> main").select("key", F.col("set_id").alias("a"), "size", "label")
+        y = members.select("key", F.col("set_id").alias("b"), F.col("size").alias("size2"), F.col("label").alias("label2"))
+        return x.join(y, "key").filter((F.col("label") != F.col("label2")) & self.sizes_fit("size", "size2")).select("a", "b")
 
     def links(self) -> DataFrame:
         buckets = self.buckets()

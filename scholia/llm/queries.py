@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, mixing, quality, secret_scan, superminhash, tokens, topk, urls, warc, wrappers
+from . import decontaminate, jaccard, mixing, quality, repair, secret_scan, superminhash, tokens, topk, urls, warc, wrappers
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -79,6 +79,10 @@ def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
     "op12_near_duplicates": op12_near_duplicates,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 OP2_SQL = rf"""
@@ -145,4 +150,56 @@ FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k ON k.a = c.doc_id
 OP8_SQL = _components_sql(85)
 OP12_SQL = _components_sql(80, ", coalesce(k.component_id, s.doc_id) IS NOT DISTINCT FROM s.doc_id AS kept")
 
-SQL = {"op2_url_filter": OP2_SQL, "op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op8_jaccard": OP8_SQL, "op12_near_duplicates": OP12_SQL}
+
+
+def _repair_sql() -> str:
+    """Damage, faults and the audit DP, whose states e, s, u and a hold cost c, letters p and repaired lines t."""
+    def step(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN struct_pack(c := {state}.c + {cost}, p := {state}.p || '{letter}', t := {state}.t || {line}) END"
+
+    def least(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+    user, assistant, own = "'user:' || chr(10)", "'assistant:' || chr(10)", "role || ':' || text || chr(10)"
+    crc = ("xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(k, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+           "lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295)")
+    put_in = f"""SELECT * REPLACE ({least('a', step('u', '3', 'I', assistant))} AS a) FROM (SELECT * REPLACE (
+        {least('u', step('e', '3', 'I', user), step('s', '3', 'I', user), step('a', '3', 'I', user))} AS u) FROM"""
+
+    def kept(initial: str, *states: str) -> list[str]:
+        return [f"CASE WHEN NOT bad AND initial = '{initial}' THEN {step(x, 'more', 'K', own)} END" for x in states]
+
+    def rerolled(role: str, *states: str) -> list[str]:
+        line = f"'{role}:' || text || chr(10)"
+        return [f"CASE WHEN NOT bad THEN {step(x, '3 + more', 'R', line)} END" for x in states]
+
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT *, {crc} % 20 AS fault FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE fault <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM m),
+f AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?', '') AS cut_off FROM n),
+g AS MATERIALIZED (SELECT conv_id, i, role, text, initial, blank OR again AS bad, CASE WHEN cut_off AND NOT blank AND NOT again THEN 3 ELSE 0 END AS more, turn, blank, again AND NOT blank AS duplicate,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM f),
+o AS (SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank,
+             count(*) FILTER (duplicate)::BIGINT AS duplicate, count(*) FILTER (more > 0)::BIGINT AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM g GROUP BY conv_id),
+r AS (
+  SELECT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, p := '', t := '') AS e, NULL::STRUCT(c BIGINT, p VARCHAR, t VARCHAR) AS s,
+         NULL::STRUCT(c BIGINT, p VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c BIGINT, p VARCHAR, t VARCHAR) AS a FROM o
+  UNION ALL
+  SELECT conv_id, i, {step('e', '4', 'D')}, {least(step('s', '4', 'D'), *kept('s', 'e'))},
+         {least(step('u', '4', 'D'), *kept('u', 'e', 's', 'a'), *rerolled('user', 'e', 's', 'a'))},
+         {least(step('a', '4', 'D'), *kept('a', 'u'), *rerolled('assistant', 'u'))}
+  FROM ({put_in} (SELECT r.conv_id, g.i, e, s, u, a, role, text, initial, bad, more FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = r.i + 1)))),
+l AS (SELECT conv_id, {least('e', 'a')} AS b FROM ({put_in} (SELECT * FROM r WHERE i = (SELECT max(i) FROM g WHERE g.conv_id IS NOT DISTINCT FROM r.conv_id))))),
+x AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.c, 0) AS cost, coalesce(b.p, '') AS audit, sha256(coalesce(left(b.t, length(b.t) - 1), '')) AS repaired_sha256
+FROM x LEFT JOIN o ON x.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN l ON x.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
+SQL = {"op2_url_filter": OP2_SQL, "op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op8_jaccard": OP8_SQL, "op12_near_duplicates": OP12_SQL, "op13_conversation_repair": _repair_sql()}

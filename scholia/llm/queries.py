@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, mixing, quality, repair, secret_scan, superminhash, tokens, topk, urls, warc, wrappers
+from . import collocations, decontaminate, jaccard, mixing, quality, repair, secret_scan, superminhash, tokens, topk, urls, warc, wrappers
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -75,6 +75,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.col("spans_sha256").alias("base_sha256"), "spans")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_html_text": op9_html_text,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
     "op12_near_duplicates": op12_near_duplicates,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -152,6 +157,24 @@ OP12_SQL = _components_sql(80, ", coalesce(k.component_id, s.doc_id) IS NOT DIST
 
 
 
+OP11_SQL = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY lang, phrase, k),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+s AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score,
+             row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000::HUGEINT * a // (x.f + y.f), cut) AS place
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[b:b + m - 1], ' ') AS phrase
+      FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS b) WHERE m < k AND b + m - 1 <= k) GROUP BY lang, phrase),
+k AS (SELECT s.lang, s.phrase, a, l, r, score FROM s LEFT JOIN i ON s.lang = i.lang AND s.phrase = i.phrase WHERE place = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n ON q.lang = n.lang WHERE rank <= 2000
+"""
+
+
 def _repair_sql() -> str:
     """Damage, faults and the audit DP, whose states e, s, u and a hold cost c, letters p and repaired lines t."""
     def step(state: str, cost: str, letter: str, line: str = "''") -> str:
@@ -202,4 +225,4 @@ FROM x LEFT JOIN o ON x.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN l ON x.
 """
 
 
-SQL = {"op2_url_filter": OP2_SQL, "op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op8_jaccard": OP8_SQL, "op12_near_duplicates": OP12_SQL, "op13_conversation_repair": _repair_sql()}
+SQL = {"op2_url_filter": OP2_SQL, "op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op8_jaccard": OP8_SQL, "op11_collocations": OP11_SQL, "op12_near_duplicates": OP12_SQL, "op13_conversation_repair": _repair_sql()}

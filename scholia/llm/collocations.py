@@ -12,12 +12,12 @@ of ``parts`` hash partitions.
   ``least``, no phrase loses ``least`` or more, so each with that many
   occurrences survives.  The loss is carried along: a counter that could not
   have had ``least`` occurrences before it is dropped.
-* Pass 2 counts the survivors exactly, as words: tasks pick them by a Bloom
-  filter over the survivors (of at most BLOOM_BITS bits), add up their own,
-  and a grouped sum over (language, phrase) adds up the tasks.  What the
-  filter lets through beside is counted too and then found too rare.
+* Pass 2 counts the survivors exactly: tasks pick them by a Bloom filter over
+  the survivors (of at most BLOOM_BITS bits) and add up their own, each
+  partition adds up what all tasks have.  What the filter lets through beside
+  is counted too and then found too rare.
 
-Phrases of a task are told apart by two independent 64-bit hashes.  Scores
+In pass 2 phrases are told apart by two independent 64-bit hashes.  Scores
 are computed in decimals of 38 digits.
 
 Defined cases: A-Z are lower-cased; a null text is empty; a null lang is
@@ -46,8 +46,8 @@ LONGEST = 4
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Counters of one partition's summary to aim at, and bounds on the number of partitions.
 CAPACITY, MOST_PARTS = 1 << 18, 1 << 14
-#: Occurrences that a task gathers before it sums them up, counters that it holds, phrases that it holds as text.
-GATHER, HOLD, HOLD_TEXTS = 1 << 20, 3 << 20, 1 << 18
+#: Occurrences that a task gathers before it sums them up, counters that it holds, phrases and bytes of texts that it holds in pass 2.
+GATHER, HOLD, HOLD_PHRASES, HOLD_BYTES = 1 << 19, 2 << 20, 1 << 19, 1 << 24
 BLOOM_BITS = 1 << 26
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -232,55 +232,109 @@ def _bloom(survivors: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+class Counted:
+    """Exact counts by two hashes, with one value per phrase (a place in a text, or the phrase itself) carried along."""
+
+    def __init__(self):
+        self.held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None]
+        self.more: list[list[np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.more.append(list(columns))
+        self.waiting += len(columns[0])
+        if self.waiting >= max(GATHER, len(self.held[0])):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.more:
+            return
+        all_of = self.more if self.held[3] is None else [self.held, *self.more]
+        one, two, n, value = (np.concatenate([x[i] for x in all_of]) for i in range(4))
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n[order], first) if len(first) else n
+        self.held = [one[first], two[first], n, value[order[first]]]
+        self.more, self.waiting = [], 0
+
+
 def _count(parts: int, shared):
-    """Occurrences of the phrases that the filter lets through, added up in each task: lang, words, phrase, n."""
+    """Occurrences of the phrases that the filter lets through, added up in each task: a row per partition with their hashes, counts and
+    texts (the language, a line end, the phrase)."""
 
     def run(batches):
         bits = shared.value
-        phrases = Phrases(both=True)
-        held: dict = {}  # hash -> (second hash, lang, words, phrase)
-        sums, odd = Summary(), {}
+        phrases, sums = Phrases(both=True), Counted()
+        raws, size, langs, numbers = [], 0, [], {}
 
         def rows() -> pa.RecordBatch:
-            nonlocal held, sums, odd
+            nonlocal sums, raws, size
             sums.merge()
-            found = [(*held[h][1:], n) for h, n in zip(sums.keys.tolist(), sums.counts.tolist())] + [(*p, n) for p, n in odd.items()]
-            held, sums, odd = {}, Summary(), {}
-            lang, words, phrase, n = zip(*found) if found else ((),) * 4
-            return pa.record_batch({"lang": pa.array(lang, pa.string()), "words": pa.array(words, pa.int32()), "phrase": pa.array(phrase, pa.string()), "n": pa.array(n, pa.int64())})
+            one, two, n, value = sums.held
+            raw = b"".join(raws)
+            texts = [f"{langs[c]}\n{b' '.join(raw[a:b].split()).lower().decode()}" for a, b, c in zip(value["start"].tolist(), value["stop"].tolist(), value["lang"].tolist())] if value is not None else []
+            part = (part_of(one, parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            there = [order[edges[p]:edges[p + 1]] for p in range(parts)]
+            sums, raws, size = Counted(), [], 0
+            return pa.record_batch({"part": pa.array([p for p, x in enumerate(there) if len(x)], pa.int32()),
+                                    **{c: pa.array([v[x].tobytes() for x in there if len(x)], pa.binary()) for c, v in (("first", one), ("second", two), ("counts", n))},
+                                    "texts": pa.array([[texts[i] for i in x] for x in there if len(x)], pa.list_(pa.string()))})
 
         for batch in batches:
             for data, starts, stops, (one, two), names, code, place in phrases(batch["text"], batch["lang"]):
                 lang = np.array([lang_seed(x) for x in names], np.uint64)[code]
-                raw = data.tobytes()
+                number = np.array([numbers.setdefault(x, len(numbers)) for x in names], np.int32)[code]
+                langs = list(numbers)
                 for k in range(1, LONGEST + 1):
                     at, first = runs(one, place, lang, k)
                     listed = np.ones(len(first), bool)
                     for p in bloom_places(part_of(first, parts), len(bits) * 8):
                         listed &= (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                    if not listed.any():
-                        continue
-                    second = runs(two, place, lang, k, 1)[1][listed]
-                    at, first = at[listed], first[listed]
-
-                    def text(i: int) -> tuple:
-                        return names[code[i]], k, b" ".join(raw[a:b] for a, b in zip(starts[i:i + k].tolist(), stops[i:i + k].tolist())).lower().decode()
-
-                    keys, where, back = np.unique(first, return_index=True, return_inverse=True)
-                    known = np.empty(len(keys), np.uint64)
-                    for j, (h, w) in enumerate(zip(keys.tolist(), where.tolist())):
-                        got = held.get(h)
-                        if got is None:
-                            got = held[h] = (int(second[w]), *text(int(at[w])))
-                        known[j] = got[0]
-                    same = known[back] == second
-                    for i in at[~same].tolist():  # another phrase with the same first hash
-                        odd[text(i)] = odd.get(text(i), 0) + 1
-                    counts = np.bincount(back[same], minlength=len(keys))
-                    sums.add(keys, counts.astype(np.int64))
-                if len(held) > HOLD_TEXTS:
+                    at = at[listed]
+                    value = np.empty(len(at), PLACE)
+                    value["start"], value["stop"], value["lang"] = starts[at] + size, stops[at + k - 1] + size, number[at]
+                    sums.add(first[listed], runs(two, place, lang, k, 1)[1][listed], np.ones(len(at), np.int64), value)
+                raws.append(data.tobytes())
+                size += len(data)
+                if len(sums.held[0]) > HOLD_PHRASES or size > HOLD_BYTES:
                     yield rows()
-        yield rows()
+        if raws:
+            yield rows()
+
+    return run
+
+
+PLACE = np.dtype([("start", "<i8"), ("stop", "<i8"), ("lang", "<i4")])
+
+
+def _add_up(least: int):
+    """Rows sorted by part to its phrases with ``least`` occurrences or more."""
+
+    def frequent(counted: Counted) -> pa.RecordBatch:
+        counted.merge()
+        _, _, n, texts = counted.held
+        enough = np.flatnonzero(n >= least)
+        split = [texts[i].rsplit("\n", 1) for i in enough]
+        return pa.record_batch({"lang": pa.array([x for x, _ in split], pa.string()), "words": pa.array([x.count(" ") + 1 for _, x in split], pa.int32()),
+                                "phrase": pa.array([x for _, x in split], pa.string()), "n": pa.array(n[enough], pa.int64())})
+
+    def run(batches):
+        at, counted = None, None
+        for batch in batches:
+            for i, part in enumerate(batch["part"].to_pylist()):
+                if part != at:
+                    if counted is not None:
+                        yield frequent(counted)
+                    at, counted = part, Counted()
+                one, two, n = (np.frombuffer(batch[c][i].as_py(), t) for c, t in (("first", np.uint64), ("second", np.uint64), ("counts", np.int64)))
+                texts = np.empty(len(one), object)
+                texts[:] = batch["texts"][i].as_py()
+                counted.add(one, two, n, texts)
+        if counted is not None:
+            yield frequent(counted)
 
     return run
 
@@ -296,8 +350,9 @@ def frequent_phrases(docs: DataFrame, *, least: int = 30, text_col: str = "text"
     summed = rows.mapInArrow(_sum_up(parts), "part int, low binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
     survivors = keep(summed.mapInArrow(_merge(capacity, least), "key long, lost long"), "phrase-survivors")
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(survivors))
-    counted = rows.mapInArrow(_count(parts, shared), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return keep(counted.filter(F.col("n") >= least), "phrases"), measured.filter("lang IS NOT NULL").select("lang", "n")
+    counted = rows.mapInArrow(_count(parts, shared), "part int, first binary, second binary, counts binary, texts array<string>")
+    counted = counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_add_up(least), "lang string, words int, phrase string, n long")
+    return keep(counted, "phrases"), measured.filter("lang IS NOT NULL").select("lang", "n")
 
 
 def exact(c: Column | str) -> Column:

@@ -18,12 +18,14 @@ Not all pairs of a bucket are made.  Round one compares its members with two
 pivots: the member with the most company over all its buckets (the original
 of edited copies) and one other.  Round two compares only members that are
 still in different components: those outside a bucket's largest component
-with the rest.  Buckets in which that would be many pairs are first split by
-SPLITS random choices of SPLIT_ROWS places of the signature, another set of
-choices for each band; a pair at 0.8 falls into no common part of any common
-bucket with a chance of 6 in 100 million in all.  Pairs whose signatures agree in less than
-AGREE of the places are left out (a pair at 0.8 is 5.5 standard deviations
-above), all others are confirmed by the exact intersection of the full sets.
+with the rest.  Where that would be more than CROWD pairs (a bucket of many
+texts that share a passage, or are copies somewhat less alike than 0.8), the
+bucket's sets go an exact way: rarest shingles first, sets that are similar
+enough share one of their first few, which texts that share only what is
+common don't; candidates are made from that index alone.  Pairs whose
+signatures agree in less than AGREE of the places are left out (a pair at 0.8
+is 5.5 standard deviations above), all others are confirmed by the exact
+intersection of the full sets.
 
 Links are grouped by union-find within each task, which leaves a forest, and
 by large and small stars over the forests of all tasks.  No number, list or
@@ -53,14 +55,14 @@ from pyspark.sql import functions as F
 from . import arrays
 from .arrays import to_workers
 from .components import components
-from .jaccard import Sets, _bloom, _fetch
+from .jaccard import BLOOM_BITS, Join, Sets, _bloom, _fetch
 from .skew import salted_join
 from .store import keep
 
 ROWS, BAND_ROWS = 128, 4
 BANDS = ROWS // BAND_ROWS
-#: Splits of a bucket that would make more than SPLIT_PAIRS pairs in round two.
-SPLITS, SPLIT_ROWS, SPLIT_PAIRS = 24, 8, 4096
+#: Pairs of one bucket in round two beyond which its sets go the exact way.
+CROWD = 1024
 #: Least share of equal places, for a similarity of 0.8.
 AGREE = 0.6
 #: Pairs whose shingles one task gets of one set.
@@ -110,7 +112,8 @@ def _profile(words: int):
 
             def sign():
                 offsets = np.cumsum([0, *map(len, found)])
-                return [s.tobytes() for s in signatures(np.concatenate(found), offsets)] if found else []
+                # the low 16 bits of a place's value tell values apart but for a chance of 1 in 65,536
+                return [s.tobytes() for s in signatures(np.concatenate(found), offsets).astype(np.uint16)] if found else []
 
             signed: list = []
             held = 0
@@ -143,7 +146,7 @@ def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        s = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+        s = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint16).reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
         bands = np.arange(BANDS, dtype=np.uint64)
         keys = arrays.mix((s * factors).sum(axis=2, dtype=np.uint64) + arrays.mix(bands)) & ~np.uint64(BANDS - 1) | bands
         for a in range(0, len(keys), 2048):
@@ -151,27 +154,30 @@ def _bands(batches):
             yield pa.record_batch({"key": pa.array(part.reshape(-1).view(np.int64)), **{c: batch[c].slice(a, len(part)).take(pa.array(np.repeat(np.arange(len(part)), BANDS))) for c in ("set_id", "size")}})
 
 
-def _splits(batches):
-    """Rows (key, signature, ...) to SPLITS rows each: the key of the part that each choice of places puts the set in."""
-    factors = band_factors(102, SPLIT_ROWS)
-    choices = np.stack([[np.random.default_rng((band, i)).choice(ROWS, SPLIT_ROWS, replace=False) for i in range(SPLITS)] for band in range(BANDS)])
-    for batch in batches:
-        for a in range(0, batch.num_rows, 4096):
-            part = batch.slice(a, 4096)
-            s = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint32).reshape(-1, ROWS).astype(np.uint64)
-            key = part["key"].to_numpy().view(np.uint64)
-            chosen = choices[(key & np.uint64(BANDS - 1)).astype(np.int64)]
-            rows = np.arange(len(s))[:, None, None]
-            split = arrays.mix((s[rows, chosen] * factors).sum(axis=2, dtype=np.uint64) + arrays.mix(np.arange(SPLITS, dtype=np.uint64)) + key[:, None])
-            again = pa.array(np.repeat(np.arange(len(s)), SPLITS))
-            yield pa.record_batch({"key": pa.array(split.reshape(-1).view(np.int64)), **{c: part[c].take(again) for c in ("set_id", "size", "label")}})
+def _texts_of(bloom, words: int):
+    """The texts whose set's digest is in the Bloom filter, once per task and set."""
+
+    def run(batches):
+        bits, sets, told = np.frombuffer(bloom.value, np.uint8), Sets(words), set()
+        for batch in batches:
+            take = []
+            for h in sets(batch["text"]):
+                d = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+                new = d is not None and d not in told and all(bits[p >> 3] >> (p & 7) & 1 for p in (x % BLOOM_BITS for x in np.frombuffer(d, "<u8").tolist()))
+                take.append(new)
+                if new:
+                    told.add(d)
+            chosen = batch["text"].filter(pa.array(take, pa.bool_()))
+            yield pa.record_batch({"id": pa.nulls(len(chosen), pa.int64()), "text": chosen})
+
+    return run
 
 
 def _agreeing(batches):
     """The pairs whose signatures agree in enough places."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, ROWS) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, ROWS) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE))
 
 
@@ -224,7 +230,7 @@ class NearDuplicates:
         if not pairs.head(1):
             return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         one, two = (self.sets.select(F.col("set_id").alias(c), F.col("signature").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-        signed = salted_join(salted_join(pairs, one, "a", least=PAIRS_AT_ONCE * 4), two, "b", counts=pairs.groupBy("b").agg(F.count("*").alias("n")), least=PAIRS_AT_ONCE * 4)
+        signed = salted_join(salted_join(pairs, one, "a", least=PAIRS_AT_ONCE), two, "b", counts=pairs.groupBy("b").agg(F.count("*").alias("n")), least=PAIRS_AT_ONCE)
         close = keep(signed.mapInArrow(_agreeing, "a binary, b binary"), "near-close")
         ends = close.select(F.col("a").alias("set_id")).union(close.select(F.col("b").alias("set_id"))).distinct()
         bloom = self.docs.sparkSession.sparkContext.broadcast(_bloom(ends))
@@ -249,10 +255,16 @@ class NearDuplicates:
         found = groups(links).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
         labelled = buckets.select("key", "set_id", "size").join(found, "set_id", "left").withColumn("label", F.xxhash64(F.coalesce("label", "set_id")))
         wide = self._several(keep(labelled, "near-labels"))
-        large = F.col("others") * F.col("n") > SPLIT_PAIRS
-        parts = wide.filter(large).select("key", "set_id", "size", "label").join(self.sets.select("set_id", "signature"), "set_id")
-        parts = keep(parts.mapInArrow(_splits, "key long, set_id binary, size long, label long"), "near-parts")
-        return self.fit(self._across(wide.filter(~large)).union(self._across(self._several(parts))))
+        large = F.col("others") * F.col("n") > CROWD
+        found = self.fit(self._across(wide.filter(~large)))
+        crowded = keep(wide.filter(large).select("set_id").distinct(), "near-crowded")
+        return found.union(self.crowded_links(crowded, links)) if crowded.head(1) else found
+
+    def crowded_links(self, crowded: DataFrame, links: DataFrame) -> DataFrame:
+        """Links between sets of ``crowded`` that ``links`` leave in different components, by their rarest shingles."""
+        bloom = self.docs.sparkSession.sparkContext.broadcast(_bloom(crowded))
+        texts = keep(self.docs.select("text").mapInArrow(_texts_of(bloom, self.words), "id long, text string"), "near-crowded-texts")
+        return Join(texts, self.words, self.percent).second_round(links)
 
     def _several(self, members: DataFrame) -> DataFrame:
         """Members of the buckets that hold several labels, with the largest label, the bucket's size and how many have another."""

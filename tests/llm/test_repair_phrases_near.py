@@ -135,8 +135,8 @@ def test_near_duplicates(spark):
         superminhash.near_duplicates(df, percent=79)
 
 
-def test_split_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(superminhash, "SPLIT_PAIRS", 0)
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(superminhash, "CROWD", 0)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(120)]
     rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.random()}" for w in base)) for i in range(60)]
@@ -144,6 +144,16 @@ def test_split_buckets_lose_no_link(spark, monkeypatch):
     assert got == _near(rows)
 
 
+def test_pass_two_keeps_phrases_of_one_hash_apart():
+    one, two = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    c = collocations.Counted()
+    c.add(one, two, np.array([1, 1, 1, 1]), np.array(["a", "b", "a", "c"], object))
+    c.merge()
+    c.add(one[:1], two[:1], np.array([4]), np.array(["a"], object))
+    c.merge()
+    assert sorted(zip(c.held[3], c.held[2].tolist())) == [("a", 6), ("b", 1), ("c", 1)]
+
+
 def _one_by_one(values):
     """SuperMinHash element by element: a shuffled order of places, each step's place taking step + fraction if it is less."""
     out = [1 << 32] * superminhash.ROWS

@@ -8,23 +8,29 @@ some pages lack, is a slot.
 The wrapper is the path to the lowest node that holds all the host's slots
 with plain text outside links, or to the article or main element that does;
 menus, forms, notices and the like are no slots unless they hold most of the
-host's varying text, or its only article or main element.  A page's text is read from
+host's varying text, or its only article or main element; reader comments and
+adverts are none if there is any other slot.  A page's text is read from
 the nodes that its tree aligns with the wrapper's (several if the node
-repeats), in page order and whole but for constant nodes beside the child
-that holds most of the slot text.
+repeats), in page order and whole but for constant nodes before the first or
+after the last slot of a level, and constant nodes beside the child that holds
+most of the slot text.
 
 Templates are merged in each task first (one row per host and flush), then
 per host as a stream, so a host with a third of all pages never gathers in
 one task.  Memory is bounded by ``HOSTS_HELD`` templates in the first step
-and by one host's template in the second.
+and by one host's template in the second.  A template has at most
+MOST_CHILDREN nodes below each of its nodes (beyond, those of the fewest pages
+become one varying node) and DEPTH levels (what lies deeper is text of the
+node above, read whole).
 
 Defined cases: a null or empty page has no text; a page without the
 wrapper's node (or a host with no text outside links) is read from its
 article and main elements, else its body; a host whose pages are all alike is
 read as one page is, all its nodes being slots; a null URL or one without a host makes a host of its
 own (empty); repeated rows and null ids are kept; unclosed and stray tags
-are mended; a cut-off page is read up to its end; extra columns are not
-read; an empty table gives an empty result.
+are mended; a cut-off page is read up to its end; elements may nest to any
+depth and pages be of any length; extra columns are not read and may have the
+names of the result's or of this module's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,6 +65,9 @@ respond share sharing sidebar signup social sponsor sponsored subscribe toolbar
 CHROME_PARTS = frozenset("""area articles bar bars block body bottom box btn button buttons col column container desktop first foot form global group
 header holder icon icons inner item items left link links list main media message mobile page panel placeholder post posts primary right row second
 secondary section site slot small space stories text this title top unit wrap wrapper zone""".split())
+#: Of these, the words that never name content beside other content.
+NEVER = frozenset("""ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus newsletter popup promo promoted replies
+respond share sharing social sponsor sponsored subscribe signup""".split())
 CLOSES_P = BLOCK - frozenset("body html head li dd dt td th tr tbody thead tfoot summary figcaption".split())
 #: An open element of the key's kind ends where one of the kind begins, up to the nearest element named last.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -70,16 +79,24 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 #: Templates that a task holds before it emits them.
 HOSTS_HELD = 2000
+#: Levels of a template, and nodes below one of its nodes.
+DEPTH, MOST_CHILDREN = 100, 200
+#: Signs of the nodes that stand for several: content and furniture.
+MANY, MANY_CHROME = "*", "~*"
 #: Beside a child that holds this part of a node's slot text, constant nodes are left out.
 MAIN_PART = 0.8
 
 
 class Node:
-    """An element: tag, signature (tag and class words, ~ before furniture), whether it looks like page furniture, children (nodes and strings)."""
+    """An element: tag, signature (tag and class words, ~ before furniture, ~! before comments and adverts), whether it looks like page
+    furniture, children (nodes and strings).
+
+    ``alone``: no article or main element is open around it.
+    """
 
     __slots__ = ("tag", "sign", "chrome", "children")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", alone: bool = False):
         self.tag, self.children = tag, []
         names, role = [], ""
         if attributes and "=" in attributes:
@@ -90,8 +107,9 @@ class Node:
                 else:
                     names += value.split()
         named = tag not in MAIN and any(map(furniture, names))
-        self.chrome = tag not in ("body", "html") and (tag in CHROME or role in CHROME_ROLES or named)
-        self.sign = "~" * self.chrome + ".".join([tag, *sorted(n for n in names if not re.search(r"\d", n))])
+        self.chrome = tag not in ("body", "html") and (tag in CHROME or role in CHROME_ROLES or named or tag == "header" and alone)
+        never = named and any(furniture(n) and not NEVER.isdisjoint(re.split(r"[-_\d]+", n)) for n in names)
+        self.sign = "~" * self.chrome + "!" * never * self.chrome + ".".join([tag, *sorted(n for n in names if not re.search(r"\d", n))])
 
 
 def furniture(name: str) -> bool:
@@ -132,7 +150,7 @@ def parse(page: str) -> Node:
                     break
         if tag == "body" and stack[-1].tag == "head":
             stack.pop()
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], tag == "header" and not any(x.tag in MAIN for x in stack))
         stack[-1].children.append(node)
         if tag in RAW and tag not in ("svg", "template", "select", "button", "noscript"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
@@ -156,17 +174,26 @@ def blocks(node: Node, out: list[list[str]], path: tuple[str, ...], drop: frozen
 
     ``path`` leads to the node, the paths in ``drop`` to what is left out, those in ``kept`` to furniture that is content.
     """
-    for x in node.children:
+    ways = [(iter(node.children), path, False)]
+    while ways:
+        children, at, block = ways[-1]
+        x = next(children, None)
+        if x is None:
+            ways.pop()
+            if block:
+                out.append([])
+            continue
         if isinstance(x, str):
             out[-1].append(x)
             continue
         if x.tag in BLOCK:
             out.append([])
-        way = (*path, x.sign) if apart(x) else path
+        way = (*at, x.sign) if apart(x) and len(at) < DEPTH else at
         if x.tag == "br":
             out[-1].append(" ")
-        elif x.tag not in NO_TEXT and (way is path or way not in drop and (not x.chrome or way in kept)):
-            blocks(x, out, way, drop, kept)
+        elif x.tag not in NO_TEXT and (not x.chrome or way in kept) and (way is at or way not in drop):
+            ways.append((iter(x.children), way, x.tag in BLOCK))
+            continue
         if x.tag in BLOCK:
             out.append([])
 
@@ -189,28 +216,48 @@ def text_of(nodes: list[tuple[Node, tuple[str, ...]]], drop: frozenset, kept: fr
 SIGN, PAGES, PLAIN, LINKS, TEXT, CHILDREN = range(6)
 
 
-def skeleton(node: Node) -> list:
-    """The tree of a page's block elements and furniture, runs of like siblings as one."""
-    text, links, children = [], [0], []
-
-    def inline(x: Node, in_link: bool) -> None:
-        for y in x.children:
-            if isinstance(y, str):
-                if y.strip():
-                    text.append(y.strip())
-                    links[0] += len(y.strip()) if in_link else 0
-            elif apart(y):
-                s = skeleton(y)
-                if children and children[-1][SIGN] == s[SIGN]:
-                    children[-1] = one_page(merge(children[-1], s))
-                else:
-                    children.append(s)
-            elif y.tag not in NO_TEXT:
-                inline(y, in_link or y.tag == "a")
-
-    inline(node, False)
+def skeleton(node: Node, depth: int = 0) -> list:
+    """The tree of a page's block elements and furniture, runs of like siblings as one; at DEPTH all below is text."""
+    text, links, children = [], 0, []
+    ways = [(iter(node.children), False)]
+    while ways:
+        below, in_link = ways[-1]
+        y = next(below, None)
+        if y is None:
+            ways.pop()
+        elif isinstance(y, str):
+            if y.strip():
+                text.append(y.strip())
+                links += len(y.strip()) if in_link else 0
+        elif apart(y) and depth < DEPTH:
+            s = skeleton(y, depth + 1)
+            if children and children[-1][SIGN] == s[SIGN]:
+                children[-1] = one_page(merge(children[-1], s))
+            else:
+                children.append(s)
+        elif y.tag not in NO_TEXT and not y.chrome:
+            ways.append((iter(y.children), in_link or y.tag == "a"))
     own = sum(map(len, text))
-    return [node.sign, 1, own - links[0], links[0], hashlib.blake2b(" ".join(text).encode(errors="replace"), digest_size=8).hexdigest() if own else "", children]
+    return [node.sign, 1, own - links, links, hashlib.blake2b(" ".join(text).encode(errors="replace"), digest_size=8).hexdigest() if own else "", bounded(children)]
+
+
+def bounded(children: list) -> list:
+    """At most MOST_CHILDREN nodes: beyond, all but half as many, of the most pages, become one varying node (and one of furniture)."""
+    if len(children) <= MOST_CHILDREN:
+        return children
+    order = sorted((i for i, c in enumerate(children) if c[SIGN] not in (MANY, MANY_CHROME)), key=lambda i: (-children[i][PAGES], i))
+    stay = set(order[:MOST_CHILDREN // 2])
+    out = [c for i, c in enumerate(children) if i in stay]
+    for sign in (MANY, MANY_CHROME):
+        rest = [c for i, c in enumerate(children) if i not in stay and (c[SIGN][0] == "~") == (sign == MANY_CHROME)]
+        if rest:
+            plain, links = ([sum_of(c, k) for c in rest] for k in (PLAIN, LINKS))
+            out.append([sign, max(c[PAGES] for c in rest), sum(plain), sum(links), None, []])
+    return out
+
+
+def sum_of(t: list, k: int) -> int:
+    return t[k] + sum(sum_of(c, k) for c in t[CHILDREN])
 
 
 def one_page(t: list) -> list:
@@ -265,7 +312,7 @@ def merge(a: list, b: list) -> list:
     for i, j in align(a[CHILDREN], b[CHILDREN]):
         children.append(b[CHILDREN][j] if i is None else a[CHILDREN][i] if j is None else merge(a[CHILDREN][i], b[CHILDREN][j]))
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[SIGN], a[PAGES] + b[PAGES], a[PLAIN] + b[PLAIN], a[LINKS] + b[LINKS], text, children]
+    return [a[SIGN], a[PAGES] + b[PAGES], a[PLAIN] + b[PLAIN], a[LINKS] + b[LINKS], text, bounded(children)]
 
 
 def slot_text(t: list, pages: int, path: tuple[str, ...] = (), kept: set | None = None) -> int:
@@ -280,21 +327,25 @@ def slot_text(t: list, pages: int, path: tuple[str, ...] = (), kept: set | None
 
 
 def content_furniture(template: list, pages: int) -> set[tuple[str, ...]]:
-    """Paths of what looks like furniture but holds most of the slot text, or the main article or main element."""
+    """Paths of what looks like furniture but holds most of the slot text, or the main article or main element.
+
+    Comments and adverts are content only where nothing else varies.
+    """
     total, kept, marked = slot_text(template, pages), set(), []
+    other = slot_text(template, pages, (), set())
 
-    def look(t: list, path: tuple[str, ...], around: tuple) -> None:
+    def look(t: list, path: tuple[str, ...], around: tuple, never: bool) -> None:
         own = slot_text(t, pages)
-        if t[SIGN][0] == "~":
-            around = (*around, path)
-            if 2 * own > total:
+        if t[SIGN][0] == "~" and t[SIGN] != MANY_CHROME:
+            around, never = (*around, path), never or t[SIGN][:2] == "~!"
+            if 2 * own > total and not (never and other):
                 kept.add(path)
-        if own and t[SIGN].split(".")[0] in MAIN:
+        if own and t[SIGN].split(".")[0] in MAIN and not (never and other):
             marked.append((not around, own, around))
         for c in t[CHILDREN]:
-            look(c, (*path, c[SIGN]), around)
+            look(c, (*path, c[SIGN]), around, never)
 
-    look(template, (), ())
+    look(template, (), (), False)
     return kept.union(max(marked)[2] if marked else ())
 
 
@@ -302,7 +353,8 @@ def wrapper(template: list) -> dict:
     """path: signatures on the way to the main node, the lowest that holds all slots (or the article or main element above it).
 
     The way may lead on by children that hold most of the slot text; ``drop``
-    has the paths of the template's nodes beside it that hold no slot, and
+    has the paths of the template's nodes that hold no slot and stand beside
+    it, or before the first or after the last slot of their level, and
     ``kept`` those of furniture that is content.
     """
     pages = template[PAGES]
@@ -313,13 +365,17 @@ def wrapper(template: list) -> dict:
     while (whole := slot_text(node, pages, path, kept)) and node[SIGN].split(".")[0] not in MAIN:
         inside = [(slot_text(c, pages, (*path, c[SIGN]), kept), c) for c in node[CHILDREN]]
         most, child = max(inside, key=lambda x: x[0], default=(0, None))
-        if most < MAIN_PART * whole or not child[CHILDREN]:
-            break
-        if most < whole and top is None:
+        descends = most >= MAIN_PART * whole and child[CHILDREN]
+        slots = {c[SIGN] for n, c in inside if n}
+        if descends and most < whole and top is None:
             top = path
-        if top is not None:
-            slots = {c[SIGN] for n, c in inside if n}
+        there = [i for i, (n, _) in enumerate(inside) if n]
+        if descends and top is not None:
             drop += [(*path, c[SIGN]) for _, c in inside if c[SIGN] not in slots]
+        elif there and whole == sum(n for n, _ in inside):  # no slot in the node's own text, of which the place isn't known
+            drop += [(*path, c[SIGN]) for i, (_, c) in enumerate(inside) if c[SIGN] not in slots and not there[0] < i < there[-1]]
+        if not descends:
+            break
         node, path = child, (*path, child[SIGN])
     return {"path": (path if top is None else top) if whole else None, "drop": sorted(set(drop)), "kept": sorted(kept)}
 
@@ -341,23 +397,31 @@ def page_text(root: Node, wrapper: dict) -> str:
 
 def inside(node: Node):
     """The elements below a node that are nodes of templates, with no other such element between."""
-    for x in node.children:
-        if isinstance(x, Node):
+    ways = [iter(node.children)]
+    while ways:
+        x = next(ways[-1], None)
+        if x is None:
+            ways.pop()
+        elif isinstance(x, Node):
             if apart(x):
                 yield x
             elif x.tag not in NO_TEXT:
-                yield from inside(x)
+                ways.append(iter(x.children))
 
 
 def walk(node: Node, path: tuple[str, ...], tags: tuple[str, ...]):
     """The outermost elements with one of the tags that are no furniture, in page order, with their paths."""
-    for x in node.children:
-        if isinstance(x, Node):
-            way = (*path, x.sign) if apart(x) else path
+    ways = [(iter(node.children), path)]
+    while ways:
+        x = next(ways[-1][0], None)
+        if x is None:
+            ways.pop()
+        elif isinstance(x, Node):
+            way = (*ways[-1][1], x.sign) if apart(x) and len(ways[-1][1]) < DEPTH else ways[-1][1]
             if x.tag in tags and not x.chrome:
                 yield x, way
-            else:
-                yield from walk(x, way, tags)
+            elif not x.sign.startswith("~!"):
+                ways.append((iter(x.children), way))
 
 
 def _induce(batches):

@@ -292,7 +292,32 @@ def test_wrappers_read_all_slots():
     assert _read(*map(cards, range(4))) == [f"{i} {'story ' * 50}end\nTeaser {i}\nOther {i}" for i in range(4)]
     links = lambda i: f"{body(i)}<p class=note>See {i} <a href=/x>a link that is longer than the rest</a></p>"
     assert _read(*map(links, range(4))) == [f"{text(i)}\nSee {i} a link that is longer than the rest" for i in range(4)]
-    assert _read(two(1), two(1)) == [f"Site\n{text(1)}\nSecond container 1"] * 2
+    assert _read(two(1), two(1)) == [f"{text(1)}\nSecond container 1"] * 2
+
+
+def test_wrappers_of_deep_and_many_nodes():
+    deep = lambda i: "<div>" * 10000 + f"<p>Deep {i}</p>tail<p>" + "</div>" * 10000
+    assert _read(*map(deep, range(3))) == [f"Deep {i}\ntail" for i in range(3)]
+    assert _read("<b>" * 5000 + "x <nav>no</nav>") == ["x"]
+    own = lambda i: f"<div id=story><p>Story {i}</p></div>" + "".join(f"<div class=c{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'xyz'[k]}><p>own {i} {k}</p></div>" for k in range(3))
+    assert _read(*map(own, range(100))) == [f"Story {i}\n" + "\n".join(f"own {i} {k}" for k in range(3)) for i in range(100)]
+    host = None
+    for i in range(3000):
+        t = wrappers.skeleton(wrappers.parse(f"<p>Text {i}</p>" + "".join(f"<div class={w}>own</div>" for w in (f"a{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26 % 26]}{'abcdefgh'[i // 676]}",))))
+        host = wrappers.merge(host, t) if host else t
+        assert len(host[wrappers.CHILDREN]) <= wrappers.MOST_CHILDREN
+    assert host[wrappers.PAGES] == 3000 and wrappers.sum_of(host, wrappers.PLAIN) == sum(len(f"Text {i}") + 3 for i in range(3000))
+
+
+def test_wrappers_leave_out_comments_and_standing_parts():
+    talk = lambda i: f"<article><h1>T {i}</h1><p>short text {i}</p></article><section id=comments><article>{f'Reader {i} writes much ' * 30}</article></section>"
+    assert _read(*map(talk, range(4))) == [f"T {i}\nshort text {i}" for i in range(4)]
+    plain = lambda i: f"<div class=story><h1>T {i}</h1><p>short text {i}</p></div><ol class=comments><li><article>{f'Reader {i} writes much ' * 30}</article></li></ol>"
+    assert _read(*map(plain, range(4))) == [f"T {i}\nshort text {i}" for i in range(4)]
+    parts = lambda i: f"<div class=tagline>Tagline of the site</div><div class=one><p>{f'story {i} ' * 6}</p></div><div class=two><p>{f'more {i} ' * 5}</p></div><div class=legal>Copyright 2020 all rights</div>"
+    assert _read(*map(parts, range(4))) == [f"{f'story {i} ' * 6}".rstrip() + f"\n{f'more {i} ' * 5}".rstrip() for i in range(4)]
+    assert _read("<article><header><h1>Kept</h1></header><p>One page</p></article>") == ["Kept\nOne page"]
+    assert _read("<div><p>One page only</p></div>") == ["One page only"]
 
 
 def test_wrappers_judge_furniture_by_the_template():
@@ -315,9 +340,9 @@ def test_wrappers_judge_furniture_by_the_template():
 def test_wrappers_compare_whole_texts():
     opening = "This standing intro of more than sixty-four characters opens every story here"
     story = lambda i: f"<div class=story>{opening} and then comes story {i}</div><div class=byline><p>By {i}</p><p>on day {i}</p></div>"
-    assert _read(*map(story, range(4))) == [f"Site\n{opening} and then comes story {i}\nBy {i}\non day {i}" for i in range(4)]
+    assert _read(*map(story, range(4))) == [f"{opening} and then comes story {i}\nBy {i}\non day {i}" for i in range(4)]
     own = lambda i: f"<div class=slug-{'abcd'[i]}><p>Only text of page {i}</p></div><div class=byline><p>By {i}</p><p>on day {i}</p></div>"
-    assert _read(*map(own, range(4))) == [f"Site\nOnly text of page {i}\nBy {i}\non day {i}" for i in range(4)]
+    assert _read(*map(own, range(4))) == [f"Only text of page {i}\nBy {i}\non day {i}" for i in range(4)]
     # a constant node in some elements of a run only is still constant, and an empty page lacks nothing
     run = wrappers.skeleton(wrappers.parse("<section><h2>A</h2><p>x</p></section><section><h2>A</h2></section><section><p>y</p></section>"))
     assert [(c[wrappers.PAGES], [d[wrappers.PAGES] for d in c[wrappers.CHILDREN]]) for c in run[wrappers.CHILDREN]] == [(1, [1, 1])]

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import arrays
 from .arrays import to_workers
@@ -46,7 +47,7 @@ SIMILARITY = 0.8
 #: Fingerprints of windows at similarity 0.8 differ by about 10 of 64 bits, if no shingle is repeated; 23 is over 4 deviations more.
 RADIUS = 23
 BLOCKS = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 UNKNOWN = np.uint64(0)
 BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -211,16 +212,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                item_text_col: str = "text", similar: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per (document, item) with a window at the similarity or over it: ids, similarity, first_word, n_words, hamming."""
     spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema[item_id_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = dict(rows.dtypes)["id"], dict(benchmark.dtypes)[item_id_col]
     schema = f"id {kinds[0]}, item {kinds[1]}, similarity double, first_word long, n_words long, hamming int"
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark, item_id_col, item_text_col):
-        out = out.union(rows.mapInArrow(_finder(spark.sparkContext.broadcast(items), similar, radius), schema))
+        out = out.union(rows.mapInArrow(_finder(spark.sparkContext.broadcast(items), similar, radius, item_type), schema))
     return out.withColumnsRenamed({"id": id_col, "item": item_id_col})
 
 
-def _finder(items, similar: float, radius: int):
+def _finder(items, similar: float, radius: int, item_type: pa.DataType):
     def run(batches):
         matcher = Matcher(items.value, similar, radius)
         for batch in batches:
@@ -231,7 +233,7 @@ def _finder(items, similar: float, radius: int):
                     out += [(i, matcher.items[k][0], s, at, len(matcher.items[k][1]), h) for k, (s, at, h) in sorted(matcher.matches(text).items())]
             if out:
                 i, item, s, at, n, h = zip(*out)
-                yield pa.record_batch({"id": ids.take(pa.array(i)), "item": pa.array(item), "similarity": pa.array(s, pa.float64()),
+                yield pa.record_batch({"id": ids.take(pa.array(i)), "item": pa.array(item, item_type), "similarity": pa.array(s, pa.float64()),
                                        "first_word": pa.array(at, pa.int64()), "n_words": pa.array(n, pa.int64()), "hamming": pa.array(h, pa.int32())})
 
     return run

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 from . import collocations, decontaminate, jaccard, mixing, quality, repair, secret_scan, superminhash, tokens, topk, urls, warc, wrappers
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), scratch_path(spark, "token-cache"), drops_blanks=True)
+    out = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), f"{ensure_checkpoint_dir(spark)}/token-cache", drops_blanks=True)
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -196,8 +196,9 @@ def redact_text(text: str, spans, mark: str) -> str:
 
 
 def redact(docs: DataFrame, rules=RULES, *, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; ``length_col``, if given, gets the new number of characters."""
+    """``docs`` with every span replaced by ``mark``; ``length_col``, if given and there, gets the new number of characters."""
     schema, names = docs.schema, docs.columns
+    length_col = length_col if length_col in names else None
 
     def run(batches):
         scanner = Scanner(rules)

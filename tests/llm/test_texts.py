@@ -80,6 +80,9 @@ def test_leaks_match_brute_force(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == _leaks([d[:2] for d in DOCS], items)
     kept = decontaminate.drop_leaks(docs, benchmark)
     assert kept.schema == docs.schema and {r["doc_id"] for r in kept.collect()} == {2, 3, None, 4, 6}
+    for kind in ("int", "string"):
+        typed = decontaminate.find_leaks(docs, benchmark.withColumn("item_id", F.col("item_id").cast(kind)))
+        assert dict(typed.dtypes)["item_id"] == kind and typed.count() == got.count()
     assert decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
@@ -167,6 +170,8 @@ def test_scan_and_redact(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("id", F.lit("clash")).withColumn("spans", F.lit(0))
     got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
     assert got[1]["spans"] == "assign:2:20,hex:25:65" and got[3]["n_access"] == 1 and got[2]["spans"] == got[4]["spans"] == ""
+    bare = docs.drop("n_chars")
+    assert secret_scan.redact(bare).columns == bare.columns and secret_scan.scan(secret_scan.redact(bare)).filter("spans <> ''").count() == 0
     out = secret_scan.redact(docs)
     assert out.schema == docs.schema and out.count() == len(rows)
     text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}

@@ -66,8 +66,9 @@ class QuotationParams:
     def validate(self) -> "QuotationParams":
         if self.n < 1:
             raise ValueError("n must be at least 1")
-        if self.min_tokens < 0 or self.min_tfidf < 0:
-            raise ValueError("The number of tokens and TF-IDF score must be positive.")
+        for name in ("min_tokens", "min_tfidf"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name} must not be negative")
         if not 0 <= self.min_probability <= 1:
             raise ValueError("min_probability must lie in [0, 1]")
         if self.idf not in ("smooth_denominator", "log1p"):

@@ -80,7 +80,7 @@ def id_mismatch(items: DataFrame) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, child_keys: list[str], parent_keys: list[str],
             table: str) -> DataFrame:
     """Foreign-key audit: child rows whose key, with no part null, has no parent row (anti-join)."""
-    p = parent.select(*[F.col(pk).alias(ck) for ck, pk in zip(child_keys, parent_keys)]).distinct()
+    p = parent.select(*[F.col(pk).alias(ck) for ck, pk in zip(child_keys, parent_keys)])
     bad = child.dropna(how="any", subset=child_keys).join(p, child_keys, "left_anti")
     return bad.groupBy(*child_keys).agg(F.count(F.lit(1)).alias("_rows")).select(
         F.lit(table).alias("table"), F.lit("orphan").alias("rule"),

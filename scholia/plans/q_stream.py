@@ -7,19 +7,25 @@ folder below the shared checkpoint folder, run the stream with an
 
 from __future__ import annotations
 
+import datetime
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..functions.text import word_tokens
 from ..operators import quotations as Q
 from ..sources import standins as S
+from ..streaming import keyed as K
 from ..streaming import runners as RN
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from . import processors as P
 from . import q_language as QL
 from . import quotation_sql as QS
 from .catalog import QUOTATION_PARAMS
 
 LANDINGS = 3     # number of separate landings the input arrives in
+PAGE_ITEMS = 50   # entries of a result page
 FILES = 2        # files a micro-batch takes, so that a stream has several
 
 
@@ -81,6 +87,99 @@ def stream_quotations(spark, d):
     return RN.quotation_results(spark, results, corpus).withColumn("probability", F.round("probability", 6))
 
 
+class _Lost(Exception):
+    """Stands for the loss of a driver inside an epoch, before it was committed."""
+
+
+def stream_once(spark, d):
+    """Words per page, each page processed once: every page lands twice, the
+    stream is restarted between the landings, and one epoch is replayed."""
+    pages = S.table(spark, d, "documents").select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("item_id"), F.lit(0).alias("page_seq"), "text")
+    landing, results, checkpoint = (scratch_path(spark, x) for x in ("landing-once", "once", "ckpt"))
+    lost = []
+
+    def stream():
+        return spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", FILES).parquet(landing)
+
+    def words(df):
+        return df.select("item_id", "page_seq", F.size(word_tokens("text")).cast("long").alias("n_words"))
+
+    def start():
+        return K.process_once(stream(), ["item_id", "page_seq"], words, results, checkpoint)
+
+    def dies_once(df):
+        out = words(df)
+        if not lost and df.limit(1).count():
+            lost.append(True)
+            raise _Lost()
+        return out
+
+    _land_parquet(pages, f"{landing}/first=1", "item_id")
+    dying = K.process_once(stream(), ["item_id", "page_seq"], dies_once, results, checkpoint)
+    try:
+        dying.awaitTermination()
+    except StreamingQueryException:
+        pass
+    RN.run(start())
+    _land_parquet(pages, f"{landing}/first=2", "page_seq")
+    RN.run(start())
+    return spark.read.parquet(results).select("item_id", "page_seq", "n_words")
+
+
+def stream_collections(spark, d):
+    """Links and stub items of collections whose listings land before, after
+    and again beside their result pages."""
+    entries = S.items_in_collections(spark, d).join(S.items(spark, d).select(F.col("id").alias("item_id"), "url"), "item_id")
+    number = F.floor(F.regexp_extract("item_id", r"(\d+)$", 1).cast("long") / PAGE_ITEMS).cast("int")
+    page = F.struct(F.lit("page").alias("title"), F.struct(F.col("number").alias("current")).alias("pagination"), F.col("results"))
+    pages = entries.groupBy("collection_id", number.alias("number")).agg(F.collect_list(F.struct(F.col("item_id").alias("id"), "url")).alias("results"))
+    pages = pages.select("collection_id", "number", F.to_json(page).alias("value"))
+    listing = S.collections(spark, d).select("id", F.to_json(F.struct(F.array(F.struct("id", "title", "count")).alias("results"))).alias("value"))
+    early = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    at = {x: scratch_path(spark, x) for x in ("listings", "result-pages", "collections", "ckpt")}
+
+    def land(rows, where):
+        rows.select("value").write.mode("append").text(where)
+
+    def ingest():
+        for q in K.ingest_collections(spark, at["listings"], at["result-pages"], at["collections"], at["ckpt"], files_per_batch=20 * FILES):
+            RN.run(q)
+
+    land(listing.filter(early), at["listings"])
+    pages.filter("number % 2 = 0").select("collection_id", "value").write.mode("append").partitionBy("collection_id").text(at["result-pages"])
+    ingest()
+    pages.select("collection_id", "value").write.mode("append").partitionBy("collection_id").text(at["result-pages"])
+    land(listing, at["listings"])
+    ingest()
+    out = K.ingested(spark, at["collections"])
+    stubs = out["items"].select(F.col("id").alias("item_id"), "url")
+    titles = out["collections"].select(F.col("id").alias("collection_id"), F.col("title").alias("collection"))
+    return out["links"].join(stubs, "item_id", "full").join(titles, "collection_id", "full")
+
+
+def stream_backlog(spark, d):
+    """What may be fetched at three times: when all items are known, at the
+    latest event, and when the last cool-down has passed."""
+    items, failures = S.items(spark, d), S.failures(spark, d)
+    now = S.events_now(spark, d).first()["now"]
+    found = items.filter(F.col("api").isNull()).select("id", "url", F.lit("found").alias("kind"), F.lit(datetime.datetime(2000, 1, 1)).alias("at"))
+    failed = failures.select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("url"), F.lit("failed").alias("kind"), F.col("failed_at").cast("timestamp").alias("at"))
+    landing, results, checkpoint = (scratch_path(spark, x) for x in ("landing-backlog", "backlog", "ckpt"))
+    schema = found.schema
+    out = None
+    for i, (rows, clock) in enumerate(((found, None), (failed, now), (None, now + datetime.timedelta(minutes=61)))):
+        if rows is not None:
+            rows.write.parquet(f"{landing}/step={i}-a")
+        if clock is not None:
+            spark.createDataFrame([("", None, "clock", clock)], schema).write.parquet(f"{landing}/step={i}-b")
+        events = spark.readStream.schema(schema).parquet(landing).select("id", "url", "kind", "at")
+        RN.run(K.watch_backlog(events, results, checkpoint))
+        part = cut_lineage(K.backlog(spark, results).select(F.lit(i).alias("step"), "id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def processor_run(spark, d):
     conv = S.table(spark, d, "conversations")
     iid = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
@@ -117,6 +216,7 @@ def fit_classifier(spark, d):
 
 QUERIES = {
     "stream_ingest": stream_ingest, "dead_letters": dead_letters, "stream_languages": stream_languages,
+    "stream_once": stream_once, "stream_collections": stream_collections, "stream_backlog": stream_backlog,
     "stream_quotations": stream_quotations, "processor_run": processor_run, "fit_classifier": fit_classifier,
 }
 
@@ -133,6 +233,15 @@ def sql() -> dict[str, str]:
           FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0""",
         "stream_languages": f"WITH {_mixed_counts_sql()} SELECT item_id, lang, sentences FROM counts",
         "stream_quotations": QS.find_quotations_sql(QUOTATION_PARAMS),
+        "stream_once": f"""
+          SELECT 'doc/' || doc_id AS item_id, 0 AS page_seq, len({QS.WORDS.format(t='text')})::BIGINT AS n_words FROM documents""",
+        "stream_collections": with_ctes(["items", "items_in_collections", "collections"], """
+          SELECT l.item_id, coalesce(l.collection_id, c.id) AS collection_id, i.url, c.title AS collection
+          FROM items_in_collections l JOIN items i ON i.id = l.item_id FULL JOIN collections c ON c.id = l.collection_id"""),
+        "stream_backlog": with_ctes(["items", "failures"], """
+          SELECT step, i.id FROM items i LEFT JOIN failures f ON f.item_id = i.id, (SELECT unnest([0, 1, 2]) AS step)
+          WHERE i.api IS NULL AND strpos(i.url, '/resource/') = 0 AND (step = 0 OR f.failed_at IS NULL
+            OR f.failed_at <= (SELECT max(ts) FROM events) + CASE WHEN step = 2 THEN INTERVAL 61 MINUTE ELSE INTERVAL 0 MINUTE END - INTERVAL 60 MINUTE)"""),
         "processor_run": f"""
           SELECT 'conv/' || conv_id AS item_id,
                  CAST(sum(len({QS.WORDS.format(t='text')})) AS BIGINT) AS n_words, count(*) AS n_pages

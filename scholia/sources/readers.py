@@ -16,14 +16,18 @@ def read_collections(spark: SparkSession, path: str, multiline: bool = True) ->
 
     ``multiline=True`` reads one (pretty-printed) listing per file;
     ``False`` reads one listing per line, which splits across tasks."""
-    raw = spark.read.schema(SC.COLLECTIONS_LISTING).option("multiLine", multiline).json(path)
-    c = raw.select(F.explode("results").alias("c")).select("c.*")
+    return collection_rows(spark.read.schema(SC.COLLECTIONS_LISTING).option("multiLine", multiline).json(path))
+
+
+def collection_rows(listings: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``collections`` (and the columns in ``keep``) of listings."""
+    c = listings.select(F.explode("results").alias("c"), *(keep or [])).select("c.*", *(keep or []))
     return c.select(
         "id", "title", first_or_blank(F.col("description")).alias("description"), "count", "url",
         F.col("items").alias("items_url"), F.col("subject").alias("subjects"),
         F.col("item.subjects").alias("subjects2"), F.col("subject_topic").alias("topics"),
         record_json(*[F.col(f) for f in ["id", "title", "description", "count", "url", "items",
-                                          "subject", "subject_topic", "item"]]).alias("api"))
+                                          "subject", "subject_topic", "item"]]).alias("api"), *(keep or []))
 
 
 def read_collection_pages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -34,10 +38,14 @@ def read_collection_pages(spark: SparkSession, path: str, multiline: bool = Fals
     supplies it in a crawler.
     """
     schema = SC.COLLECTION_PAGE.add("collection_id", "string")
-    raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
-    return raw.select("collection_id", "title", F.col("pagination.current").alias("page"),
-                      F.explode("results").alias("r")) \
-        .select("collection_id", "title", "page", F.col("r.id").alias("item_id"), F.col("r.url").alias("url"))
+    return page_entries(spark.read.schema(schema).option("multiLine", multiline).json(path))
+
+
+def page_entries(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per entry of result pages (with the columns in ``keep``)."""
+    return pages.select("collection_id", "title", F.col("pagination.current").alias("page"),
+                        F.explode("results").alias("r"), *(keep or [])) \
+        .select("collection_id", "title", "page", F.col("r.id").alias("item_id"), F.col("r.url").alias("url"), *(keep or []))
 
 
 def read_item_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

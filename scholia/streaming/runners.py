@@ -3,8 +3,8 @@
 Each runner reads landed files with a file source (explicit schema), runs
 the batch operators inside ``foreachBatch`` and commits through the
 streaming checkpoint, so a restarted query resumes where it stopped and
-an epoch replayed after a failure writes nothing twice (results are
-keyed by page and written once: anti-join against what is already there).
+an epoch replayed after a failure writes nothing twice (pages are taken once
+by keyed state, each epoch overwrites its own folder; see ``keyed.py``).
 Pages of one item may land at any time: results are stored per page, and
 ``language_results`` / ``quotation_results`` add them up per item.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,30 +25,13 @@ from ..operators import language as LG
 from ..operators import quotations as Q
 from ..sources import readers as RD
 from ..sources import schemas as SC
+from .keyed import process_once
 
 
 def _trigger(writer, trigger_once: bool, interval: str):
     return writer.trigger(availableNow=True) if trigger_once else writer.trigger(processingTime=interval)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None if nothing was written yet; any other error is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def write_once(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key has no result yet (once-only per key)."""
-    prior = _existing(batch.sparkSession, path)
-    if prior is not None:
-        batch = batch.join(prior.select(*keys).distinct(), keys, "left_anti")
-    batch.write.mode("append").parquet(path)
-
-
 def epoch_folder(root: str, checkpoint: str, epoch: int) -> str:
     """The folder of one epoch of the stream with this checkpoint.  A replayed
     epoch overwrites its own rows; a stream with another checkpoint counts
@@ -176,19 +158,20 @@ def detect_languages(spark: SparkSession, landing: str, schema, profiles: LG.Pro
     once per (item, page); read them with ``language_results``."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
-    def batch(df: DataFrame, epoch: int) -> None:
+    def detected(df: DataFrame) -> DataFrame:
         det = LG.sentence_languages(df, profiles, keys=[item, page])
         counts = det.groupBy(item, page, "lang").agg(F.count(F.lit(1)).cast("int").alias("sentences"))
-        out = counts.select(uuid_of(F.col(item), F.lit(destination)).alias("job_id"), item, page, "lang", "sentences")
-        write_once(out, results, [item, page])
+        return counts.select(uuid_of(F.col(item), F.lit(destination)).alias("job_id"), item, page, "lang", "sentences")
 
-    return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),
-                    trigger_once, interval).start()
+    return process_once(src, [item, page], detected, results, checkpoint, trigger_once, interval)
 
 
-def language_results(spark: SparkSession, results: str, item: str = "item_id") -> DataFrame:
+def language_results(spark: SparkSession, results: str, item: str = "item_id", page: str = "page_seq") -> DataFrame:
     """(job_id, item, lang, sentences) over all pages that have landed so far."""
-    return spark.read.parquet(results).groupBy("job_id", item, "lang").agg(F.sum("sentences").cast("int").alias("sentences"))
+    rows = spark.read.parquet(results)
+    # streams with other checkpoints may have taken a page too
+    by_page = rows.groupBy("job_id", item, page, "lang").agg(F.max("sentences").alias("sentences"))
+    return by_page.groupBy("job_id", item, "lang").agg(F.sum("sentences").cast("int").alias("sentences"))
 
 
 # --- T6: continuous quotation detection ----------------------------------------------
@@ -200,12 +183,7 @@ def detect_quotations(spark: SparkSession, landing: str, schema, corpus: Q.Refer
     appended once per (item, page); read them with ``quotation_results``."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        found = Q.find_quotations(df, corpus, keys=[item, page])
-        write_once(found, results, [item, page])
-
-    return _trigger(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint),
-                    trigger_once, interval).start()
+    return process_once(src, [item, page], lambda df: Q.find_quotations(df, corpus, keys=[item, page]), results, checkpoint, trigger_once, interval)
 
 
 def quotation_results(spark: SparkSession, results: str, corpus: Q.ReferenceCorpus, item: str = "item_id") -> DataFrame:

@@ -221,7 +221,7 @@ def best_version(scored: DataFrame, keys: list[str], params: QuotationParams) ->
 
 
 def find_quotations(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",),
-                    destination: str = "quotations", **join_opts) -> DataFrame:
+                    destination: str = "quotations", watch: dict | None = None, **join_opts) -> DataFrame:
     """(job_id, keys..., reference_id, verse_id, probability).
 
     ``pages`` carries ``keys`` and ``text``, and may carry ``page_seq``; a page
@@ -229,18 +229,23 @@ def find_quotations(pages: DataFrame, corpus: ReferenceCorpus, keys=("item_id",)
     itself.  Features are never summed over pages: every page is scored, and a
     verse counts with its best page.  When there is no ``job_id`` one is
     derived from the item id and destination (uuid-shaped md5).
+    ``watch``: Observations by name (potential, kept, found), which count the
+    rows of these steps as ``n`` while the result is written.
     """
+    def seen(df: DataFrame, name: str) -> DataFrame:
+        return df.observe(watch[name], F.count(F.lit(1)).alias("n")) if watch and name in watch else df
+
     keys = list(keys)
     p = corpus.params
     page = next((c for c in ("page_seq",) if c in pages.columns), None)
     if page is None:
         page, pages = "_page", pages.withColumn("_page", F.monotonically_increasing_id())
-    pot = potential_matches(pages, corpus, [*keys, page] if page not in keys else keys, **join_opts)
-    kept = keep_candidates(pot, p.min_tokens, p.min_tfidf)
+    pot = seen(potential_matches(pages, corpus, [*keys, page] if page not in keys else keys, **join_opts), "potential")
+    kept = seen(keep_candidates(pot, p.min_tokens, p.min_tfidf), "kept")
     scored = score(kept, p.model).filter(F.col("probability") >= p.min_probability)
     if page not in keys:
         scored = scored.groupBy(*keys, "verse_id").agg(F.max("probability").alias("probability"))
-    best = best_version(scored, keys, p)
+    best = seen(best_version(scored, keys, p), "found")
     if "job_id" in keys:
         return best.select(*keys, "reference_id", "verse_id", "probability")
     return best.select(uuid_of(F.col(keys[0]), F.lit(destination)).alias("job_id"), *keys,
@@ -311,6 +316,19 @@ def save_quotations(found: DataFrame, path: str) -> None:
         .write.mode("append").parquet(path)
 
 
+def quotation_run(pages: DataFrame, corpus: ReferenceCorpus, path: str, **options) -> dict[str, int]:
+    """Find quotations, append them to ``path``, and count them in the same pass.
+
+    Returns n_potential, n_kept and n_quotations.  A stage that runs again
+    after an executor is lost may count its rows twice; the stored rows are
+    right then too (``quotation_count``)."""
+    from pyspark.sql import Observation
+
+    watch = {name: Observation(name) for name in ("potential", "kept", "found")}
+    save_quotations(find_quotations(pages, corpus, watch=watch, **options), path)
+    return {f"n_{'quotations' if k == 'found' else k}": o.get["n"] for k, o in watch.items()}
+
+
 def export_potential(potential: DataFrame, path: str) -> None:
     """CSV dump (with header) of the potential matches, before pruning."""
     potential.write.mode("overwrite").option("header", True).csv(path)

@@ -68,6 +68,6 @@ QUOTATION_QUERIES = {
 }
 
 
-from . import q_io, q_language, q_stream, q_tables  # noqa: E402
+from . import q_io, q_language, q_sinks, q_stream, q_tables  # noqa: E402
 
-QUERIES = {**QUOTATION_QUERIES, **q_tables.QUERIES, **q_io.QUERIES, **q_language.QUERIES, **q_stream.QUERIES}
+QUERIES = {**QUOTATION_QUERIES, **q_tables.QUERIES, **q_io.QUERIES, **q_language.QUERIES, **q_stream.QUERIES, **q_sinks.QUERIES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import quotation_sql as QS
-from . import q_io, q_language, q_stream, q_tables
+from . import q_io, q_language, q_sinks, q_stream, q_tables
 from .catalog import QUOTATION_PARAMS, TOP_K
 
 
@@ -20,4 +20,5 @@ def oracle() -> dict[str, str]:
         **q_io.sql(),
         **q_language.sql(),
         **q_stream.sql(),
+        **q_sinks.sql(),
     }

@@ -191,3 +191,26 @@ def test_cli_retry_drops_results(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(out).collect()] == ["2"]
     assert [r.job_id for r in spark.read.parquet(out + "-langs").collect()] == ["2"]
     assert [r.job_id for r in spark.read.parquet(out + "-quotes").collect()] == ["2"]
+
+
+def test_page_processor_fails_one_job_alone(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scholia.plans import processors as P
+
+    @P.register_pages("shout", "loud string")
+    def shout(page):
+        if page["text"] == "bad":
+            raise KeyError("bad page")
+        return [{"loud": page["text"].upper()}] * 2
+
+    items = spark.createDataFrame([("a", "{}"), ("b", "{}"), ("c", "{}"), ("n", "{}")], "id string, api string")
+    files = spark.createDataFrame([(i, k, 0, 0, "text/plain", t) for i, k, t in [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "good"), ("b", 1, "bad"), ("c", 0, "z")]],
+                                  "item_id string, resource_seq int, file_seq int, format_seq int, mimetype string, fulltext string")
+    jobs = spark.createDataFrame([], "id string, item_id string, destination string, started timestamp, finished timestamp, status string")
+    run = P.run_page_processor("shout", items, jobs, files, F.current_timestamp(), str(tmp_path / "sink"))
+    assert sorted((r["item_id"], r["loud"]) for r in run.results.collect()) == [("a", "X"), ("a", "X"), ("a", "Y"), ("a", "Y"), ("c", "Z"), ("c", "Z")]
+    assert {r["item_id"]: r["status"] for r in run.jobs.collect()} == {"a": "finished", "b": "failed", "c": "finished", "n": "skipped"}
+    assert [tuple(r) for r in run.errors.select("item_id", "error").collect()] == [("b", "KeyError: 'bad page'")]
+    again = P.run_page_processor("shout", items, run.jobs.persist(), files, F.current_timestamp(), str(tmp_path / "again"))
+    assert again.results.count() == 0 and again.jobs.count() == 4

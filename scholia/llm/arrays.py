@@ -6,6 +6,7 @@ UTF-8 bytes, so memory follows the piece (or the longest text), not the batch.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import zlib
 
@@ -26,8 +27,17 @@ SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 SEED = 20240229
 
 
+def release() -> None:
+    """Give the memory of earlier batches back to the system: workers are reused from stage to stage and don't shrink by themselves."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def filled(column: pa.Array) -> pa.Array:
-    """A string column without nulls (null texts are empty)."""
+    """A string column without nulls (null texts are empty); called once a batch, it gives back what earlier ones took."""
+    release()
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return (column.fill_null("") if column.null_count else column).cast(pa.string())
 

@@ -12,6 +12,20 @@ from ..session import scratch_path
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of a batch between Spark and Python workers for tables of whole texts.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python workers in batches of at most BATCH_ROWS rows, from now on in this session.
+
+    A batch is held several times: written and read by Spark, and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 

@@ -1,13 +1,16 @@
 """Operator 5, exact top-k search by inner product: MaxScore.
 
 Vectors are dealt to shards; a shard's postings hold, per term (dimension),
-the vectors that have it with their integer weights.  For a query, the
-shard's bounds say how much each term can add at most and at least.  Terms
-are split by the running threshold (the k-th best score so far): those that
-together cannot lift a vector over it are non-essential.  The postings of
-the essential terms are traversed; the other terms are probed one by one,
-strongest first, only for vectors that can still compete.  The shards' best
-are merged.
+the vectors that have it with their integer weights, in order of ids.  For a
+query, the postings' largest and smallest weights bound what a term can add.
+Terms are ordered by that bound.  The weakest terms whose bounds together do
+not pass the threshold (the k-th best score so far) are non-essential: a
+vector that has none of the others can't enter the result.  The shard is
+read in blocks: the postings of the essential terms are traversed, and the
+non-essential terms are probed, strongest first, only for the vectors found
+there that can still pass the threshold.  Each block may raise the threshold,
+and with it the number of non-essential terms; once all terms are, the rest
+of the shard is not read.  The shards' best are merged.
 
 All scores are exact integers: products run in double precision only where
 every partial sum stays under 2^53, else in 64-bit integers, else in Python
@@ -17,10 +20,12 @@ A shard takes ``SHARD_ROWS`` vectors on average, so its memory does not grow
 with the corpus, and queries stream through it in batches.
 
 Defined cases: vectors that are null, or hold a null or non-finite
-component, take no part, nor do rows with a null id; of rows that repeat an
-id the smallest vector (in array order) counts; components missing from a
-shorter vector count as 0; an empty vector scores 0 with all; ties go to the
-smaller id; extra columns are not read; an empty table gives an empty result.
+component, take no part, nor do rows with a null id; rows that repeat an id
+are rows of their own, as queries (each has its ranks) and as candidates
+(also of each other); components missing from a shorter vector count as 0,
+an empty vector scores 0 with all; ties go to the smaller id; very long
+vectors only make a shard larger; extra columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,21 +44,33 @@ from .store import keep
 #: Vectors of a shard, on average, and shards at least (for small inputs).
 SHARD_ROWS = 32768
 LEAST_SHARDS = 12
-TERMS_AT_ONCE = 8
+#: Vectors of a shard's first block, which sets a threshold, and of later ones at most.
+FIRST_BLOCK = 256
+BLOCK = 8192
+#: Terms probed between two looks at what can still compete.
+TERMS_AT_ONCE = 4
+
+
+def non_essential(ahead: list, threshold) -> int:
+    """How many of the weakest terms can't pass the threshold together (``ahead[m]``: bounds of the weakest m, summed)."""
+    if threshold is None:
+        return 0
+    return max((m for m, most in enumerate(ahead) if most <= threshold), default=0)
 
 
 class Shard:
-    """Postings of one shard's vectors (rows sorted by id)."""
+    """Postings of one shard's vectors, in order of ids (``rows``: their row numbers)."""
 
-    def __init__(self, ids: np.ndarray, rows: list[np.ndarray]):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: list[np.ndarray]):
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
         self.n = len(ids)
-        width = max((len(r) for r in rows), default=0)
-        matrix = np.zeros((width, self.n), rows[0].dtype if rows else np.int64)
+        self.place = {int(rows[i]): at for at, i in enumerate(order)}
+        width = max((len(v) for v in vectors), default=0)
+        matrix = np.zeros((width, self.n), vectors[0].dtype if vectors else np.int64)
         for at, i in enumerate(order):
-            matrix[:len(rows[i]), at] = rows[i]
-        # a term's postings: numbers of the vectors that have it (None: all of them), and the weights
+            matrix[:len(vectors[i]), at] = vectors[i]
+        # a term's postings: places of the vectors that have it (None: all of them), and the weights
         self.postings = []
         for weights in matrix:
             there = np.flatnonzero(weights)
@@ -63,55 +80,75 @@ class Shard:
         self.low = np.array([min([*([0] if zero(p) else []), *([p[1].min()] if len(p[1]) else [])]) for p in self.postings], matrix.dtype)
         self.largest = max([0, *map(abs, self.high.tolist()), *map(abs, self.low.tolist())])
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the best k other vectors, best first."""
+    def _traverse(self, terms: list[int], q: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the terms' postings from place ``at`` to ``end``, and which places any of them holds."""
+        sums, met = np.zeros(end - at, q.dtype), np.zeros(end - at, bool)
+        for t in terms:
+            there, weights = self.postings[t]
+            if there is None:
+                sums += q[t] * weights[at:end]
+                met[:] = True
+            else:
+                a, b = np.searchsorted(there, (at, end))
+                sums[there[a:b] - at] += q[t] * weights[a:b]
+                met[there[a:b] - at] = True
+        return sums, met
+
+    def _probe(self, t: int, q: np.ndarray, places: np.ndarray, sums: np.ndarray) -> None:
+        """Add term ``t`` to the sums of the vectors at ``places``."""
+        there, weights = self.postings[t]
+        if there is None:
+            sums += q[t] * weights[places]
+        elif len(there):
+            at = np.minimum(np.searchsorted(there, places), len(there) - 1)
+            has = there[at] == places
+            sums[has] += q[t] * weights[at[has]]
+
+    def search(self, row: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the best k vectors but that of ``row``, best first."""
         terms = [t for t in range(min(len(query), len(self.postings))) if query[t]]
         size = sum(abs(int(query[t])) for t in terms) * max(1, int(self.largest))
         kind = np.float64 if size < 2 ** 53 else np.int64 if size < 2 ** 63 else object
         q = query.astype(kind)
-        ends = [(q[t] * kind(self.high[t]), q[t] * kind(self.low[t])) if kind is not object else (int(q[t]) * int(self.high[t]), int(q[t]) * int(self.low[t])) for t in terms]
-        bound = {t: max(e) for t, e in zip(terms, ends)}
-        spread = {t: max(e) - min(e) for t, e in zip(terms, ends)}
-        terms.sort(key=lambda t: (-spread[t], t))
-        after = [0] * (len(terms) + 1)  # what the terms from a place on can add at most
-        for i in range(len(terms) - 1, -1, -1):
-            after[i] = after[i + 1] + bound[terms[i]]
-        least = [0] * (len(terms) + 1)
-        for i in range(len(terms) - 1, -1, -1):
-            least[i] = least[i + 1] + bound[terms[i]] - spread[terms[i]]
-        alive = np.arange(self.n)
-        alive = alive[self.ids != query_id]
-        if not len(alive):
-            return []
-        acc = np.zeros(self.n, kind)
-        for i in range(0, len(terms), TERMS_AT_ONCE):
-            part = terms[i:i + TERMS_AT_ONCE]
-            whole = 4 * len(alive) > self.n  # still essential: traverse the postings; else probe them
-            for t in part:
-                there, weights = self.postings[t]
-                if there is None:
-                    if whole:
-                        acc += q[t] * weights
-                    else:
-                        acc[alive] += q[t] * weights[alive]
-                elif whole:
-                    acc[there] += q[t] * weights
-                else:
-                    at = np.searchsorted(there, alive)
-                    has = (at < len(there)) & (there[np.minimum(at, len(there) - 1)] == alive) if len(there) else np.zeros(len(alive), bool)
-                    acc[alive[has]] += q[t] * weights[at[has]]
-            done = min(i + TERMS_AT_ONCE, len(terms))
-            if len(alive) > k and done < len(terms):
-                sums = acc[alive]
-                # k vectors are sure of the threshold: the k-th best partial sum with the least that can follow
-                threshold = np.partition(sums, len(sums) - k)[len(sums) - k] + least[done]
-                alive = alive[sums + after[done] >= threshold]
-        sums = acc[alive]
-        if len(alive) > k:
-            edge = np.partition(sums, len(sums) - k)[len(sums) - k]
-            alive, sums = alive[sums >= edge], sums[sums >= edge]
-        best = sorted(zip(sums.tolist(), self.ids[alive].tolist()), key=lambda x: (-x[0], x[1]))[:k]
-        return [(int(s), i) for s, i in best]
+        bound = {t: max(int(query[t]) * int(self.high[t]), int(query[t]) * int(self.low[t])) for t in terms}
+        terms.sort(key=lambda t: (bound[t], t))
+        ahead = [0]
+        for t in terms:
+            ahead.append(ahead[-1] + bound[t])
+        own = self.place.get(row)
+        best: list[tuple] = []  # (-score, place): of equal scores the earlier place is the smaller id
+        threshold, at, step = None, 0, max(k, FIRST_BLOCK)
+        while at < self.n:
+            end = min(self.n, at + step)
+            weak = non_essential(ahead, threshold)
+            if threshold is not None and terms and weak == len(terms):
+                break
+            sums, met = self._traverse(terms[weak:], q, at, end)
+            # without a non-essential term a vector may compete that has no term at all (score 0)
+            keep_ = met if weak else np.ones(end - at, bool)
+            if own is not None and at <= own < end:
+                keep_[own - at] = False
+            if threshold is not None:
+                keep_ &= (sums + ahead[weak] > threshold).astype(bool)
+            places = np.flatnonzero(keep_)
+            sums = sums[places]
+            places += at
+            for i in range(weak - 1, -1, -1):
+                if not len(places):
+                    break
+                self._probe(terms[i], q, places, sums)
+                if i % TERMS_AT_ONCE == 0:
+                    may = (sums + ahead[i] > threshold).astype(bool)
+                    places, sums = places[may], sums[may]
+            if len(places) > k:
+                edge = np.partition(sums, len(sums) - k)[len(sums) - k]
+                may = (sums >= edge).astype(bool)
+                places, sums = places[may], sums[may]
+            best = sorted([*best, *zip((-sums).tolist(), places.tolist())])[:k]
+            if len(best) == k:
+                threshold = -best[-1][0]
+            at, step = end, min(2 * step, BLOCK)
+        return [(-int(s), int(self.ids[i])) for s, i in best]
 
 
 def _as_rows(lists: pa.ListArray) -> list[np.ndarray]:
@@ -125,24 +162,25 @@ def _as_rows(lists: pa.ListArray) -> list[np.ndarray]:
 def _searcher(k: int):
     def run(batches):
         """Rows come sorted by shard, and in it by kind: its vectors, then the queries."""
-        at, ids, rows, shard = None, [], [], None
+        at, ids, rows, vectors, shard = None, [], [], [], None
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            vectors = _as_rows(batch["vector"])
-            for s, query, i, v in zip(batch["shard"].to_pylist(), batch["query"].to_pylist(), batch["id"].to_pylist(), vectors):
+            found: list[tuple[int, int, int, int]] = []
+            columns = (batch[c].to_pylist() for c in ("shard", "query", "row", "id"))
+            for s, query, row, i, v in zip(*columns, _as_rows(batch["vector"])):
                 if s != at:
-                    at, ids, rows, shard = s, [], [], None
+                    at, ids, rows, vectors, shard = s, [], [], [], None
                 if not query:
                     ids.append(i)
-                    rows.append(v.astype(np.int32) if v.dtype != object and (not len(v) or np.abs(v).max() < 2 ** 31) else v)
+                    rows.append(row)
+                    vectors.append(v.astype(np.int32) if v.dtype != object and (not len(v) or np.abs(v).max() < 2 ** 31) else v)
                     continue
                 if shard is None:
-                    kind = object if any(r.dtype == object for r in rows) else np.int64 if any(r.dtype == np.int64 for r in rows) else np.int32
-                    shard, rows = Shard(np.array(ids, np.int64), [r.astype(kind) for r in rows]), []
-                found += [(i, score, j) for score, j in shard.search(i, v, k)]
+                    kind = object if any(r.dtype == object for r in vectors) else np.int64 if any(r.dtype == np.int64 for r in vectors) else np.int32
+                    shard, vectors = Shard(np.array(ids, np.int64), np.array(rows, np.int64), [r.astype(kind) for r in vectors]), []
+                found += [(row, i, score, j) for score, j in shard.search(row, v, k)]
             if found:
-                q, s, j = zip(*found)
-                yield pa.record_batch({"query_id": pa.array(q, pa.int64()), "score": pa.array(s, pa.int64()), "vec_id": pa.array(j, pa.int64())})
+                names = ("query_row", "query_id", "score", "vec_id")
+                yield pa.record_batch({n: pa.array(x, pa.int64()) for n, x in zip(names, zip(*found))})
 
     return run
 
@@ -162,13 +200,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
     """Per query row, its k best other rows: query_id, rank (from 1), vec_id, score."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole_numbers(F.col(vector_col), scale).alias("vector"), is_query.alias("asked"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
-    rows = keep(rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")), "topk-vectors")
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     shards = max(LEAST_SHARDS, math.ceil(rows.count() / SHARD_ROWS))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "id", "vector")
-    asked = rows.filter("asked").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "id", "vector")
-    met = dealt.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query", "id")
-    best = met.mapInArrow(_searcher(k), "query_id long, score long, vec_id long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "row", "id", "vector")
+    asked = rows.filter("asked").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "row", "id", "vector")
+    met = dealt.union(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "query", "id", "row")
+    best = met.mapInArrow(_searcher(k), "query_row long, query_id long, score long, vec_id long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -73,16 +73,12 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def _top(rows, k):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(256 * x) for x in v]
-        vectors[i] = min(vectors.get(i, v), v)
+    """Each query row's best k other rows, by comparing all."""
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = Counter()
-    for i in vectors:
+    for at, (i, v) in enumerate(good):
         if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(vectors[i], w)), j) for j, w in vectors.items() if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for place, (j, w) in enumerate(good) if place != at)[:k]
             out.update((i, r, j, -s) for r, (s, j) in enumerate(scores, 1))
     return out
 
@@ -100,6 +96,25 @@ def test_top_k(spark):
     assert topk.top_k(df.filter("vec_id = 100"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_max_score_splits_terms_by_their_bounds():
+    assert topk.non_essential([0, 5, 11, 30], None) == 0
+    assert topk.non_essential([0, 5, 11, 30], 11) == 2 and topk.non_essential([0, 5, 11, 30], 29) == 2
+    assert topk.non_essential([0, 5, 11, 30], 30) == 3 and topk.non_essential([0, 5], -1) == 0
+    assert topk.non_essential([0, -4, 3], -2) == 1
+    r = np.random.default_rng(5)
+    n = 3000
+    vectors = [(r.integers(-90, 90, 12) * (r.random(12) < 0.5)).astype(np.int32) for _ in range(n)]
+    shard = topk.Shard(np.arange(n) // 2, np.arange(n), vectors)
+    traversed, probed = [], []
+    walk, probe = shard._traverse, shard._probe
+    shard._traverse = lambda terms, q, at, end: (traversed.append(len(terms)), walk(terms, q, at, end))[1]
+    shard._probe = lambda t, q, places, sums: (probed.append(len(places)), probe(t, q, places, sums))[1]
+    for row in range(0, n, 100):
+        scores = sorted((-int(vectors[row] @ v), i // 2) for i, v in enumerate(vectors) if i != row)[:5]
+        assert [(-s, i) for s, i in scores] == shard.search(row, vectors[row], 5)
+    assert min(traversed) < max(traversed) and 0 < sum(probed) < n * len(probed)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 5))
 def test_permutations(n, key):

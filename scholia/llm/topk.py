@@ -45,8 +45,9 @@ from .store import keep
 SHARD_ROWS = 32768
 LEAST_SHARDS = 12
 #: Vectors of a shard's first block, which sets a threshold, and of later ones at most.
-FIRST_BLOCK = 256
+FIRST_BLOCK = 512
 BLOCK = 8192
+GROWTH = 8
 #: Terms probed between two looks at what can still compete.
 TERMS_AT_ONCE = 4
 
@@ -70,11 +71,12 @@ class Shard:
         matrix = np.zeros((width, self.n), vectors[0].dtype if vectors else np.int64)
         for at, i in enumerate(order):
             matrix[:len(vectors[i]), at] = vectors[i]
-        # a term's postings: places of the vectors that have it (None: all of them), and the weights
+        # a term's postings: places of the vectors that have it, and the weights; a term that most vectors
+        # have keeps a weight for each place instead (no places, 0 where a vector lacks it)
         self.postings = []
         for weights in matrix:
             there = np.flatnonzero(weights)
-            self.postings.append((None, weights) if len(there) == self.n else (there, weights[there]))
+            self.postings.append((None, weights) if 2 * len(there) > self.n else (there, weights[there]))
         zero = lambda p: p[0] is not None or not len(p[1])
         self.high = np.array([max([*([0] if zero(p) else []), *([p[1].max()] if len(p[1]) else [])]) for p in self.postings], matrix.dtype)
         self.low = np.array([min([*([0] if zero(p) else []), *([p[1].min()] if len(p[1]) else [])]) for p in self.postings], matrix.dtype)
@@ -147,7 +149,7 @@ class Shard:
             best = sorted([*best, *zip((-sums).tolist(), places.tolist())])[:k]
             if len(best) == k:
                 threshold = -best[-1][0]
-            at, step = end, min(2 * step, BLOCK)
+            at, step = end, min(GROWTH * step, BLOCK)
         return [(-int(s), int(self.ids[i])) for s, i in best]
 
 

@@ -37,6 +37,8 @@ FEATURES = ("tokens", "tfidf", "proportion")
 #: Largest weight table or gram list that is broadcast; each row counts its texts and ROW_BYTES.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 64
+#: Newton steps of the match model move no coefficient by more.
+MAX_STEP = 1.0
 
 
 @dataclass(frozen=True)
@@ -284,24 +286,81 @@ def match_statistics(potential: DataFrame, params: QuotationParams) -> DataFrame
                                             F.col("n_kept") * 100.0 / F.col("n_potential")), 1))
 
 
-def fit_match_model(pairs: DataFrame, label: str = "label", max_iter: int = 100,
-                    reg: float = 0.0) -> MatchModel:
+def label_pairs(potential: DataFrame, pages: DataFrame, verses: DataFrame, item: str = "item_id") -> DataFrame:
+    """``potential`` with a 0/1 ``label``: does the page text hold the verse text word for word?
+
+    A page that holds a verse has its grams but, at most, the first and the
+    last (whose outer words may be parts of longer ones), so the token
+    product is at least the verse's length less two.  Only pairs with as much
+    are compared, and each text moves once, to the verses asked of it.
+    """
+    length = F.round(F.col("tokens") / F.col("proportion"))
+    asked = potential.filter(F.col("tokens") + 2 >= length).select(item, "verse_id") \
+        .join(verses.select("verse_id", F.col("text").alias("verse_text")), "verse_id") \
+        .groupBy(item).agg(F.collect_list(F.struct("verse_id", "verse_text")).alias("_asked"))
+    held = pages.select(item, "text").join(asked, item).select(
+        item, F.explode(F.filter("_asked", lambda v: F.instr(F.col("text"), v["verse_text"]) > 0)["verse_id"]).alias("verse_id"))
+    return potential.join(held.distinct().withColumn("_held", F.lit(1)), [item, "verse_id"], "left") \
+        .withColumn("label", F.coalesce("_held", F.lit(0))).drop("_held")
+
+
+def fit_match_model(pairs: DataFrame, label: str = "label", max_iter: int = 50,
+                    reg: float = 0.0, tolerance: float = 1e-10) -> MatchModel:
     """Learn centre/scale constants and logistic coefficients from labelled pairs.
 
-    ``pairs`` carries the three FEATURES and a 0/1 ``label``.  Uses MLlib's
-    StandardScaler and LogisticRegression (distributed fit); the returned
-    constants plug into :func:`score`, which then stays plain column math.
+    ``pairs`` carries the three FEATURES and a 0/1 ``label``.  Newton's method
+    (reweighted least squares): one aggregate gives centres and scales, then
+    one aggregate a step gives the log-loss, its gradient and its second
+    derivatives as 15 sums, and the driver solves four equations.  A step moves
+    no coefficient by more than MAX_STEP, and one that raises the loss is halved.  ``reg`` penalises squared coefficients (not
+    the intercept) by reg / 2 each, beside the mean loss; where a feature tells the
+    labels apart without error only reg > 0 gives a finite result.  No pairs, or pairs of one label, are
+    an error.  Cut the lineage of ``pairs`` first: each step reads them.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    vec = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(
-        pairs.select(*FEATURES, F.col(label).cast("double").alias("label")))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vec)
-    lr = LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False).fit(scaler.transform(vec))
-    scales = tuple(float(s) if s > 0 else 1.0 for s in scaler.std.toArray())
-    return MatchModel(intercept=float(lr.intercept), coefficients=tuple(float(c) for c in lr.coefficients),
-                      means=tuple(float(m) for m in scaler.mean.toArray()), scales=scales)
+    import numpy as np
+
+    y = F.col(label).cast("double")
+    first = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("ones"),
+                      *[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_samp(f).alias(f"s_{f}") for f in FEATURES]).first()
+    n, ones = first["n"], first["ones"] or 0
+    if not 0 < ones < n:
+        raise ValueError(f"labels of both kinds are needed: {ones:g} of {n} are 1")
+    means = [float(first[f"m_{f}"]) for f in FEATURES]
+    scales = [float(first[f"s_{f}"] or 0) or 1.0 for f in FEATURES]
+    x = [F.lit(1.0), *[(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(FEATURES, means, scales)]]
+    width = len(x)
+    ridge = n * reg * np.diag([0.0] + [1.0] * (width - 1))
+
+    def sums(beta) -> tuple[float, np.ndarray, np.ndarray]:
+        z = sum((F.lit(float(b)) * v for b, v in zip(beta[1:], x[1:])), F.lit(float(beta[0])))
+        # log(1 + e^z) - y z without overflow
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
+        p = 1 / (1 + F.exp(-z))
+        row = pairs.select(y.alias("y"), p.alias("p"), loss.alias("loss"), *[v.alias(f"x{i}") for i, v in enumerate(x)]).agg(
+            F.sum("loss"), *[F.sum(F.col(f"x{i}") * (F.col("y") - F.col("p"))) for i in range(width)],
+            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("p") * (1 - F.col("p"))) for i in range(width) for j in range(i, width)]).first()
+        second = np.zeros((width, width))
+        second[np.triu_indices(width)] = row[1 + width:]
+        second = second + np.triu(second, 1).T
+        return row[0] + float(beta @ ridge @ beta) / 2, np.array(row[1:1 + width]) - ridge @ beta, second + ridge
+
+    beta = np.zeros(width)
+    beta[0] = np.log(ones / (n - ones))
+    loss, gradient, second = sums(beta)
+    for _ in range(max_iter):
+        # a feature that never varies has no sums of its own: least squares leaves it at 0
+        step = np.linalg.lstsq(second, gradient, rcond=None)[0]
+        step = step * min(1.0, MAX_STEP / max(np.abs(step).max(), MAX_STEP))
+        while True:
+            trial = sums(beta + step)
+            if trial[0] <= loss * (1 + 1e-12) or np.abs(step).max() < tolerance:
+                break
+            step = step / 2
+        beta, (loss, gradient, second) = beta + step, trial
+        if np.abs(step).max() < tolerance * max(1.0, np.abs(beta).max()):
+            break
+    return MatchModel(intercept=float(beta[0]), coefficients=tuple(map(float, beta[1:])),
+                      means=tuple(means), scales=tuple(scales))
 
 
 def quotation_count(found: DataFrame) -> DataFrame:

@@ -193,6 +193,11 @@ def processor_run(spark, d):
     return out.results.select("item_id", F.col("n_words").cast("long").alias("n_words"), "n_pages")
 
 
+#: Penalty of squared coefficients: a verse's features may tell the labels apart without error.
+FIT_REG = 1e-4
+FIT_COLUMNS = ("intercept", "b_tokens", "b_tfidf", "b_proportion", "m_tokens", "m_tfidf", "m_proportion", "s_tokens", "s_tfidf", "s_proportion")
+
+
 def fit_classifier(spark, d):
     """Fit the match model on document x verse pairs labelled by whether the
     verse text occurs verbatim in the document."""
@@ -200,18 +205,11 @@ def fit_classifier(spark, d):
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("item_id"), "text")
     verses = S.verses(spark, d)
     corpus = Q.ReferenceCorpus.build(verses, QUOTATION_PARAMS)
-    pot = Q.potential_matches(docs, corpus)
-    vt = verses.select("verse_id", F.col("text").alias("verse_text"))
-    labelled = pot.join(docs, "item_id").join(F.broadcast(vt) if corpus.n_verses <= 100_000 else vt, "verse_id") \
-        .withColumn("label", (F.instr(F.col("text"), F.col("verse_text")) > 0).cast("int"))
-    pairs = labelled.select("tokens", "tfidf", "proportion", "label").persist()
-    m = Q.fit_match_model(pairs)
-    stats = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("label").alias("n_positive")).first()
-    pairs.unpersist()
-    row = [(m.intercept, *m.coefficients, *m.means, *m.scales, stats["n_pairs"], stats["n_positive"])]
-    return spark.createDataFrame(row, "intercept double, b_tokens double, b_tfidf double, b_proportion double, "
-                                      "m_tokens double, m_tfidf double, m_proportion double, s_tokens double, "
-                                      "s_tfidf double, s_proportion double, n_pairs long, n_positive long")
+    labelled = Q.label_pairs(cut_lineage(Q.potential_matches(docs, corpus)), docs, verses)
+    pairs = cut_lineage(labelled.select("tokens", "tfidf", "proportion", "label"))
+    m = Q.fit_match_model(pairs, reg=FIT_REG)
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("label").alias("n_positive")).select(
+        *[F.round(F.lit(v), 6).alias(n) for n, v in zip(FIT_COLUMNS, (m.intercept, *m.coefficients, *m.means, *m.scales))], "n_pairs", "n_positive")
 
 
 QUERIES = {
@@ -246,4 +244,5 @@ def sql() -> dict[str, str]:
           SELECT 'conv/' || conv_id AS item_id,
                  CAST(sum(len({QS.WORDS.format(t='text')})) AS BIGINT) AS n_words, count(*) AS n_pages
           FROM conversations GROUP BY conv_id""",
+        "fit_classifier": QS.fit_sql(QUOTATION_PARAMS, FIT_REG, FIT_COLUMNS),
     }

@@ -6,7 +6,7 @@ SQL over the pre-registered tables.
 
 from __future__ import annotations
 
-from ..operators.quotations import MatchModel, QuotationParams
+from ..operators.quotations import MAX_STEP, MatchModel, QuotationParams
 from ..sources.standins import SQL as STANDIN
 
 WORDS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -121,3 +121,37 @@ best AS (SELECT *, row_number() OVER (PARTITION BY item_id, reference_id
                                      ORDER BY prob_adj DESC, verse_id ASC) AS rn FROM acc2)
 SELECT item_id, reference_id, verse_id, page_seq, round(probability, 6) AS probability
 FROM best WHERE rn = 1"""
+
+
+def _solve_sql(last: str) -> str:
+    """One Newton step from the sums in CTE ``last``: four equations by elimination, one column a level."""
+    k = 4
+    cell = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(k) for j in range(k)}
+    sql = f"SELECT *, {', '.join(f'{cell[i, j]} AS a{i}{j}' for i in range(k) for j in range(k))}, {', '.join(f'g{i} AS a{i}{k}' for i in range(k))} FROM {last}"
+    for p in range(k):
+        rows = ", ".join(f"a{i}{j} - a{i}{p} / a{p}{p} * a{p}{j} AS a{i}{j}" for i in range(k) if i != p for j in range(p, k + 1))
+        sql = f"SELECT * REPLACE ({rows}) FROM ({sql})"
+    sql = f"SELECT b0, b1, b2, b3, step, {', '.join(f'a{i}{k} / a{i}{i} AS d{i}' for i in range(k))} FROM ({sql})"
+    sql = f"SELECT *, least(1.0, {MAX_STEP!r} / greatest({', '.join(f'abs(d{i})' for i in range(k))}, {MAX_STEP!r})) AS part FROM ({sql})"
+    return f"SELECT {', '.join(f'b{i} + part * d{i} AS b{i}' for i in range(k))}, step + 1 AS step FROM ({sql})"
+
+
+def fit_sql(p: QuotationParams, reg: float, columns: tuple, steps: int = 30) -> str:
+    """The match model fitted by a recursive query: each step sums over all pairs and solves four equations."""
+    z = "b0 + b1 * x1 + b2 * x2 + b3 * x3"
+    first = ", ".join(f"sum(x{i} * (y - p)) - any_value(penalty * b{i} * {int(i > 0)}) AS g{i}" for i in range(4))
+    second = ", ".join(f"sum(x{i} * x{j} * p * (1 - p)) + any_value(penalty * {int(i == j > 0)}) AS h{i}{j}" for i in range(4) for j in range(i, 4))
+    names = ("b0", "b1", "b2", "b3", "m1", "m2", "m3", "s1", "s2", "s3")
+    return f"""WITH RECURSIVE {base_ctes(p, documents_pages_sql(), ['item_id'])},
+labelled AS MATERIALIZED (SELECT m.tokens, m.tfidf, m.proportion, (strpos(d.text, v.text) > 0)::DOUBLE AS y
+  FROM pm m JOIN pages_in d ON d.item_id = m.item_id JOIN verses v ON v.verse_id = m.verse_id),
+facts AS MATERIALIZED (SELECT count(*) AS n, sum(y) AS ones, avg(tokens) AS m1, avg(tfidf) AS m2, avg(proportion) AS m3,
+  stddev_samp(tokens) AS s1, stddev_samp(tfidf) AS s2, stddev_samp(proportion) AS s3 FROM labelled),
+z AS MATERIALIZED (SELECT y, 1.0::DOUBLE AS x0, (tokens - m1) / s1 AS x1, (tfidf - m2) / s2 AS x2, (proportion - m3) / s3 AS x3,
+  n * {reg!r}::DOUBLE AS penalty FROM labelled, facts),
+fit AS (
+  SELECT ln(ones / (n - ones)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 0 AS step FROM facts
+  UNION ALL
+  SELECT * FROM ({_solve_sql(f"(SELECT b0, b1, b2, b3, step, {first}, {second} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM fit, z WHERE step < {steps}) GROUP BY b0, b1, b2, b3, step)")}))
+SELECT {", ".join(f"round({a}, 6) AS {c}" for a, c in zip(names, columns))}, n AS n_pairs, ones::BIGINT AS n_positive
+FROM fit, facts WHERE step = {steps}"""

@@ -1,7 +1,9 @@
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,46 @@ def test_streaming_keeps_late_pages(spark, corpus, tmp_path):
         RN.run(RN.detect_quotations(spark, str(tmp_path / "land"), pages.schema, corpus, out, str(tmp_path / "ck"), files_per_batch=1))
     batch = sorted(tuple(r) for r in Q.find_quotations(pages, corpus).collect())
     assert batch == sorted(tuple(r) for r in RN.quotation_results(spark, out, corpus).collect()) and len(batch) == 3
+
+
+def _pair_rows(r, n):
+    rows = []
+    for _ in range(n):
+        t, f, p = r.randint(0, 40), r.uniform(0, 9), r.random()
+        rows.append((t, f, p, int(r.random() < 1 / (1 + 2.718281828 ** -(0.1 * t - 0.4 * f + 3 * p - 3)))))
+    return rows
+
+
+def test_fit_match_model(spark):
+    rows = _pair_rows(random.Random(8), 600)
+    m = Q.fit_match_model(spark.createDataFrame(rows, "tokens long, tfidf double, proportion double, label int"), reg=0.01)
+    x = np.array([r[:3] for r in rows], float)
+    y = np.array([r[3] for r in rows], float)
+    assert np.allclose(m.means, x.mean(0)) and np.allclose(m.scales, x.std(0, ddof=1))
+    # the optimum is where the derivatives of the penalised loss vanish
+    z = np.c_[np.ones(len(x)), (x - m.means) / m.scales]
+    beta = np.array([m.intercept, *m.coefficients])
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ beta))) - len(x) * 0.01 * np.array([0, *m.coefficients])
+    assert np.abs(slope).max() < 1e-6
+    # a feature that tells the labels apart, and one that never varies
+    apart = spark.createDataFrame([(i, 1.0, i / 9, int(i > 4)) for i in range(10)], "tokens long, tfidf double, proportion double, label int")
+    m = Q.fit_match_model(apart, reg=0.01)
+    assert m.coefficients[0] > 0.5 and m.coefficients[1] == 0 and m.scales[1] == 1
+    with pytest.raises(ValueError, match="both kinds"):
+        Q.fit_match_model(apart.filter("label = 1"))
+    with pytest.raises(ValueError, match="both kinds"):
+        Q.fit_match_model(apart.limit(0))
+
+
+def test_label_pairs_compares_whole_texts(spark):
+    r = random.Random(4)
+    words = ["a", "ba", "cab", "dab", "Ea", "fab"]
+    verses = [(f"v{i}", " ".join(r.choice(words) for _ in range(r.randint(2, 6)))) for i in range(30)]
+    docs = [(f"d{i}", r.choice(["", "x"]).join([" ".join(r.choice(words) for _ in range(25)), verses[i][1], r.choice([" ", "", ", "]) + "ab"])) for i in range(30)]
+    v = spark.createDataFrame(verses, "verse_id string, text string")
+    d = spark.createDataFrame(docs, "item_id string, text string")
+    potential = Q.potential_matches(d, Q.ReferenceCorpus.build(v, Q.QuotationParams()))
+    got = {(x.item_id, x.verse_id): x.label for x in Q.label_pairs(potential, d, v).collect()}
+    assert len(got) == potential.count()
+    assert got == {(i, j): int(dict(verses)[j] in dict(docs)[i]) for i, j in got}
+    assert 0 < sum(got.values()) < len(got)

@@ -16,11 +16,6 @@ ABBREVIATIONS = r"(^|[\s(])(Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Hr|Fr|Nr|vs|etc|bzw|usw|
 SENT_MARK = "\u0001"   # marks a sentence boundary inside a string
 DOT_MARK = "\u0002"    # protects the dot of an abbreviation
 
-# HTML entities decoded by markup_to_text (ampersand last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-BLOCK_TAGS = "p|div|br|li|ul|ol|tr|td|th|table|h1|h2|h3|h4|h5|h6|title|section|article|header|footer|nav|blockquote|pre|hr"
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -126,26 +121,6 @@ def sentences(col) -> Column:
     return F.filter(parts, lambda s: s != F.lit(""))
 
 
-def markup_to_text(col) -> Column:
-    """XML/HTML to plain text.
-
-    Drops script/style blocks and comments, turns block tags into line
-    breaks, strips other tags, decodes the common entities and squeezes
-    blanks and empty lines.
-    """
-    t = _c(col)
-    t = F.regexp_replace(t, r"(?is)<script[^>]*>.*?</script\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)</?(" + BLOCK_TAGS + r")(\s[^>]*)?/?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    t = F.regexp_replace(t, r"[ \t\f\r]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
-
-
 def drop_last_words(col, k: int = 2) -> Column:
     """Remove the last ``k`` white-space separated words."""
     pattern = r"\s*" + r"\s+".join([r"\S+"] * k) + r"\s*$"

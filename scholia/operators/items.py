@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import blank_to_null, is_resource
-from ..functions.text import markup_to_text
+from ..functions.markup import markup_to_text
 
 RESOURCE_FIELDS = ["fulltext_file", "djvu_text_file", "image", "pdf", "url", "caption"]
 FILE_FIELDS = ["mimetype", "fulltext", "fulltext_service", "word_coordinates", "url", "info", "use"]

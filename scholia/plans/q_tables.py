@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as DT
 from ..functions import records as R
+from ..functions.markup import markup_sql
 from ..operators import items as I
 from ..operators import jobs as J
 from ..operators import stats as ST
@@ -224,28 +225,15 @@ QUERIES = {
 NOW_SQL = "(SELECT max(ts) FROM events)"
 
 
-def markup_sql(c: str) -> str:
-    from ..functions.text import BLOCK_TAGS, ENTITIES
-    t = f"regexp_replace({c}, '(?is)<script[^>]*>.*?</script\\s*>', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?is)<style[^>]*>.*?</style\\s*>', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?i)</?({BLOCK_TAGS})(\\s[^>]*)?/?>', chr(10), 'g')"
-    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
-    for ent, ch in ENTITIES:
-        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    t = f"regexp_replace({t}, '[ \\t\\f\\r]+', ' ', 'g')"
-    t = f"regexp_replace({t}, ' ?\\n[ \\n]*', chr(10), 'g')"
-    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
-
+XML_ONLY_SQL = """(SELECT * FROM files f WHERE mimetype = 'text/xml' AND fulltext IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM files p WHERE p.item_id = f.item_id AND p.mimetype = 'text/plain'
+                    AND p.fulltext IS NOT NULL))"""
 
 PAGE_TEXT_SQL = f"""
   SELECT item_id, resource_seq, file_seq, format_seq, fulltext AS text FROM files
   WHERE mimetype = 'text/plain' AND fulltext IS NOT NULL
   UNION ALL
-  SELECT item_id, resource_seq, file_seq, format_seq, {markup_sql('fulltext')} AS text FROM files f
-  WHERE mimetype = 'text/xml' AND fulltext IS NOT NULL
-    AND NOT EXISTS (SELECT 1 FROM files p WHERE p.item_id = f.item_id AND p.mimetype = 'text/plain'
-                    AND p.fulltext IS NOT NULL)"""
+  {markup_sql('fulltext', XML_ONLY_SQL, 'item_id, resource_seq, file_seq, format_seq')}"""
 
 COLL_URL_SQL = (f"CASE WHEN regexp_matches(id, '[02468]$') THEN '{R.API_BASE}/collections/' || id || '/?fa=partof' "
                 f"ELSE 'https://memory.example/' || id || '/' END")

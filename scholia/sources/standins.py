@@ -68,13 +68,17 @@ def items_in_collections(spark, d) -> DataFrame:
         F.col("source").alias("collection_id"))
 
 
+#: Ends every fourth markup file: references of all kinds, a ">" in a value, an element and a comment that never end.
+MORE_MARKUP = """<p title="a > b" class='c>d'>R&eacute;sum&#233; &#x2014; 5 &lt; 6 &notit; &amp;lt; &copy 7 < 8 &#128; &#0; &unknown; &<i>x</i></p><style>p{}"""
+
+
 def files(spark, d) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "html")
     docs = table(spark, d, "documents").select("doc_id", "text")
     item_id = F.concat(F.lit("doc/"), F.col("page_id").cast("string"))
     xml = pages.select(item_id.alias("item_id"), F.lit(0).alias("resource_seq"), F.lit(0).alias("file_seq"),
                        F.lit(0).alias("format_seq"), F.lit("text/xml").alias("mimetype"),
-                       F.when(F.col("page_id") % 7 != 3, F.col("html")).alias("fulltext"))
+                       F.when(F.col("page_id") % 7 != 3, F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit(MORE_MARKUP))).otherwise(F.col("html"))).alias("fulltext"))
     # Every document is a plain file: of its page's item or, where that item
     # shall have markup only, of an item of its own.
     other = F.col("page_id").isNotNull() & (F.col("page_id") % 3 != 0)
@@ -189,7 +193,7 @@ SQL = {
     "items_in_collections": "SELECT 'doc/' || doc_id AS item_id, source AS collection_id FROM documents",
     "files": f"""
       SELECT 'doc/' || page_id AS item_id, 0 AS resource_seq, 0 AS file_seq, 0 AS format_seq,
-             'text/xml' AS mimetype, CASE WHEN page_id % 7 <> 3 THEN html END AS fulltext FROM pages
+             'text/xml' AS mimetype, CASE WHEN page_id % 7 <> 3 THEN CASE WHEN page_id % 4 = 1 THEN html || '{MORE_MARKUP.replace("'", "''")}' ELSE html END END AS fulltext FROM pages
       UNION ALL
       SELECT CASE WHEN p.page_id % 3 <> 0 THEN 'text/' ELSE 'doc/' END || d.doc_id, 0, 0, 1, 'text/plain', d.text
       FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id

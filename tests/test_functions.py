@@ -1,8 +1,13 @@
+import html
+import random
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from scholia.functions import dates as DT
 from scholia.functions import records as R
 from scholia.functions import text as T
+from scholia.functions.markup import decode_references, markup_to_text
 
 
 def _one(spark, expr, value, schema="x string"):
@@ -57,9 +62,31 @@ def test_sentences_and_grams(spark):
 
 
 def test_markup_to_text(spark):
-    html = ('<html><head><title>T &amp; U</title><script>var x="</p>";</script><style>p{}</style></head>'
+    page = ('<html><head><title>T &amp; U</title><script>var x="</p>";</script><style>p{}</style></head>'
             '<body><p>Hello <b>world</b></p><!-- gone --><div>A&lt;B</div></body></html>')
-    assert _one(spark, T.markup_to_text(F.col("x")), html) == "T & U\nHello world\nA<B"
+    assert _one(spark, markup_to_text(F.col("x")), page) == "T & U\nHello world\nA<B"
+
+
+def test_markup_tokens(spark):
+    cases = {
+        '<a title="x > y">in</a>': "in", "<p class='a>b'>in</p>out": "in\nout", "a < b > c": "a < b > c", "a<b": "a<b",
+        "in<!-- open > <p>gone": "in", "in<SCRIPT src='>'>gone": "in", "<style>p{}</style >in": "in", "x<!DOCTYPE html>y<?pi ?>z": "xyz",
+        '<a title="x>in</a>': "in", "<![CDATA[in]]>": "in", "<b>a</b>b": "ab", "<title/>T<br/>U": "T\nU", "<preface>a</preface>b": "ab",
+        "a\u0001b": "ab", "": "", "a&nbsp;&#160;b": "a b", "&amp;lt;p&amp;gt;": "&lt;p&gt;", "<p " + 'k="v" ' * 150 + ">in": "in",
+        "<i>" * 20000 + "in": "in", "<!-- " + "x>" * 50000 + "-->in": "in", "<p " + "x" * 100000 + ">in": "in"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "x string, want string")
+    assert [r for r in df.select("want", markup_to_text("x").alias("got")).collect() if r.want != r.got] == []
+
+
+def test_references_as_the_standard_library(spark):
+    r = random.Random(6)
+    names = list(html5)
+    bits = ["&", "#", "#x", "#X", ";", "amp", "lt;", "not", "it", "x", "é", "0", "41", "1F600", "128", "55296", "99999999999", "65534", "&&", " ", "\n", "\ufeff"]
+    texts = ["".join(r.choice(bits) if r.random() < 0.8 else "&" + r.choice(names) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    texts += ["&" + n for n in names] + [f"&#{i};" for i in range(300)] + [f"&#x{i:x}" for i in (0xD7FF, 0xD800, 0xFDD0, 0xFEFF, 0xFFFF, 0x10FFFF, 0x110000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    wrong = [(x, got, html.unescape(x)) for x, got in df.select("x", decode_references("x")).collect() if got != html.unescape(x)]
+    assert wrong == []
 
 
 def test_versions(spark):

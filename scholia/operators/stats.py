@@ -77,6 +77,28 @@ def id_mismatch(items: DataFrame) -> DataFrame:
         F.col("id").alias("key"), F.lit(1).cast("long").alias("n"))
 
 
+def audit(df: DataFrame, table: str, keys: list[list[str]] = (), checks: dict[str, tuple] = {}) -> DataFrame:
+    """(table, rule, key, n) for all rules of one table, from one scan.
+
+    ``keys``: sets of columns that must be unique, reported once a repeated
+    key with its rows (nulls are equal).  ``checks``: rule -> (condition that is true for a bad
+    row, key columns), reported once a bad row, n = 1.  A row is expanded
+    only into its keys and the rules it breaks; counts are summed before the
+    shuffle.  Parts of a key are joined by "|", null parts left out.
+    """
+    def text(columns):
+        return F.array(*[F.col(c).cast("string") for c in columns])
+
+    rules = [F.struct(F.lit("duplicate key").alias("rule"), F.lit(i).alias("part"), text(ks).alias("key"), F.lit(None).cast("long").alias("row"))
+             for i, ks in enumerate(keys)]
+    for rule, (bad, ks) in checks.items():
+        rules.append(F.struct(F.when(bad, F.lit(rule)).alias("rule"), F.lit(-1).alias("part"), text(ks).alias("key"), F.col("_row").alias("row")))
+    found = df.withColumn("_row", F.monotonically_increasing_id()) \
+        .select(F.explode(F.filter(F.array(*rules), lambda s: s["rule"].isNotNull())).alias("s")).select("s.*")
+    found = found.groupBy("rule", "part", "key", "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR part < 0")
+    return found.select(F.lit(table).alias("table"), "rule", F.concat_ws("|", "key").alias("key"), "n")
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_keys: list[str], parent_keys: list[str],
             table: str) -> DataFrame:
     """Foreign-key audit: child rows whose key, with no part null, has no parent row (anti-join)."""

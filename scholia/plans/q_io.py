@@ -78,6 +78,32 @@ def assemble_items(spark, d):
 
 # --- listings and result pages ----------------------------------------------------
 
+#: Paths of a stored collection record that json_round_trip reads back, one for each field it adds to a listing.
+RECORD_PATHS = [f"$.{f}" for f in ("extract_timestamp", "shelf_id", "timestamp", "index", "digitized", "hassegments", "other_title[0].alt", "resources[0]", "item.date", "item.title")] \
+    + [f"$.{f}[0]" for f in ("contributor", "dates", "group", "image_url", "language", "location", "number", "number_lccn", "number_source_modified", "original_format", "partof",
+                             "subject_topic", *[f"item.{x}" for x in ("access_advisory", "contributors", "format", "language", "location", "medium", "notes", "repository", "subjects", "summary")])]
+
+
+def _more_fields() -> list:
+    """The fields of RECORD_PATHS, each with a value that names it and the collection."""
+    def text(path):
+        return F.concat(F.col("id"), F.lit(" " + path))
+
+    lists = [p[2:-3] for p in RECORD_PATHS if p.endswith("[0]") and p != "$.resources[0]"]
+    details = [text(f"item.{n}").alias(n) for n in ("date", "title")] + [F.array(text(p)).alias(p[5:]) for p in lists if p.startswith("item.")]
+    return [*[text(n).alias(n) for n in ("extract_timestamp", "shelf_id", "timestamp")], (F.col("count") + 1).alias("index"),
+            (F.col("count") > 0).alias("digitized"), (F.col("count") == 0).alias("hassegments"),
+            F.array(F.struct(text("other_title").alias("alt"))).alias("other_title"), F.array(F.col("count")).alias("resources"),
+            *[F.array(text(p)).alias(p) for p in lists if "." not in p], F.struct(*details).alias("item")]
+
+
+def _record_sql() -> str:
+    """SQL of the value that json_round_trip makes of a collection's record."""
+    given = {"index": "(count + 1)", "digitized": "(count > 0)", "hassegments": "(count = 0)", "resources[0]": "count"}
+    parts = [given.get(p[2:], "id || ' " + p[2:].split("[")[0] + "'") for p in RECORD_PATHS]
+    return f"SELECT 'record' AS kind, id AS key, concat_ws('|', {', '.join(parts)}) AS value FROM collections"
+
+
 def json_round_trip(spark, d):
     colls = S.collections(spark, d)
     desc = F.when(F.col("count") > 0, F.array(F.concat(F.col("title"), F.lit(" description")))) \
@@ -87,7 +113,7 @@ def json_round_trip(spark, d):
         "id", "title", desc.alias("description"), "count",
         F.concat(F.lit(R.API_BASE + "/collections/"), F.col("id")).alias("url"),
         F.concat(F.lit(R.API_BASE + "/collections/"), F.col("id"), F.lit("/")).alias("items"),
-        F.array(F.lit("history")).alias("subject")).alias("c"),
+        F.array(F.lit("history")).alias("subject"), *_more_fields()).alias("c"),
         F.pmod(F.xxhash64("id"), F.lit(n_listing_pages)).alias("page"))
     listing = listing.groupBy("page").agg(F.collect_list("c").alias("results")) \
         .select(F.to_json(F.struct("results")).alias("value"))
@@ -109,8 +135,10 @@ def json_round_trip(spark, d):
 
     got_c = RD.read_collections(spark, lpath, multiline=False)
     got_p = RD.read_collection_pages(spark, ppath)
+    record = F.concat_ws("|", *[F.get_json_object("api", p) for p in RECORD_PATHS])
     return got_c.select(F.lit("collection").alias("kind"), F.col("id").alias("key"),
                         F.concat_ws("|", "title", "description", F.col("count").cast("string")).alias("value")) \
+        .unionByName(got_c.select(F.lit("record").alias("kind"), F.col("id").alias("key"), record.alias("value"))) \
         .unionByName(got_p.select(F.lit("page_item").alias("kind"), F.col("collection_id").alias("key"),
                                   F.col("item_id").alias("value")))
 
@@ -271,7 +299,9 @@ def sql() -> dict[str, str]:
                  CAST(count(*) AS INTEGER) AS n_resources,
                  CAST(2 * count(*) + count(*) FILTER (WHERE turn % 2 = 1) AS INTEGER) AS n_files
           FROM conversations GROUP BY conv_id""",
-        "json_round_trip": with_ctes(["collections", "items_in_collections"], """
+        "json_round_trip": with_ctes(["collections", "items_in_collections"], f"""
+          {_record_sql()}
+          UNION ALL
           SELECT 'collection' AS kind, id AS key,
                  title || '|' || CASE WHEN count > 0 THEN title || ' description' ELSE '' END || '|' || count AS value
           FROM collections

@@ -182,17 +182,14 @@ def point_lookup(spark, d):
 
 
 def key_audit(spark, d):
-    labels = S.table(spark, d, "labels")
-    jobs = S.jobs(spark, d)
-    parts = [ST.duplicate_keys(labels, ["doc_id"], "labels"),
-             ST.null_keys(labels, ["quality", "toxic"], ["doc_id"], "labels"),
-             ST.duplicate_keys(jobs, ["item_id", "destination"], "jobs"),
-             ST.bad_status(jobs), ST.bad_uuid(jobs, "id", "jobs"),
-             ST.id_mismatch(S.items(spark, d))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Key and domain rules of labels, jobs and items, each table read once."""
+    outside = F.col("status").isNull() | ~F.col("status").isin(*R.JOB_STATUSES)
+    labels = ST.audit(S.table(spark, d, "labels"), "labels", [["doc_id"]],
+                      {f"{c} is null": (F.col(c).isNull(), ["doc_id"]) for c in ("quality", "toxic")})
+    jobs = ST.audit(S.jobs(spark, d), "jobs", [["item_id", "destination"]],
+                    {"status outside enum": (outside, ["id"]), "id not a uuid": (F.col("id").isNull() | ~R.is_uuid(F.col("id")), ["id"])})
+    items = ST.audit(S.items(spark, d), "items", checks={"record id differs": (F.get_json_object("api", "$.item.id") != F.col("id"), ["id"])})
+    return labels.unionByName(jobs).unionByName(items)
 
 
 def fk_audit(spark, d):

@@ -26,8 +26,7 @@ def collection_rows(listings: DataFrame, keep: list[str] | None = None) -> DataF
         "id", "title", first_or_blank(F.col("description")).alias("description"), "count", "url",
         F.col("items").alias("items_url"), F.col("subject").alias("subjects"),
         F.col("item.subjects").alias("subjects2"), F.col("subject_topic").alias("topics"),
-        record_json(*[F.col(f) for f in ["id", "title", "description", "count", "url", "items",
-                                          "subject", "subject_topic", "item"]]).alias("api"), *(keep or []))
+record_json(*SC.COLLECTION.fieldNames()).alias("api"), *(keep or []))
 
 
 def read_collection_pages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

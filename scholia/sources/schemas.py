@@ -15,9 +15,20 @@ def _st(*fields) -> T.StructType:
 
 # --- JSON inputs -----------------------------------------------------------
 
-COLLECTION = _st(("id", S), ("title", S), ("description", ARR), ("count", I), ("url", S),
-                 ("items", S), ("subject", ARR), ("subject_topic", ARR),
-                 ("item", _st(("subjects", ARR))))
+# The fields of a collection record, by type (ANY: any JSON shape is kept).
+ANY = T.ArrayType(T.VariantType())
+COLLECTION_DETAILS = _st(
+    *[(n, S) for n in ("date", "title")],
+    *[(n, ARR) for n in ("access_advisory", "contributors", "format", "language", "location", "medium", "notes",
+                         "repository", "subjects", "summary")])
+COLLECTION = _st(
+    *[(n, S) for n in ("extract_timestamp", "id", "items", "shelf_id", "timestamp", "title", "url")],
+    *[(n, I) for n in ("count", "index")],
+    *[(n, B) for n in ("digitized", "hassegments")],
+    *[(n, ARR) for n in ("contributor", "dates", "description", "group", "image_url", "language", "location", "number",
+                         "number_lccn", "number_source_modified", "original_format", "partof", "subject", "subject_topic")],
+    *[(n, ANY) for n in ("other_title", "resources")],
+    ("item", COLLECTION_DETAILS))
 COLLECTIONS_LISTING = _st(("results", T.ArrayType(COLLECTION)))
 
 COLLECTION_PAGE = _st(("title", S), ("pagination", _st(("current", I), ("next", S))),

@@ -214,3 +214,17 @@ def test_page_processor_fails_one_job_alone(spark, tmp_path):
     assert [tuple(r) for r in run.errors.select("item_id", "error").collect()] == [("b", "KeyError: 'bad page'")]
     again = P.run_page_processor("shout", items, run.jobs.persist(), files, F.current_timestamp(), str(tmp_path / "again"))
     assert again.results.count() == 0 and again.jobs.count() == 4
+
+
+def test_audit_reads_a_table_once(spark, tmp_path):
+    from scholia.operators import stats as ST
+    rows = [("a|b", "c", 1), ("a", "b|c", None), ("a", "x", None), ("a", "x", 4), ("a", "x", None), (None, "x", 5), (None, "x", 6)]
+    spark.createDataFrame(rows, "k string, l string, v int").withColumn("row", F.lit("clash")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = ST.audit(df, "t", [["k", "l"], ["l"]], {"v is null": (F.col("v").isNull(), ["k", "l"]), "v large": (F.col("v") > 5, ["l"])})
+    assert sorted(tuple(r) for r in got.collect()) == sorted([
+        ("t", "duplicate key", "a|x", 3), ("t", "duplicate key", "x", 2), ("t", "duplicate key", "x", 5), ("t", "v is null", "a|b|c", 1),
+        ("t", "v is null", "a|x", 1), ("t", "v is null", "a|x", 1), ("t", "v large", "x", 1)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "clash" not in plan
+    assert ST.audit(df.limit(0), "t", [["k"]]).count() == 0

@@ -7,8 +7,8 @@ the original record bytes.
 
 Layout below one folder of shared storage::
 
-    payloads/  sha256 binary, payload binary          one row per distinct payload
-    headers/   sha256 binary, header binary           one row per record
+    payloads/  sha256, payload binary, first_id, copies long   one row per distinct payload, and how many records have it
+    headers/   sha256, header binary                           one row per record
 
 Defined cases: a null payload is empty; equal payloads (empty ones too) make
 one response, the record with the smallest id, and revisits; rows that
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 #: Digits of base 32 as Spark's conv writes them, and those of RFC 4648.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PAYLOADS, HEADERS = "sha256 binary, payload binary", "sha256 binary, header binary"
@@ -68,12 +70,13 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.encode(text, "UTF-8").alias("payload"))
     rows = rows.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     # copies meet in each task before the shuffle, so a hot payload travels once per task
-    stored = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.min("id").alias("first_id"))
+    stored = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.min("id").alias("first_id"), F.count("*").alias("copies"))
     stored.write.parquet(f"{path}/payloads")
     first = spark.read.schema("sha256 binary, first_id " + dict(rows.dtypes)["id"]).parquet(f"{path}/payloads")
     facts = rows.select("id", "url", "sha256", sha1_base32(F.col("payload")).alias("sha1"), F.octet_length("payload").alias("size"))
     block = header(F.col("id"), F.col("url"), F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"), F.col("sha1"), F.col("size"), date)
-    facts.join(first, "sha256").select("sha256", F.encode(block, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
+    met = salted_join(facts, first, "sha256", counts=_copies(spark, path))
+    met.select("sha256", F.encode(block, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -83,6 +86,11 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("payload", F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.hex("sha256"))).cast("binary")))
 
 
+def _copies(spark: SparkSession, path: str) -> DataFrame:
+    """Records per stored payload (sha256, n), by which hot payloads are dealt over tasks."""
+    return spark.read.schema("sha256 binary, copies long").parquet(f"{path}/payloads").select("sha256", F.col("copies").alias("n"))
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HEADERS).parquet(f"{path}/headers")
 
@@ -90,7 +98,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record as it was: ``record`` binary (header, payload, two line ends)."""
     whole = F.concat("header", "payload", F.encode(F.lit("\r\n\r\n"), "UTF-8"))
-    return read_headers(spark, path).join(read_payloads(spark, path), "sha256").select(whole.alias("record"))
+    return salted_join(read_headers(spark, path), read_payloads(spark, path), "sha256", counts=_copies(spark, path)).select(whole.alias("record"))
 
 
 def field(block: Column, name: str) -> Column:
@@ -112,7 +120,7 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     rows = read_headers(spark, path).select(
         "sha256", whole(number("WARC-Record-ID")).alias("page_id"), field(block, "WARC-Type").alias("record_type"),
         whole(number("WARC-Refers-To")).alias("refers_to"), F.concat(field(block, "WARC-Payload-Digest"), F.lit(" "), field(block, "Content-Length")).alias("said"))
-    out = rows.join(payload, "sha256")
+    out = salted_join(rows, payload, "sha256", counts=_copies(spark, path))
     agrees = F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"), F.lit(" "), F.col("payload_bytes").cast("string"))
     digest = F.when(agrees, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("said"))))
     return out.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")

@@ -72,6 +72,16 @@ def test_warc_round_trip(spark, tmp_path):
         warc.read_payloads(spark, str(tmp_path / "c")).collect()
 
 
+def test_warc_of_a_hot_payload(spark, tmp_path):
+    rows = [(i, "same" if i % 3 else f"own {i}") for i in range(4000)]
+    path = str(tmp_path / "hot")
+    warc.write_archive(spark.createDataFrame([(i, f"u{i}", x) for i, x in rows], "page_id long, url string, html string"), path)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived_pages(spark, path).collect()}
+    assert got == {i: (len(x), "revisit", 1) if x == "same" and i > 1 else (len(x), "response", None) for i, x in rows}
+    whole = Counter(bytes(r["record"]).split(b"\r\n\r\n")[1].decode() for r in warc.records(spark, path).collect())
+    assert whole == Counter(x for _, x in rows)
+
+
 def _top(rows, k):
     """Each query row's best k other rows, by comparing all."""
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import to_workers
-from .store import read_if_there
+from .skew import salted_join
+from .store import keep, read_if_there
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Texts handed to the tokenizer at once, in bytes.
@@ -120,7 +121,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str, *, id_c
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     # two runs at once may both store a content: equal counts, so any one will do
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("id", "n_bytes", "digest").join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    # narrow and stored: copies of one content, of which there may be very many, are dealt over tasks
+    asked = keep(rows.select("id", "n_bytes", "digest"), "token-rows")
+    return salted_join(asked, counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 to_workers(sys.modules[__name__])

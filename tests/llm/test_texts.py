@@ -52,6 +52,15 @@ def test_token_counts_and_their_cache(spark, docs, tmp_path):
     assert Counter(map(tuple, tokens.token_counts(docs, VOCABULARY, str(tmp_path / "whole")).collect())) == want
 
 
+def test_token_counts_of_a_hot_text(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(4000)]
+    got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, str(tmp_path / "hot"), drops_blanks=True)
+    assert Counter(map(tuple, got.collect())) == Counter((i, len(x), len(t.encode(x, add_special_tokens=False).ids)) for i, x in rows)
+
+
 def test_token_counts_of_a_piece_model(spark, docs, tmp_path):
     import sentencepiece
 

@@ -26,14 +26,19 @@ from .catalog import QUOTATION_PARAMS
 
 LANDINGS = 3     # number of separate landings the input arrives in
 PAGE_ITEMS = 50   # entries of a result page
-FILES = 2        # files a micro-batch takes, so that a stream has several
+FILES = 2        # files a landing has at least; a micro-batch takes as many as a landing has, so that a stream has several
 
 
 def _land_parquet(df, root, key_col):
-    """Write df in LANDINGS appends of several files; the pages of an item are spread over all of them."""
+    """Write df in LANDINGS appends, each of as many files as df has parts; the pages of an item are spread over all of them.
+
+    Rows are dealt in turn: a file, and the task that writes it, gets its
+    share whatever the keys.  Returns the number of files of a landing."""
+    files = max(FILES, df.rdd.getNumPartitions())
     for i in range(LANDINGS):
         part = df.filter(F.pmod(F.xxhash64(key_col, "page_seq"), F.lit(LANDINGS)) == i)
-        part.repartition(2, key_col, "page_seq").write.mode("append").parquet(f"{root}/landing={i}")
+        part.repartition(files).write.mode("append").parquet(f"{root}/landing={i}")
+    return files
 
 
 def stream_ingest(spark, d):
@@ -69,10 +74,10 @@ def dead_letters(spark, d):
 def stream_languages(spark, d):
     mixed = S.mixed_items(spark, d).select("item_id", "page_seq", "text")
     landing = scratch_path(spark, "landing-pages")
-    _land_parquet(mixed, landing, "item_id")
+    files = _land_parquet(mixed, landing, "item_id")
     results = scratch_path(spark, "languages")
     RN.run(RN.detect_languages(spark, landing, mixed.schema, QL.profiles(spark, d), results,
-                               scratch_path(spark, "ckpt"), files_per_batch=FILES))
+                               scratch_path(spark, "ckpt"), files_per_batch=files))
     return RN.language_results(spark, results).select("item_id", "lang", "sentences")
 
 
@@ -80,10 +85,10 @@ def stream_quotations(spark, d):
     pages = S.table(spark, d, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("item_id"), F.lit(0).alias("page_seq"), "text")
     landing = scratch_path(spark, "landing-docs")
-    _land_parquet(pages, landing, "item_id")
+    files = _land_parquet(pages, landing, "item_id")
     corpus = Q.ReferenceCorpus.build(S.verses(spark, d), QUOTATION_PARAMS)
     results = scratch_path(spark, "quotations")
-    RN.run(RN.detect_quotations(spark, landing, pages.schema, corpus, results, scratch_path(spark, "ckpt"), files_per_batch=FILES))
+    RN.run(RN.detect_quotations(spark, landing, pages.schema, corpus, results, scratch_path(spark, "ckpt"), files_per_batch=files))
     return RN.quotation_results(spark, results, corpus).withColumn("probability", F.round("probability", 6))
 
 
@@ -100,7 +105,7 @@ def stream_once(spark, d):
     lost = []
 
     def stream():
-        return spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", FILES).parquet(landing)
+        return spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", files).parquet(landing)
 
     def words(df):
         return df.select("item_id", "page_seq", F.size(word_tokens("text")).cast("long").alias("n_words"))
@@ -115,14 +120,14 @@ def stream_once(spark, d):
             raise _Lost()
         return out
 
-    _land_parquet(pages, f"{landing}/first=1", "item_id")
+    files = _land_parquet(pages, f"{landing}/first=1", "item_id")
     dying = K.process_once(stream(), ["item_id", "page_seq"], dies_once, results, checkpoint)
     try:
         dying.awaitTermination()
     except StreamingQueryException:
         pass
     RN.run(start())
-    _land_parquet(pages, f"{landing}/first=2", "page_seq")
+    _land_parquet(pages, f"{landing}/first=2", F.reverse("item_id"))  # the copies come in another order
     RN.run(start())
     return spark.read.parquet(results).select("item_id", "page_seq", "n_words")
 

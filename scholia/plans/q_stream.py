@@ -41,6 +41,16 @@ def _land_parquet(df, root, key_col):
     return files
 
 
+def _land_pages(pages, where):
+    """Append result pages below their collection's folder; a large collection is cut into several files, a small one is one."""
+    pages.select("collection_id", "value").hint("rebalance", "collection_id").write.mode("append").partitionBy("collection_id").text(where)
+
+
+def _files_per_batch(spark, where):
+    """So many files that what lies in a folder comes in LANDINGS micro-batches at most; 20 * FILES at least."""
+    return max(20 * FILES, -(-len(spark.read.text(where).inputFiles()) // LANDINGS))
+
+
 def stream_ingest(spark, d):
     it = S.items(spark, d)
     rec = lambda title: F.to_json(F.struct(F.struct(
@@ -148,13 +158,14 @@ def stream_collections(spark, d):
         rows.select("value").write.mode("append").text(where)
 
     def ingest():
-        for q in K.ingest_collections(spark, at["listings"], at["result-pages"], at["collections"], at["ckpt"], files_per_batch=20 * FILES):
+        files = max(_files_per_batch(spark, at[x]) for x in ("listings", "result-pages"))
+        for q in K.ingest_collections(spark, at["listings"], at["result-pages"], at["collections"], at["ckpt"], files_per_batch=files):
             RN.run(q)
 
     land(listing.filter(early), at["listings"])
-    pages.filter("number % 2 = 0").select("collection_id", "value").write.mode("append").partitionBy("collection_id").text(at["result-pages"])
+    _land_pages(pages.filter("number % 2 = 0"), at["result-pages"])
     ingest()
-    pages.select("collection_id", "value").write.mode("append").partitionBy("collection_id").text(at["result-pages"])
+    _land_pages(pages, at["result-pages"])
     land(listing, at["listings"])
     ingest()
     out = K.ingested(spark, at["collections"])

@@ -4,6 +4,7 @@ import collections
 
 from pyspark.sql import functions as F
 
+from scholia.plans import catalog  # noqa: F401  (first: it imports q_stream)
 from scholia.plans import q_stream as QS
 
 
@@ -22,3 +23,16 @@ def test_second_landing_is_dealt_otherwise(spark, tmp_path):
         assert QS._land_parquet(rows, str(tmp_path / name), key) >= QS.FILES
     parts = [{r["item_id"]: r["landing"] for r in spark.read.parquet(str(tmp_path / n)).collect()} for n in "12"]
     assert [len(p) for p in parts] == [900, 900] and all(min(collections.Counter(p.values()).values()) > 200 for p in parts) and parts[0] != parts[1]
+
+
+def test_result_pages_land_in_few_files_and_batches(spark, tmp_path):
+    where = str(tmp_path / "pages")
+    pages = spark.range(0, 2000, 1, 16).select(F.concat(F.lit("c"), F.col("id") % 10).alias("collection_id"), F.col("id").cast("string").alias("value"))
+    QS._land_pages(pages, where)
+    back = spark.read.text(where)
+    assert back.count() == 2000 and len(back.inputFiles()) == 10  # a file for each collection, not for each task and collection
+    assert QS._files_per_batch(spark, where) == 20 * QS.FILES
+    many = str(tmp_path / "many")
+    spark.range(300).select(F.col("id").cast("string").alias("value")).repartition(150).write.text(many)
+    n = len(spark.read.text(many).inputFiles())
+    assert n > 100 and QS._files_per_batch(spark, many) == -(-n // QS.LANDINGS)

@@ -327,6 +327,7 @@ def fit_match_model(pairs: DataFrame, label: str = "label", max_iter: int = 50,
         raise ValueError(f"labels of both kinds are needed: {ones:g} of {n} are 1")
     means = [float(first[f"m_{f}"]) for f in FEATURES]
     scales = [float(first[f"s_{f}"] or 0) or 1.0 for f in FEATURES]
+    varies = np.array([True, *[bool(first[f"s_{f}"]) for f in FEATURES]])
     x = [F.lit(1.0), *[(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(FEATURES, means, scales)]]
     width = len(x)
     ridge = n * reg * np.diag([0.0] + [1.0] * (width - 1))
@@ -348,8 +349,8 @@ def fit_match_model(pairs: DataFrame, label: str = "label", max_iter: int = 50,
     beta[0] = np.log(ones / (n - ones))
     loss, gradient, second = sums(beta)
     for _ in range(max_iter):
-        # a feature that never varies has no sums of its own: least squares leaves it at 0
-        step = np.linalg.lstsq(second, gradient, rcond=None)[0]
+        # a feature that never varies has no sums of its own: least squares leaves it at 0, but for rounding
+        step = np.where(varies, np.linalg.lstsq(second, gradient, rcond=None)[0], 0.0)
         step = step * min(1.0, MAX_STEP / max(np.abs(step).max(), MAX_STEP))
         while True:
             trial = sums(beta + step)

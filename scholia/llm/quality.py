@@ -192,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     h = F.xxhash64(F.lit("quality"), "id")
     sample = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     sample = sample.mapInArrow(_sample_features, "quality int, h long, features binary").orderBy("h", "features").limit(sample_rows).toLocalIterator()
-    return fit([(r["quality"], unpack(bytes(r["features"]))) for r in sample], ratio)
+    model = fit([(r["quality"], unpack(bytes(r["features"]))) for r in sample], ratio)
+    arrays.release()  # the sample was thousands of small arrays, which the driver would go on holding through later stages
+    return model
 
 
 def margins(model: Model, column: pa.Array) -> np.ndarray:

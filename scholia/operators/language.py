@@ -5,6 +5,8 @@ smoothing, ``logp = ln((c + 1) / (total + V))``
 (total = the language's gram count, V = number of distinct profile
 grams over all languages).  A gram missing
 from a language's profile scores ``unseen = ln(1 / (total + V))``.
+Grams are counted where the text is read, in Arrow batches: what leaves a
+task is a row per language and distinct gram of about ``CHUNK`` code points.
 
 Detection: a sentence is scored where its page is read, in Arrow batches
 against a broadcast (gram -> per-language gain) table: no row per gram and
@@ -16,8 +18,10 @@ grams are joined with it by a shuffle and summed per sentence.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +35,71 @@ UNDETERMINED = "UND"
 BROADCAST_BYTES = 64 << 20
 #: A gram of so many code points fits a 64-bit number.
 MAX_CODED = 3
-#: Code points scored at a time.
+#: Bits of a code point.
+WIDTH = 21
+#: Most possible grams of an alphabet that get a place in a table.
+MAX_PLACES = 1 << 20
+#: Code points counted or scored at a time.
 CHUNK = 1 << 20
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks bring their functions along: executors need no package path
+
+
+def _coded_grams(texts: list[str], n: int, rank=None, base: int = 1 << WIDTH):
+    """The ``n``-grams of the texts as numbers to this base, text by text, and how many each text has.
+    A digit is a code point or, with ``rank``, the code point's place there (its last place for those beyond)."""
+    import numpy as np
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    counts = np.maximum(lens - n + 1, 0)
+    m = len(points) - n + 1
+    if m <= 0:
+        return np.zeros(0, dtype=np.int64), counts
+    if rank is not None:
+        points = rank[np.minimum(points, len(rank) - 1)]
+    grams = points[:m].copy()
+    for i in range(1, n):
+        grams *= base
+        grams += points[i:i + m]
+    inside = np.ones(len(points), dtype=bool)
+    for i in range(1, n):                        # a gram ends in its own text
+        inside[np.cumsum(lens) - i] = False
+    return grams[inside[:m]], counts
+
+
+def _counter(n: int):
+    """mapInArrow body: rows (lang, _letters) -> (lang, gram, count), a gram once per language and chunk of text."""
+    chunk = CHUNK
+
+    def count(texts):
+        import numpy as np
+        codes, counts = np.unique(_coded_grams(texts, n)[0], return_counts=True)
+        points = np.stack([(codes >> (WIDTH * (n - 1 - i))) & ((1 << WIDTH) - 1) for i in range(n)], axis=1).astype("<u4")
+        joined = points.tobytes().decode("utf-32-le")
+        return [joined[i:i + n] for i in range(0, len(joined), n)], counts
+
+    def tally(batches):
+        import pyarrow as pa
+        for batch in batches:
+            of = batch.schema.field("lang").type
+            parts, sizes = {}, {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("_letters")):
+                text = text.as_py() or ""
+                for at in range(0, len(text) - n + 1, chunk):
+                    piece = text[at:at + chunk + n - 1]
+                    parts.setdefault(lang, []).append(piece)
+                    sizes[lang] = sizes.get(lang, 0) + len(piece)
+                    if sizes[lang] >= chunk:
+                        grams, counts = count(parts.pop(lang))
+                        del sizes[lang]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), of), pa.array(grams, pa.string()), pa.array(counts, pa.int64())],
+                                                         names=["lang", "gram", "count"])
+            for lang, texts in parts.items():
+                grams, counts = count(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), of), pa.array(grams, pa.string()), pa.array(counts, pa.int64())],
+                                                 names=["lang", "gram", "count"])
+    return tally
+
 
 def train_profiles(labelled: DataFrame, label: str = "lang", text: str = "text", n: int = 3,
                    label_map: dict | None = LANGUAGE_TAGS) -> DataFrame:
@@ -42,6 +108,10 @@ def train_profiles(labelled: DataFrame, label: str = "lang", text: str = "text",
     src = labelled.select(
         (F.coalesce(map_lookup(F.col(label), label_map), F.col(label)) if label_map else F.col(label)).alias("lang"), text)
     src = spread(src.filter(F.col("lang").isNotNull()))
+    if n <= MAX_CODED:
+        letters = src.select("lang", letters_only(text).alias("_letters"))
+        schema = T.StructType([letters.schema["lang"], T.StructField("gram", T.StringType()), T.StructField("count", T.LongType())])
+        return letters.mapInArrow(_counter(n), schema).groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     return explode_char_ngrams(src, ["lang"], text, n).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -82,35 +152,48 @@ def sentence_table(pages: DataFrame, keys: list[str], text: str = "text") -> Dat
         .withColumn("sentence_seq", F.col("sentence_seq").cast("int"))
 
 
+def _places(codes, n: int):
+    """(rank, places) that find a gram's place in ``codes`` by number: ``rank`` of each code point in the profiles'
+    alphabet (0: not there), ``places`` by the ranks of a gram (-1: not there).  (None, None) for an alphabet
+    with more than ``MAX_PLACES`` possible grams, whose grams are searched for."""
+    import numpy as np
+    digits = np.stack([(codes >> (WIDTH * (n - 1 - i))) & ((1 << WIDTH) - 1) for i in range(n)])
+    alphabet = np.unique(digits)
+    base = len(alphabet) + 1
+    if not len(codes) or base ** n > MAX_PLACES:
+        return None, None
+    rank = np.zeros(alphabet[-1] + 2, dtype=np.int64)
+    rank[alphabet] = np.arange(1, base)
+    places = np.full(base ** n, -1, dtype=np.int32)
+    places[sum(rank[d] * base ** (n - 1 - i) for i, d in enumerate(digits))] = np.arange(len(codes))
+    return rank, places
+
+
 def _detector(profiles: Profiles, n: int, min_margin: float):
     """mapInArrow body: rows with ``_letters`` -> the same rows with ``lang``."""
     import numpy as np
     gains = profiles.gains().toPandas()
-    width = 21                                   # bits of a code point
-    code = lambda g: sum(ord(c) << (width * (n - 1 - i)) for i, c in enumerate(g))
+    code = lambda g: sum(ord(c) << (WIDTH * (n - 1 - i)) for i, c in enumerate(g))
     codes = np.array([code(g) for g in gains["gram"]], dtype=np.int64)
     order = np.argsort(codes)
+    codes = codes[order]
     table = gains[[f"g_{i}" for i in range(len(profiles.languages))]].to_numpy(dtype=float)[order]
     unseen = np.array([profiles.unseen[L] for L in profiles.languages])
-    shared = profiles.table.sparkSession.sparkContext.broadcast((codes[order], table, unseen))
+    shared = profiles.table.sparkSession.sparkContext.broadcast((codes, table, unseen, *_places(codes, n)))
     langs, und, chunk = list(profiles.languages), UNDETERMINED, CHUNK
 
-    def score(texts, codes, table, unseen):
+    def score(texts, codes, table, unseen, rank, places):
         k = len(texts)
-        lens = np.array([len(t) for t in texts])
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        if k == 0 or len(points) < n or not len(codes):
+        grams, count = _coded_grams(texts, n) if rank is None else _coded_grams(texts, n, rank, int(rank.max()) + 1)
+        if not len(grams) or not len(codes):
             return [und] * k
-        m = len(points) - n + 1
-        grams = np.zeros(m, dtype=np.int64)
-        for i in range(n):
-            grams = (grams << width) | points[i:i + m]
-        owner = np.repeat(np.arange(k), lens)[:m]
-        inside = np.arange(m) + n <= np.cumsum(lens)[owner]     # a gram ends in its own sentence
-        grams, owner = grams[inside], owner[inside]
-        count = np.bincount(owner, minlength=k)
-        at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-        hit = codes[at] == grams
+        owner = np.repeat(np.arange(k), count)
+        if rank is None:
+            at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+            hit = codes[at] == grams
+        else:
+            at = places[grams]
+            hit = at >= 0
         at, owner = at[hit], owner[hit]
         known = np.bincount(owner, minlength=k)
         totals = np.stack([np.bincount(owner, weights=table[at, i], minlength=k) + count * unseen[i]
